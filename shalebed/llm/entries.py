@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import line_dedup, lm_scoring, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 SQL = {

@@ -6,6 +6,7 @@ import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space that separates words in the contracts: ``[\x20\x09-\x0D]``.
 WHITE = " \t\n\x0b\x0c\r"
@@ -50,6 +51,11 @@ def wide_hash(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("h1"), F.xxhash64(F.lit(0x9E3779B9), *columns).alias("h2")]
 
 
+def extended(df: DataFrame, columns: str) -> T.StructType:
+    """The schema of df with more columns; df.schema itself stays as it is."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(columns).fields])
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession

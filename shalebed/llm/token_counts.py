@@ -21,10 +21,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .arrow_words import blocks
-from .common import table
+from .common import extended, table
 
 SPACE = "▁"
 _END, _SPACE = 0, 1
@@ -252,8 +251,7 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
                 names=[*part.schema.names, "n_bytes", "n_tokens", "over_limit"],
             )
 
-    schema = docs.schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, extended(docs, "n_bytes long, n_tokens long, over_limit boolean"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,5 +259,5 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select(
-        "doc_id", F.col("n_bytes"), F.col("n_tokens"), F.col("over_limit")
+        "doc_id", "n_bytes", "n_tokens", "over_limit"
     )

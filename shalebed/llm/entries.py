@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import line_dedup, lm_scoring, quality_rules, token_counts
+from . import line_dedup, lm_scoring, ngram_join, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
+    "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 
 SQL = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op8_substring_dedup": substring_dedup.OP8_SQL,
 }

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, lm_scoring, ngram_join, quality_rules, substring_dedup, token_counts
+from . import decontamination, line_dedup, lm_scoring, ngram_join, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_packing": packing.op10_packing,
 }
 
 SQL = {

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, line_dedup, lm_scoring, ngram_join, packing, quality_rules, substring_dedup, token_counts
+from . import decontamination, html_extraction, license_scan, line_dedup, lm_scoring, ngram_join, packing, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_license_scan": license_scan.op2_license_scan,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_html_extraction": html_extraction.op4_html_extraction,
     "op5_benchmark_decontamination": decontamination.op5_benchmark_decontamination,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_ngram_jaccard_join": ngram_join.op7_ngram_jaccard_join,

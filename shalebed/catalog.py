@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .plans import detector_queries, text_queries
+
 FLAGSHIP = "q_detector_counts"
 
-QUERIES: dict = {}
-SQL: dict = {}
+_PLANS = (text_queries, detector_queries)
+
+QUERIES = {name: query for plan in _PLANS for name, query in plan.QUERIES.items()}
+SQL = {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}

@@ -22,9 +22,9 @@ from .common import checkpointed, strip_white, table, words_of
 #: measure: (expression, slack added to the fence, whether it has a lower fence)
 MEASURES = {
     "symbols": ("1000 * n_symbols div nullif(word_chars, 0)", 30, False),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 300, False),
-    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 250, False),
-    "word_length": ("100 * word_chars div nullif(n_words, 0)", 60, True),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 400, False),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 350, False),
+    "word_length": ("100 * word_chars div nullif(n_words, 0)", 100, True),
 }
 
 

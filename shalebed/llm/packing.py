@@ -194,6 +194,7 @@ def pack(
     The vocabulary has fewer than 65,536 ids.
     """
     shards = max(1, -(-docs.count() // docs_per_shard))
+    tasks = max(1, shards // 4)
     fields = ["shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
     schema = "shard long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -253,7 +254,7 @@ def pack(
     dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     pieces = (
         dealt.mapInArrow(cut, schema)
-        .repartition("shard")
+        .repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))  # as many shards in each task
         .sortWithinPartitions("shard", "doc_id", "start")
         .mapInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     )

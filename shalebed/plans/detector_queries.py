@@ -138,12 +138,10 @@ _PAIRS = f"""len(list_filter(list_zip(regexp_extract_all(s, '{D.PAIR}', 1), rege
   list_contains({_list(D.WEAK_WORDS)}, lower(x[1])) AND list_contains({_list(D.WEAK_WORDS)}, lower(x[2])))) > 0"""
 _DEBUG = f"(list_has_any({_WORDS}, ['debug', 'guest', 'test']) AND list_has_any({_WORDS}, {_list(D.AUTH_WORDS)}))"
 
-_COUNTS_SQL = f"""
-WITH s AS (
-  SELECT 'd' || doc_id AS key, unnest({RUNS}) AS s FROM documents
-  UNION ALL SELECT 'p' || page_id, unnest(list_transform(regexp_extract_all(url, '[\\x20-\\x7e]{{4,}}'), lambda x: x[1:1024])) FROM pages
-  UNION ALL SELECT 'o' || k, s FROM ({_COMPOSED_SQL})),
-k AS (SELECT 'd' || doc_id AS key FROM documents UNION SELECT 'p' || page_id FROM pages UNION SELECT 'o' || o_orderkey FROM orders),
+def counts_sql(strings: str, keys: str) -> str:
+    return f"""
+WITH s AS ({strings}),
+k AS ({keys}),
 f AS (SELECT key, s, {_ADDRESSES} AS ips FROM s),
 c AS (SELECT key,
   count(*) FILTER ({_PASSWORD} OR {_WEAK}) AS count_hardcoded_passwords,
@@ -162,6 +160,14 @@ SELECT k.key, {", ".join(f"coalesce(c.{d.column}, {0 if d.reduces == 'count' els
 FROM k LEFT JOIN c USING (key)"""
 
 
+_COUNTS_SQL = counts_sql(
+    f"""SELECT 'd' || doc_id AS key, unnest({RUNS}) AS s FROM documents
+  UNION ALL SELECT 'p' || page_id, unnest(list_transform(regexp_extract_all(url, '[\\x20-\\x7e]{{4,}}'), lambda x: x[1:1024])) FROM pages
+  UNION ALL SELECT 'o' || k, s FROM ({_COMPOSED_SQL})""",
+    "SELECT 'd' || doc_id AS key FROM documents UNION SELECT 'p' || page_id FROM pages UNION SELECT 'o' || o_orderkey FROM orders",
+)
+
+
 def _found_sql(kind: str, version: str, where: str, context: str, confidence: str, explode: str = "") -> str:
     return f"""SELECT k, pos, '{kind}' AS type, s AS source, {context} AS context, {confidence} AS confidence, '{version}' AS detector_version
 FROM (SELECT *{explode} FROM ({_COMPOSED_SQL})) WHERE {where}"""

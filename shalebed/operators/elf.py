@@ -70,8 +70,7 @@ def _read(data: bytes) -> tuple:
     )
 
 
-@F.pandas_udf(INFO)
-def elf_info(contents: pd.Series) -> pd.DataFrame:
+def _infos(contents: pd.Series) -> pd.DataFrame:
     rows = []
     for data in contents:
         try:
@@ -81,6 +80,11 @@ def elf_info(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[f.split()[0] for f in INFO.split(", ")])
 
 
+def elf_info(content: Column) -> Column:
+    """struct<INFO> of a binary column."""
+    return F.pandas_udf(_infos, INFO)(content)
+
+
 def under_root(path: Column) -> Column:
     """Whether a relative path lies below a file system root; other folders don't count."""
     folders = F.split(path, "/")
@@ -98,7 +102,7 @@ def filesystem_features(inventory: DataFrame, key: str = "firmware_id") -> DataF
     elves = files.where(F.substring("content", 1, 4) == F.lit(b"\x7fELF"))
     first = Window.partitionBy(key, F.octet_length("content"), F.sha2("content", 256)).orderBy("path")
     unique = elves.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    info = unique.select(key, elf_info("content").alias("i")).select(key, "i.*")
+    info = unique.select(key, elf_info(F.col("content")).alias("i")).select(key, "i.*")
     eligible, run = F.col("kind").isin("exec", "lib"), F.col("kind") == "exec"
     share = lambda hit, base: F.try_divide(F.count_if(hit & base).cast("double"), F.count_if(base).cast("double"))
     summed = info.groupBy(key).agg(

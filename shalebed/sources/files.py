@@ -28,7 +28,7 @@ def suffix_of(path: Column) -> Column:
 def firmware_files(spark: SparkSession, folder: str, max_bytes: int = MAX_BYTES, allowed: list[str] | None = None) -> DataFrame:
     """(path, file_size, content, truncated) of the images under a folder, dot files
     and other suffixes left out; content is cut at max_bytes. allowed: only these
-    suffixes instead. Unreadable files are skipped by the session's setting for
+    suffixes instead. Spark lists no empty files; unreadable ones are skipped by the session's setting for
     corrupt files.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)

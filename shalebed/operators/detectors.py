@@ -8,6 +8,8 @@ so a scan is one pass with map-side aggregation.
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -83,6 +85,11 @@ def words_in(s: Column) -> Column:
     return _all(F.lower(s), "[a-z0-9]+")
 
 
+def may_have_auth_word(s: Column) -> Column:
+    """A cheap test that every string with a trigger word passes, before its words are split."""
+    return F.lower(s).rlike("login|user|account|credential|auth|senha|pass|pwd|default")
+
+
 def quoted(s: Column) -> Column:
     """A string as a quoted literal: double quotes only around single ones."""
     escaped = F.replace(s, F.lit("\\"), F.lit("\\\\"))
@@ -123,7 +130,7 @@ def hardcoded_passwords(s: Column) -> Column:
     plain = _set([w for w in DEFAULT_PASSWORDS if w not in AUTH_WORDS])
     named = F.filter(_all(s, "[A-Za-z0-9]+"), lambda w: F.array_contains(plain, F.lower(w)))
     empty = F.array().cast("array<struct<context:string,confidence:string>>")
-    weak = (F.size(named) > 0) & F.arrays_overlap(words_in(s), _set(AUTH_WORDS))
+    weak = may_have_auth_word(s) & (F.size(named) > 0) & F.arrays_overlap(words_in(s), _set(AUTH_WORDS))
     high = F.array(F.struct(F.concat(F.lit("key=value assignment: "), quoted(F.get(kept, 0)["m"])).alias("context"), F.lit("high").alias("confidence")))
     medium = F.array(F.struct(F.concat(F.lit("default password token: "), quoted(F.get(named, 0))).alias("context"), F.lit("medium").alias("confidence")))
     return F.when(s.rlike("[=:]") & (F.size(kept) > 0), high).when(weak, medium).otherwise(empty)
@@ -189,7 +196,8 @@ def debug_account(s: Column) -> Column:
     words = words_in(s)
     names = F.filter(words, lambda w: F.array_contains(_set(DEBUG_WORDS), w))
     return _one(
-        (F.size(names) > 0) & F.arrays_overlap(words, _set(AUTH_WORDS)), F.concat(F.lit("debug/guest/test keyword: "), quoted(F.get(names, 0))), "low"
+        F.lower(s).rlike("debug|guest|test") & may_have_auth_word(s) & (F.size(names) > 0) & F.arrays_overlap(words, _set(AUTH_WORDS)),
+        F.concat(F.lit("debug/guest/test keyword: "), quoted(F.get(names, 0))), "low"
     )
 
 
@@ -201,13 +209,14 @@ def version_numbers(version: Column) -> Column:
 
 def outdated(library: str) -> Callable[[Column], Column]:
     pattern, least = LIBRARIES[library]
+    name = re.match(r"\(\?i\)(\w+?)(?=\[|\\)", pattern)[1].lower()
 
     def build(s: Column) -> Column:
         version = F.regexp_extract(s, pattern, 1)
         threshold = F.array(*[F.lit(n).cast("long") for n in least])
         shown = "(" + ", ".join(map(str, least)) + ")"
         return _one(
-            (version != "") & (version_numbers(version) < threshold),
+            F.contains(F.lower(s), F.lit(name)) & (version != "") & (version_numbers(version) < threshold),
             F.concat(F.lit(f"{library} version "), version, F.lit(f" below threshold {shown}")),
             "medium",
         )
@@ -216,7 +225,8 @@ def outdated(library: str) -> Callable[[Column], Column]:
 
 
 def urls(s: Column) -> Column:
-    return _hits(F.transform(_all(s, URL), lambda u: F.concat(F.lit("URL: "), u)), "low")
+    found = F.when(F.contains(s, F.lit("://")), _all(s, URL)).otherwise(F.array().cast("array<string>"))
+    return _hits(F.transform(found, lambda u: F.concat(F.lit("URL: "), u)), "low")
 
 
 def has_ascending_run(text: Column, n: int) -> Column:
@@ -234,20 +244,28 @@ def has_ascending_run(text: Column, n: int) -> Column:
     return steps["most"] >= n
 
 
+def ascending_pattern(alphabet: str, n: int) -> str:
+    """A regular expression of all runs of n consecutive codes within an alphabet."""
+    runs = ["".join(chr(ord(c) + i) for i in range(n)) for c in sorted(alphabet)]
+    return "|".join(re.escape(r) for r in runs if set(r) <= set(alphabet))
+
+
 def text_entropy(text: Column) -> Column:
     """Shannon entropy of the characters, base 2."""
-    chars = F.split(text, "")
     size = F.length(text).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / size)
+    without = lambda c: F.length(F.replace(text, c, F.lit("")))
+    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (size - without(c)) / size)
     return -F.aggregate(shares, F.lit(0.0), lambda t, p: t + p * F.log2(p))
 
 
 def api_tokens(s: Column) -> Column:
+    runs = ascending_pattern(string.digits + string.ascii_letters + "+/=", TOKEN_RUN)
+
     def good(t: Column) -> Column:
         mixed = t.rlike("[A-Z]") & t.rlike("[a-z]") & t.rlike("[0-9]")
-        return ~has_ascending_run(t, TOKEN_RUN) & (t.rlike("^[0-9a-fA-F]{32,}$") | (mixed & (text_entropy(t) >= TOKEN_ENTROPY)))
+        return ~t.rlike(runs) & (t.rlike("^[0-9a-fA-F]{32,}$") | (mixed & (text_entropy(t) >= TOKEN_ENTROPY)))
 
-    found = F.when(F.length(s) >= 32, F.filter(_all(s, TOKEN), good)).otherwise(F.array().cast("array<string>"))
+    found = F.when(s.rlike("[A-Za-z0-9+/]{32}"), F.filter(_all(s, TOKEN), good)).otherwise(F.array().cast("array<string>"))
     return _hits(F.transform(found, lambda t: F.concat(F.lit("long token: "), F.substring(t, 1, TOKEN_SHOWN), F.lit("…"))), "low")
 
 

@@ -84,3 +84,16 @@ def test_signatures(spark):
     assert (r.n_filesystems, r.fs_type, r.compression_type, r.n_crypto_signatures, r.has_encrypted_sections) == (3, "squashfs", "lzma", 0, False)
     tie = spark.createDataFrame([(1, 0, "jffs2"), (1, 1, "ext4")], "k int, pos int, description string")
     assert D.structural_features(tie, "k").first().fs_type == "jffs2"
+
+
+def test_ascending_runs(spark):
+    import random
+    import string
+
+    rng = random.Random(3)
+    alphabet = string.digits + string.ascii_letters + "+/="
+    texts = ["".join(rng.choice(alphabet) for _ in range(12)) for _ in range(300)] + ["x01234y", "/0123", "abcdx", "WXYZ[", "vwxyz"]
+    pattern = D.ascending_pattern(alphabet, 4)
+    for t, a, b in spark.createDataFrame([(t,) for t in texts], "t string").select("t", D.has_ascending_run(F.col("t"), 4), F.col("t").rlike(pattern)).collect():
+        expected = any(all(ord(t[i + k]) == ord(t[i]) + k for k in range(4)) for i in range(len(t) - 3))
+        assert a == expected == b

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import versions
+from ..functions.byte_stats import byte_features
 from ..functions.storage import checkpointed
-from ..functions.strings import byte_statistics
 from ..operators import groups, metrics, models
 from ..sources.tables import table
 from ..streaming.scan import run_scan
@@ -58,12 +58,12 @@ def _labelled(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", F.concat_ws("/", "source", F.col("doc_id") % 5).alias("group"), F.col("quality").cast("string").alias("y")
     )
-    stats = byte_statistics(d.select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id", F.col("content"))
     features = d.select(
         "doc_id", "group", "y", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit("[$%#&*]")).alias("n_symbols"),
         F.size(F.array_distinct(F.split("text", " "))).alias("n_distinct"), F.lit(1).alias("constant"),
+        byte_features(F.encode("text", "UTF-8")).alias("b"),
     )
-    return features.join(stats, "doc_id")
+    return features.select("*", "b.entropy", "b.byte_mean").drop("b")
 
 
 FEATURES = ["n_chars", "n_symbols", "n_distinct", "constant", "entropy", "byte_mean"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strings as S
+from ..functions.byte_stats import byte_features
 from ..sources.tables import table
 
 RUNS = "list_transform(regexp_extract_all(text, '[\\x20-\\x7e]{4,}'), lambda x: x[1:1024])"
@@ -40,18 +41,21 @@ def q_byte_histogram(spark, sf):
     return S.byte_histogram(_content(spark, sf), "doc_id", F.col("content")).withColumn("byte", F.col("byte").cast("long"))
 
 
+def _measured(spark, sf, **options):
+    return _content(spark, sf).select("doc_id", byte_features(F.col("content"), **options).alias("b")).select("doc_id", "b.*")
+
+
 def q_entropy(spark, sf):
-    d = S.byte_statistics(_content(spark, sf), "doc_id", F.col("content"))
-    return d.select("doc_id", F.round("entropy", 6).alias("entropy"), F.round("byte_mean", 6).alias("byte_mean"))
+    return _measured(spark, sf).select("doc_id", F.round("entropy", 6).alias("entropy"), F.round("byte_mean", 6).alias("byte_mean"))
 
 
 def q_section_entropy_variance(spark, sf):
-    d = S.section_entropy_variance(_content(spark, sf), "doc_id", F.col("content"), section=512)
-    return d.withColumn("entropy_variance", F.round("entropy_variance", 6))
+    d = _measured(spark, sf, section=512)
+    return d.select("doc_id", "n_sections", F.round("entropy_variance", 6).alias("entropy_variance"))
 
 
 def q_compress_ratio(spark, sf):
-    return S.compression_ratio(_content(spark, sf), "doc_id", F.col("content"))
+    return _measured(spark, sf).select("doc_id", "compress_ratio")
 
 
 def q_content_key(spark, sf):

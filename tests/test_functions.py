@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shalebed.functions import logic, strings, versions
+from shalebed.functions.byte_stats import ByteStatistics, byte_features
 
 
 def one(spark, **columns):
@@ -32,12 +34,23 @@ def test_document(spark):
     assert (row.document, row.n_strings, row.truncated) == ("admin\nguest\npassword", 3, False)
 
 
-def test_statistics_of_nothing(spark):
-    docs = spark.createDataFrame([(1, b""), (2, b"\x00\xff")], "k int, c binary")
-    assert {tuple(r) for r in strings.byte_statistics(docs, "k", F.col("c")).collect()} == {(1, 0.0, 0.0), (2, 1.0, 127.5)}
-    assert {r.compress_ratio for r in strings.compression_ratio(docs.where("k = 1"), "k", F.col("c")).collect()} == {1.0}
-    spread = {r.k: (r.n_sections, r.entropy_variance) for r in strings.section_entropy_variance(docs, "k", F.col("c"), 1).collect()}
-    assert spread == {1: (0, 0.0), 2: (2, 0.0)}
+def test_byte_features(spark):
+    docs = spark.createDataFrame([(1, b""), (2, b"\x00\xff"), (3, None), (4, b"\x00\x01" * 4 + b"\x05" * 9)], "k int, c binary")
+    found = {r.k: tuple(r.b) for r in docs.select("k", byte_features(F.col("c"), section=8).alias("b")).collect()}
+    assert found[1] == found[3] == (0.0, 0.0, 1.0, 0, 0.0)
+    assert found[2][:2] == (1.0, 127.5)
+    assert found[4][3:] == (2, 0.25)  # entropies 1 and 0; the ninth byte is no full section
+
+
+def test_pieces_dont_matter():
+    data = np.random.default_rng(42).integers(0, 40, 2 * 65_536 + 113).astype(np.uint8).tobytes()
+    results = set()
+    for size in (len(data), 4093, 65_536, 65_537):
+        stats = ByteStatistics()
+        for at in range(0, len(data), size):
+            stats.update(data[at : at + size])
+        results.add(stats.result())
+    assert len(results) == 1
 
 
 @pytest.mark.parametrize(("raw", "expected"), [("7.10(ABTG.4)C0", [7, 10]), ("v1.2.3", None), ("", None), (" 3 ", [3]), ("1.0.0", [1, 0, 0])])

@@ -225,8 +225,13 @@ def drop_repeats(docs: DataFrame, k: int = 50, m: int = 8, crowd: int = 4096) ->
     docs = docs.drop("n_words", "n_removed")
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
+    # The id comes back from the key after the join: without further columns, both
+    # joins with the texts then share one exchange of them.
     keyed = docs.select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("__doc"), F.xxhash64(text).alias("__text"), *[text.alias("text") if c == "text" else F.col(c) for c in names]
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__doc"),
+        F.xxhash64(text).alias("__text"),
+        text.alias("text"),
+        *[c for c in names if c not in ("doc_id", "text")],
     )
     ranges = repeated_ranges(keyed.select(*KEY, "text"), k, m, crowd).groupBy(*KEY).agg(
         F.collect_set(F.struct("a", "b")).alias("__r")
@@ -250,7 +255,9 @@ def drop_repeats(docs: DataFrame, k: int = 50, m: int = 8, crowd: int = 4096) ->
             columns = [pa.array(out, pa.string()) if c == "text" else part.column(part.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(words, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_words", "n_removed"])
 
-    return keyed.join(ranges, KEY, "left").select(*names, "__r").mapInArrow(cut, extended(docs, "n_words long, n_removed long"))
+    own_id = F.when(F.col("__doc") != NO_ID, F.col("__doc")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    joined = keyed.join(ranges, KEY, "left").select(*[own_id if c == "doc_id" else F.col(c) for c in names], "__r")
+    return joined.mapInArrow(cut, extended(docs, "n_words long, n_removed long"))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

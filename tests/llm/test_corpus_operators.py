@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from shalebed.llm import entries
 from shalebed.llm.components import connected_components
-from shalebed.llm.decontamination import Rules, drop_leaks, find_leaks
+from shalebed.llm.decontamination import drop_leaks, find_leaks
 from shalebed.llm.lm_scoring import score_documents
 from shalebed.llm.ngram_join import choose_bands, join_similar, keep_one_of_each, overlaps
 from shalebed.llm.packing import Encoder, pack

@@ -51,9 +51,12 @@ STRONG = frozenset(
     "ad ads adv advert advertisement adverts advertising sponsor sponsored promo promoted promotion comment comments disqus respond reply replies sidebar "
     "sidebars cookie cookies consent gdpr footer nav navbar navigation menu breadcrumb breadcrumbs share sharing social related recommended "
     "recommendations newsletter subscribe subscription signup login popup modal overlay pagination pager masthead toolbar outbrain taboola skip paywall "
-    "disclaimer copyright trending".split()
+    "disclaimer copyright trending banner notice notices notification alert widget widgets".split()
 )
-WEAK = frozenset("header banner notice notices notification alert widget widgets side rail aside search form tags meta toc hidden".split())
+#: Beginnings and ends of such parts that are written together.
+STRONG_STARTS = ("comment", "cookie", "advert", "adsense", "sponsor", "newsletter", "breadcrumb", "subscri", "sidebar", "navbar", "sharebar", "relatedpost")
+STRONG_ENDS = ("nav", "menu", "sidebar", "comments", "advert", "footer")
+WEAK = frozenset("header side rail aside search form tags meta toc hidden".split())
 GOOD = frozenset("article content body main entry post text story page blog".split())
 
 _TOKEN = re.compile(
@@ -150,7 +153,8 @@ def _unwanted(node: Node, in_article: bool) -> bool:
     if attrs.get("role", "").lower() in ROLES:
         return True
     parts = _names(node)
-    return bool(parts & STRONG or parts & WEAK and not parts & GOOD)
+    strong = parts & STRONG or any(x.startswith(STRONG_STARTS) or x.endswith(STRONG_ENDS) for x in parts)
+    return bool(strong or parts & WEAK and not parts & GOOD)
 
 
 def _holds(node: Node, names: frozenset[str]) -> bool:
@@ -192,7 +196,7 @@ def _walk(root: Node) -> list[Node]:
         node, inside = todo.pop()
         if node.parent is not None and _unwanted(node, inside):
             # A wrapper of the article or of most text isn't taken out for its name, unless readers wrote it.
-            wrapper = node.name not in NEVER and node.name != "header" and "hidden" not in node.attrs and not _names(node) & _READERS
+            wrapper = node.name not in NEVER and node.name != "header" and "hidden" not in node.attrs and not any(x in _READERS or x.startswith("comment") for x in _names(node))
             if not (wrapper and (_holds(node, _ARTICLE) or sizes.get(node, 0) > 0.6 * sizes[root])):
                 node.gone = True
                 continue
@@ -302,8 +306,8 @@ def main_text(page: str) -> str:
             # Further articles beside it are kept if they score alike.
             own = [n for n in best.parent.children if isinstance(n, Node) and not n.gone]
             if best.parent.name != "main":
-                points = dict(zip(order, ranked))
-                return " ".join(_texts([n for n in own if n is best or n.name == "article" and points.get(n, 0) >= 0.2 * score]))
+                alike = lambda n: n.name == "article" and n.points * (1 - _density(n)) >= 0.2 * best.points * (1 - _density(best))
+                return " ".join(_texts([n for n in own if n is best or alike(n)]))
         return " ".join(_texts([best]))
     points = dict(zip(order, ranked))
     least = max(10.0, 0.2 * score)

@@ -207,6 +207,10 @@ TEXT = " ".join(f"Paragraph {i}, with some text, and commas, of a decent length
         (f"<div class=post>{BODY}<div class='ad-slot'>Buy, buy</div><form><p>Sign, up</p></form></div><div id=comments>{'<p>c, c</p>' * 30}</div>", TEXT),
         (f"<noscript>Enable</noscript>{BODY}<div style='display:none'>hid</div><script>if(a<b){{x('</p>')}}</script>", TEXT),
         ("<article><h1>A &amp;amp; B</h1><p>x<br>y  z<b>b</b>old</article>", "A &amp; B x y zbold"),
+        (f"<div class='topnav'><p>a, b, c, d and more text</p></div><div class=story>{BODY}</div><ol class=commentlist><li>me, too, of a decent length</ol>", TEXT),
+        (f"<div class='page-notice'><p>We updated, our terms, and so on</p></div><section>{BODY}<blockquote>Quote, it</blockquote></section>", f"{TEXT} Quote, it"),
+        (f"<article class='card'><h2>Teaser</h2><p>One, two.</p></article><article class='main'>{BODY * 3}</article>", " ".join([TEXT] * 3)),
+        ("<article><header><h1>T</h1><p>By someone</p></header><p>Body.</p><footer>Tags</footer></article>", "T By someone Body."),
         ("", ""),
         ("plain", "plain"),
     ],

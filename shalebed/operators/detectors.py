@@ -133,7 +133,9 @@ def hardcoded_passwords(s: Column) -> Column:
     weak = may_have_auth_word(s) & (F.size(named) > 0) & F.arrays_overlap(words_in(s), _set(AUTH_WORDS))
     high = F.array(F.struct(F.concat(F.lit("key=value assignment: "), quoted(F.get(kept, 0)["m"])).alias("context"), F.lit("high").alias("confidence")))
     medium = F.array(F.struct(F.concat(F.lit("default password token: "), quoted(F.get(named, 0))).alias("context"), F.lit("medium").alias("confidence")))
-    return F.when(s.rlike("[=:]") & (F.size(kept) > 0), high).when(weak, medium).otherwise(empty)
+    # Every credential key has one of these; the pairs of other strings aren't looked at.
+    keyed = s.rlike("[=:]") & F.lower(s).rlike("pass|pwd|secret|credential|pswd|psw|psk")
+    return F.when(keyed & (F.size(kept) > 0), high).when(weak, medium).otherwise(empty)
 
 
 def credential_pairs(s: Column) -> Column:
@@ -342,12 +344,15 @@ def reduce_findings(documents: DataFrame, findings: DataFrame, key: str) -> Data
 
 
 def scan_counts(strings: DataFrame, documents: DataFrame, key: str, text: str = "s") -> DataFrame:
-    """As reduce_findings of find, without a row for each finding in between."""
-    sums = []
-    for d in SCANNED:
-        n = F.sum(F.size(d.build(F.col(text))))
-        sums.append((n.cast("long") if d.reduces == "count" else n > 0).alias(d.column))
-    reduced = strings.groupBy(key).agg(*sums)
+    """As reduce_findings of find, without a row for each finding in between. The
+    addresses of a string are found once for both detectors of addresses.
+    """
+    step = strings.select(key, F.col(text).alias("__s"), contextual_addresses(F.col(text)).alias("__ips"))
+    public = F.size(F.filter("__ips", is_public))
+    sizes = {"public_ips": public, "non_public_ips": F.size("__ips") - public}
+    sized = step.select(key, *[sizes.get(d.name, F.size(d.build(F.col("__s")))).alias(d.column) for d in SCANNED])
+    sums = [(F.sum(d.column).cast("long") if d.reduces == "count" else F.max(d.column) > 0).alias(d.column) for d in SCANNED]
+    reduced = sized.groupBy(key).agg(*sums)
     empty = {d.column: F.lit(0).cast("long") if d.reduces == "count" else F.lit(False) for d in SCANNED}
     return documents.select(key).distinct().join(reduced, key, "left").select(key, *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
 

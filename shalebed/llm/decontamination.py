@@ -6,15 +6,17 @@ items that score above a share of their own best score. Block-max WAND prunes:
 first by the greatest weight of each term in any item, then by that in each
 block of items; only blocks whose bound passes are scored. What is retrieved is
 verified by the overlap of word runs with the item's question (its first two
-thirds) and answer (the rest).
+thirds) and answer (the rest). Items too short for that are found as whole runs
+of their words.
 
 An index holds a bounded number of bytes of items and goes to the tasks whole.
 Larger benchmarks are dealt into several, each a pass over the documents; no
-pass shuffles them.
+pass shuffles them. Weights and passages are those of all items, however dealt.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrow_words import SIGN_BYTES, Words, blocks, strings, window_hashes
-from .common import table
+from .common import checkpointed, table
 
 K1, B = 1.2, 0.75
 
@@ -32,7 +34,7 @@ K1, B = 1.2, 0.75
 class Rules(NamedTuple):
     """threshold: share of an item's own score. question, answer: least shares of
     their runs of n words. part: longer items are cut into parts of so many
-    words. least: shorter items say too little and match nothing.
+    words. least: shorter items and parts must be there word for word.
     """
 
     threshold: float = 0.6
@@ -43,30 +45,58 @@ class Rules(NamedTuple):
     least: int = 8
 
 
+class Stats(NamedTuple):
+    """Of the scored parts of all items: how many, their mean and greatest number
+    of words, and how many hold each of some terms (sorted).
+    """
+
+    parts: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def _parts(texts: pa.Array, rules: Rules):
+    """(row, hashes of its words) of each part of the items that has words."""
+    words = _words(texts)
+    hashes = words.hashes()
+    for row, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
+        if b > a:
+            for own in np.array_split(hashes[a:b], -(-(b - a) // rules.part)):
+                yield row, own
+
+
 class Index:
-    """The inverted index of some items. Weights are shares of an item's score."""
+    """The inverted index of some items. Weights are shares of an item's score.
 
-    def __init__(self, ids: list[int], texts: list[str], rules: Rules, n_blocks: int = 32):
-        words = _words(strings(pa.array(texts, pa.string())))
-        hashes = words.hashes()
+    stats(terms) has those of all items; without it, these are all.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], rules: Rules, stats: Callable[[np.ndarray], Stats] | None = None, n_blocks: int = 32):
         self.items, self.hashes = [], []
-        for item, a, b in zip(ids, words.first[:-1], words.first[1:]):
-            parts = max(1, -(-(b - a) // rules.part))
-            for own in np.array_split(hashes[a:b], parts):
-                if len(own) >= rules.least:
-                    self.items.append(item)
-                    self.hashes.append(own)
-        self.longest = max((len(h) for h in self.hashes), default=0)
+        short: dict[int, list[tuple[int, int]]] = {}
+        for row, own in _parts(strings(pa.array(texts, pa.string())), rules):
+            if len(own) >= rules.least:
+                self.items.append(ids[row])
+                self.hashes.append(own)
+            else:
+                run = window_hashes(own, np.array([0, len(own)]), len(own))[0][0]
+                short.setdefault(len(own), []).append((int(run), row))
+        # By number of words: the sorted hashes of the short parts and their items.
+        self.short = {n: (np.array([h for h, _ in sorted(own)], np.uint64), [ids[row] for _, row in sorted(own)]) for n, own in short.items()}
         if not self.items:
             return
         lengths = np.array([len(h) for h in self.hashes], float)
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
         pairs = [np.unique(h, return_counts=True) for h in self.hashes]
         part = np.repeat(np.arange(len(pairs)), [len(u) for u, _ in pairs])
         self.terms, term = np.unique(np.concatenate([u for u, _ in pairs]), return_inverse=True)
         tf = np.concatenate([c for _, c in pairs]).astype(float)
-        df = np.bincount(term)
-        weight = np.log1p((len(pairs) - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + norm[part])
+        every = stats(self.terms) if stats else Stats(len(pairs), lengths.mean(), int(lengths.max()), self.terms, np.bincount(term))
+        df = every.df[np.searchsorted(every.terms, self.terms)]
+        self.longest = every.longest
+        norm = K1 * (1 - B + B * lengths / every.mean)
+        weight = np.log1p((every.parts - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + norm[part])
         weight /= np.bincount(part, weights=weight)[part]
         order = np.lexsort((part, term))
         self.part, self.weight = part[order], weight[order]
@@ -96,21 +126,40 @@ def _words(texts: pa.Array) -> Words:
     return Words(pc.utf8_lower(texts), SIGN_BYTES)
 
 
-def _runs(hashes: np.ndarray, n: int) -> np.ndarray:
+def _runs(hashes: np.ndarray, n: int) -> tuple[int, np.ndarray]:
+    """The runs of n words, of all where they are fewer, and the length of one."""
     n = min(n, len(hashes))
-    return np.unique(window_hashes(hashes, np.array([0, len(hashes)]), n)[0]) if n else np.zeros(0, np.uint64)
+    return n, np.unique(window_hashes(hashes, np.array([0, len(hashes)]), n)[0]) if n else np.zeros(0, np.uint64)
 
 
 def search(index: Index, texts: pa.Array, rules: Rules) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question, answer) of the verified items, the best
     passage of each row and item.
     """
-    if not index.items:
-        return []
     words = _words(texts)
     hashes = words.hashes()
     if not len(hashes):
         return []
+    found = _scored(index, words, hashes, rules) if index.items else {}
+    found |= dict.fromkeys(_exact(index, words, hashes), (1.0, 1.0, 1.0))
+    return [(*key, *value) for key, value in found.items()]
+
+
+def _exact(index: Index, words: Words, hashes: np.ndarray) -> set[tuple[int, int]]:
+    """(row, item) of the short parts whose words follow each other in the row."""
+    found = set()
+    for n, (runs, items) in index.short.items():
+        own, borders = window_hashes(hashes, words.first, n)
+        first = np.searchsorted(runs, own)
+        at = np.flatnonzero(runs[np.minimum(first, len(runs) - 1)] == own)
+        row = np.searchsorted(borders, at, "right") - 1
+        for pair in np.unique(row * len(runs) + first[at]).tolist():
+            r, a = divmod(pair, len(runs))
+            found |= {(r, item) for item in items[a : np.searchsorted(runs, runs[a], "right")]}
+    return found
+
+
+def _scored(index: Index, words: Words, hashes: np.ndarray, rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     known = np.flatnonzero(index.terms[at] == hashes)
     stride = index.longest
@@ -125,19 +174,20 @@ def search(index: Index, texts: pa.Array, rules: Rules) -> list[tuple[int, int,
     pair = np.unique(ids * len(index.terms) + term)
     ids, term = pair // len(index.terms), pair % len(index.terms)
     if not len(ids):
-        return []
+        return {}
     begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
     bound = np.add.reduceat(index.most[term], begin)
     found: dict[tuple[int, int], tuple[float, float, float]] = {}
     end = np.append(begin[1:], len(ids))
-    hopeful = np.flatnonzero(bound >= rules.threshold)
+    least = rules.threshold - 1e-3  # bounds are rounded
+    hopeful = np.flatnonzero(bound >= least)
     for low in range(0, len(hopeful), 2048):
         some = hopeful[low : low + 2048]
         sizes = end[some] - begin[some]
         starts = np.cumsum(sizes) - sizes
         mine = np.arange(sizes.sum()) + np.repeat(begin[some] - starts, sizes)
         bounds = np.add.reduceat(np.take(index.block_most, term[mine], axis=0), starts, axis=0)
-        for k, block in zip(*np.nonzero(bounds >= rules.threshold)):
+        for k, block in zip(*np.nonzero(bounds >= least)):
             j = some[k]
             scores = index.scores(term[begin[j] : end[j]], int(block))
             best = [(i, s) for i, s in scores.items() if s >= rules.threshold]
@@ -150,18 +200,17 @@ def search(index: Index, texts: pa.Array, rules: Rules) -> list[tuple[int, int,
             own = hashes[a : min(a + 2 * stride, words.first[r + 1])]
             for i, s in best:
                 shares = []
-                for part in index.runs[i]:
-                    n = min(rules.n, len(index.hashes[i]))
+                for n, part in index.runs[i]:
                     if not len(part):
                         shares.append(1.0)
                         continue
                     if n not in runs:
-                        runs[n] = _runs(own, n)
+                        runs[n] = _runs(own, n)[1]
                     shares.append(float(np.isin(part, runs[n]).mean()))
                 if shares[0] >= rules.question and shares[1] >= rules.answer:
                     key = (r, index.items[i])
                     found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (s, *shares))
-    return [(*key, *value) for key, value in found.items()]
+    return found
 
 
 def _indexes(benchmark: DataFrame, rules: Rules, max_bytes: int):
@@ -169,9 +218,44 @@ def _indexes(benchmark: DataFrame, rules: Rules, max_bytes: int):
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // max_bytes))
+    stats = _stats(items, rules) if n > 1 else None
     for k in range(n):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").toPandas()
-        yield Index(part["item_id"].tolist(), part["text"].tolist(), rules)
+        yield Index(part["item_id"].tolist(), part["text"].tolist(), rules, stats)
+
+
+def _stats(items: DataFrame, rules: Rules) -> Callable[[np.ndarray], Stats]:
+    """The statistics of all items, for the terms of an index."""
+
+    def run(batches):
+        for _, texts in blocks(batches, "text"):
+            own = [h for _, h in _parts(texts, rules) if len(h) >= rules.least]
+            if not own:
+                continue
+            terms, df = np.unique(np.concatenate([np.unique(h) for h in own]), return_counts=True)
+            words = [len(h) for h in own]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "term": pa.array([None, *terms.view(np.int64).tolist()], pa.int64()),
+                    "n": pa.array([len(own), *df.tolist()], pa.int64()),
+                    "words": pa.array([sum(words), *[0] * len(df)], pa.int64()),
+                    "longest": pa.array([max(words), *[0] * len(df)], pa.int64()),
+                }
+            )
+
+    # The row without a term has the numbers of the parts.
+    found = items.select("text").mapInArrow(run, "term long, n long, words long, longest long")
+    counts = checkpointed(found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")))
+    every = counts.where("term IS NULL").first()
+
+    def stats(terms: np.ndarray) -> Stats:
+        asked = counts.sparkSession.createDataFrame(pa.table({"term": terms.view(np.int64)}))
+        got = counts.join(asked, "term").select("term", "n").toArrow()
+        own, df = got.column("term").to_numpy().view(np.uint64), got.column("n").to_numpy()
+        order = np.argsort(own)
+        return Stats(every.n, every.words / every.n, every.longest, own[order], df[order])
+
+    return stats
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), max_bytes: int = 4_000_000) -> DataFrame:
@@ -180,7 +264,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), ma
 
     Words are runs of a-z, digits and non-ASCII characters of the lower-cased text.
     Null and empty texts hold nothing; items without text are left out; a null
-    item_id is told as null. Repeated rows are searched one by one, repeated
+    item_id is told as null. Items of fewer words than rules.least are found where
+    all their words follow each other, with shares of 1. Repeated rows are searched one by one, repeated
     items once. Extra columns are ignored. max_bytes bounds the items of an
     index; more items take more passes.
     """

@@ -177,6 +177,45 @@ def test_leaks(spark, data, documents, nothing):
     assert find_leaks(df, benchmark.where("false")).count() == 0
 
 
+def test_leaks_of_short_items(spark):
+    """Items of 1 to 9 words are found exactly where their words follow each other."""
+    rng = random.Random(5)
+    benchmark = [(10 * n + k, " ".join(f"q{10 * n + k}x{j}" for j in range(n))) for n in range(1, 10) for k in range(3)]
+    benchmark += [(200, "Q31x0 q31x1, q31x2!"), (201, "..."), (202, "q80x0 q80x1 q80x2")]
+    words = {i: re.findall(r"[a-z0-9]+", t.lower()) for i, t in benchmark}
+    docs = []
+    for i in range(150):
+        own = prose(i, rng.randrange(0, 60), 900).split()
+        item = list(words[benchmark[i % 27][0]])
+        if i % 5 == 0 and len(item) < 8:
+            item.insert(rng.randrange(len(item) + 1), "other") if i % 2 else item.pop()
+        at = rng.randrange(len(own) + 1)
+        docs.append((i, " ".join(own[:at] + item + own[at:]).upper()))
+    docs.append((900, benchmark[9][1] + "y"))
+    expected = set()
+    for i, text in docs:
+        own = re.findall(r"[a-z0-9]+", text.lower())
+        expected |= {(i, k) for k, w in words.items() if w and any(own[a : a + len(w)] == w for a in range(len(own)))}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    assert {n for n in range(1, 10)} <= {len(words[k]) for _, k in expected}
+    for max_bytes in (4_000_000, 300):
+        out = find_leaks(df, items, max_bytes=max_bytes).collect()
+        assert {(r.doc_id, r.item_id) for r in out} == expected and len(out) == len(expected)
+        assert {r.doc_id for r in drop_leaks(df, items, max_bytes=max_bytes).collect()} == {i for i, _ in docs} - {i for i, _ in expected}
+
+
+def test_leaks_do_not_depend_on_the_deal(spark):
+    """Items dealt into several indexes have the scores of one index."""
+    rng = random.Random(6)
+    items = [(k, prose(8000 + k, rng.randrange(9, 200), 60)) for k in range(40)]
+    docs = [(i, prose(i, 40, 60) + " " + " ".join(items[i % 40][1].split()[rng.randrange(3) :]) + " " + prose(500 + i, 40, 60)) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(map(tuple, find_leaks(df, benchmark, max_bytes=b).collect())) for b in (4_000_000, 1500))
+    assert len(one) > 70 and many == one
+
+
 def test_leaks_of_tables(spark, data):
     """The query against a search for runs of 8 words of each item."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

@@ -2,9 +2,10 @@
 
 Paragraphs pass points for their length and commas to their ancestors, less at
 each level; an element's points are discounted by the share of its text that is
-in links. The best container is kept with those of its siblings that score like
-it. Elements that are never the article (scripts, menus, forms, or a name such
-as "sidebar" or "comments") are taken out before.
+in links. The best container is kept with all text beside it that has few links.
+Elements that are never the article (scripts, menus, forms, or a name such as
+"sidebar" or "comments") are taken out before; of a form around the article or
+around most of the page's text, only the controls are.
 
 A page is parsed and scored alone, so this is one map over the rows.
 """
@@ -45,6 +46,8 @@ NEVER = frozenset(
     "head script style noscript template iframe object embed svg canvas math audio video map nav aside footer form button select textarea input "
     "label dialog menu datalist fieldset title".split()
 )
+#: Those of them that pages put around the article all the same.
+AROUND = frozenset(("form", "fieldset"))
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form tablist".split())
 #: Parts of class and id names that mark what isn't the article.
 STRONG = frozenset(
@@ -175,11 +178,11 @@ _READERS = frozenset("comment comments disqus respond reply replies".split())
 
 
 def _sizes(root: Node) -> dict[Node, int]:
-    """The characters of text outside of links and of NEVER elements."""
+    """The characters of text outside of links and of NEVER elements but AROUND."""
     every, todo = [], [root]
     while todo:
         node = todo.pop()
-        if node.name not in NEVER and node.name != "a":
+        if (node.name not in NEVER or node.name in AROUND) and node.name != "a":
             every.append(node)
             todo += [c for c in node.children if isinstance(c, Node)]
     sizes: dict[Node, int] = {}
@@ -196,8 +199,9 @@ def _walk(root: Node) -> list[Node]:
         node, inside = todo.pop()
         if node.parent is not None and _unwanted(node, inside):
             # A wrapper of the article or of most text isn't taken out for its name, unless readers wrote it.
-            wrapper = node.name not in NEVER and node.name != "header" and "hidden" not in node.attrs and not any(x in _READERS or x.startswith("comment") for x in _names(node))
-            if not (wrapper and (_holds(node, _ARTICLE) or sizes.get(node, 0) > 0.6 * sizes[root])):
+            wrapper = (node.name not in NEVER or node.name in AROUND) and node.name != "header" and "hidden" not in node.attrs and not any(x in _READERS or x.startswith("comment") for x in _names(node))
+            most = 0.5 if node.name in AROUND else 0.6
+            if not (wrapper and (_holds(node, _ARTICLE) or sizes.get(node, 0) > most * sizes[root])):
                 node.gone = True
                 continue
         order.append(node)
@@ -283,6 +287,27 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def _beside(best: Node) -> list[list[Node | str]]:
+    """The children of best's parent; texts and inline elements that follow each other are one."""
+    out: list[list[Node | str]] = []
+    inline = False
+    for child in best.parent.children:
+        if isinstance(child, Node) and child.gone:
+            continue
+        before, inline = inline, child is not best and (isinstance(child, str) or child.name not in BLOCK)
+        if before and inline:
+            out[-1].append(child)
+        else:
+            out.append([child])
+    return out
+
+
+def _few_links(nodes: list[Node | str]) -> bool:
+    chars = sum(len(n.strip()) if isinstance(n, str) else n.chars for n in nodes)
+    linked = sum(n.chars if n.name == "a" else n.linked for n in nodes if isinstance(n, Node))
+    return linked < 0.25 * chars
+
+
 def main_text(page: str) -> str:
     """The article of a page, blocks joined by one space; empty if there is none."""
     root = parse(page)
@@ -309,16 +334,19 @@ def main_text(page: str) -> str:
                 alike = lambda n: n.name == "article" and n.points * (1 - _density(n)) >= 0.2 * best.points * (1 - _density(best))
                 return " ".join(_texts([n for n in own if n is best or alike(n)]))
         return " ".join(_texts([best]))
+    # Wrappers of nothing else stand for what is in them.
+    while best.parent.parent is not None and best.parent.name != "html" and best.parent.chars == best.chars:
+        best = best.parent
     points = dict(zip(order, ranked))
-    least = max(10.0, 0.2 * score)
     kept = []
-    for n in best.parent.children:
-        if not isinstance(n, Node) or n.gone:
-            continue
-        alike = n is best or points.get(n, 0) >= least
-        heading = n.name in ("h1", "h2", "h3", "header", "hgroup") and _density(n) < 0.5
-        paragraph = n.name in ("p", "pre", "blockquote") and (n.chars > 80 and _density(n) < 0.25 or 0 < n.chars <= 80 and not n.linked)
-        if alike or heading or paragraph:
+    for own in _beside(best):
+        n = own[0]
+        alike = n is best or isinstance(n, Node) and n.name in CONTAINERS and points.get(n, 0) >= 0.2 * score
+        heading = isinstance(n, Node) and n.name in ("h1", "h2", "h3", "header", "hgroup") and _density(n) < 0.5
+        if alike or heading or _few_links(own):
+            if n is not best and (isinstance(n, str) or n.name not in BLOCK):
+                n = Node("span", {}, None)
+                n.children = own
             kept.append(n)
     return " ".join(_texts(kept))
 

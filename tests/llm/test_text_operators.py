@@ -219,6 +219,33 @@ def test_main_text(page, expected):
     assert main_text(page) == expected
 
 
+ONE = "One paragraph of a part of its own, with a comma, another, and a third one, and after that it goes on without any for as long as it takes to be of some three hundred characters, which is a usual length of a paragraph in a short part of an article that has several of them beside the longest of all."
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        # A form around the page.
+        (
+            f"<body><form id=aspnetForm action=p.aspx><input type=hidden value=v><div id=nav><a href=/>Home</a></div><div id=content><h1>T</h1>{BODY}</div>"
+            "<label>Find <input></label><select><option>One, two</select><textarea>Write, here</textarea><button>Go</button></form><div id=footer>Foot</div></body>",
+            f"T {TEXT}",
+        ),
+        (f"<form><fieldset><legend>T</legend><div>{BODY}</div></fieldset></form>", f"T {TEXT}"),
+        (f"<div id=comments>{'<p>c, c, c</p>' * 99}</div><form class=page><select><option>x</select><article><p>Short, text.</p></article><button>Go</button></form>", "Short, text."),
+        (f"<div>{BODY}<form><p>Your name, please</p><button>Go</button></form></div>", TEXT),
+        # Parts beside the best one.
+        *[(f"<div><div>{BODY * 3}</div><{x}><p>{ONE}</p></{x}></div>", " ".join([TEXT] * 3 + [ONE])) for x in ("div", "section")],
+        (f"<div><div>{BODY * 3}</div><ul><li>First point<li>Second point</ul><table><tr><td>1<td>2</table></div>", " ".join([TEXT] * 3 + ["First point Second point 1 2"])),
+        (f"<div>Before <b>it</b>, text.<div>{BODY * 3}</div><div><div><p>{ONE}</p></div></div>after <a href=/>a link</a></div>", " ".join(["Before it, text."] + [TEXT] * 3 + [ONE])),
+        (f"<body><div><div><div>{BODY * 3}</div></div></div><div><div><p>{ONE}</p></div></div></body>", " ".join([TEXT] * 3 + [ONE])),
+        (f"<div><div>{BODY}</div><div><a href=/a>A link to another page, and more</a> <a href=/b>One more, of them</a></div></div>", TEXT),
+    ],
+)
+def test_article_is_whole(page, expected):
+    assert main_text(page) == expected
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "t"), (2, "u", "", "t"), (3, "u", "<p>a, b" * 20_000, "t"), (3, "u", "<" * 50, "t"), (4, None, "<div>" * 5000 + "deep, text", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.storage import checkpointed
+from ..functions.storage import checkpointed, numbered
 
 PREFIX = "g:"
 
@@ -37,38 +39,46 @@ def grouped_folds(table: DataFrame, key: str, group: str, label: str, n_folds: i
     """(repeat, seed, fold, key, role, group): each group is in the test part of one
     fold, folds have like shares of the classes.
 
-    Groups go to folds from those whose classes vary most, each to the fold that
-    it makes least uneven; ties are broken by a hash of the seed. The loop sees a
-    row of class counts for each group, at most max_groups.
+    Groups of the same class counts are dealt evenly, by a hash of the seed; what is
+    left of them, fewer than folds, goes from those whose classes vary most to the
+    fold that each makes least uneven. The loop sees a row for each different vector
+    of class counts, however many groups have it.
     """
-    max_groups = 200_000
     counts = table.groupBy(group).pivot(label).count().fillna(0)
-    classes = [x for x in counts.columns if x != group]
-    counts = counts.withColumn("__tie", F.xxhash64(F.lit(seed), F.col(group).cast("string")))
-    rows = counts.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        raise ValueError(f"more than {max_groups} groups")
+    classes = [f"__class{i}" for i in range(len(counts.columns) - 1)]
+    counts = counts.toDF(group, *classes).withColumn("__tie", F.xxhash64(F.lit(seed), F.col(group).cast("string")))
+    placed = numbered(counts, [*classes, "__tie", group], "__place")
+    vectors = placed.groupBy(*classes).agg(F.count(F.lit(1)).alias("__n"), F.min("__place").alias("__start")).collect()
 
     def spread(values: list[float]) -> float:
         mean = sum(values) / len(values)
         return sum((v - mean) ** 2 for v in values)
 
-    totals = {x: sum(r[x] for r in rows) or 1 for x in classes}
+    totals = {x: sum(r[x] * r["__n"] for r in vectors) or 1 for x in classes}
     held = [{x: 0 for x in classes} for _ in range(n_folds)]
-    placed = []
-    for row in sorted(rows, key=lambda r: (-spread([r[x] for x in classes]), r["__tie"])):
+    dealt = []
+    for row in sorted(vectors, key=lambda r: (-spread([r[x] for x in classes]), *(r[x] for x in classes))):
         def uneven(fold: int, row=row) -> tuple:
             shares = [
                 spread([(held[f][x] + (row[x] if f == fold else 0)) / totals[x] for f in range(n_folds)]) for x in classes
             ]
             return sum(shares) / len(shares), sum(held[fold].values()), fold
 
-        best = min(range(n_folds), key=uneven)
-        for x in classes:
-            held[best][x] += row[x]
-        placed.append((row[group], best))
-    kind = table.schema[group].dataType.simpleString()
-    assigned = table.sparkSession.createDataFrame(placed, f"`{group}` {kind}, test_fold int")
+        own, left = divmod(row["__n"], n_folds)
+        got = [own] * n_folds
+        for f in range(n_folds):
+            for x in classes:
+                held[f][x] += own * row[x]
+        for _ in range(left):
+            best = min(range(n_folds), key=uneven)
+            got[best] += 1
+            for x in classes:
+                held[best][x] += row[x]
+        dealt.append((*(row[x] for x in classes), [row["__start"] + n for n in accumulate(got)]))
+    # A group's fold is the number of folds whose last place is before its own.
+    ends = table.sparkSession.createDataFrame(dealt, ", ".join(f"{x} long" for x in classes) + ", __ends array<long>")
+    fold_of = F.size(F.filter("__ends", lambda end: end <= F.col("__place"))).alias("test_fold")
+    assigned = placed.join(F.broadcast(ends), classes).select(group, fold_of)
     folds = table.select(key, group).join(assigned, group).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     role = F.when(F.col("fold") == F.col("test_fold"), "test").otherwise("train")
     return folds.select(

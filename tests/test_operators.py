@@ -259,3 +259,13 @@ def test_draw_is_stable(spark):
     one = {r.id for r in sampling.draw(df, "id", "s", quotas, "7/x").collect()}
     assert len(one) == 11 and one == {r.id for r in sampling.draw(df.repartition(6), "id", "s", quotas, "7/x").collect()}
     assert one != {r.id for r in sampling.draw(df, "id", "s", quotas, "8/x").collect()}
+
+
+def test_folds_of_many_groups(spark):
+    """More groups than once went over the driver; every group is in one test part."""
+    n = 200_003
+    table = spark.range(n).select("id", F.col("id").alias("group"), F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("y"))
+    test = groups.grouped_folds(table, "id", "group", "y", 5, seed=3).where("role = 'test'")
+    rows = test.join(table.select("id", "y"), "id").groupBy("fold").agg(F.count_if(F.col("y") == "a").alias("a"), F.count_if(F.col("y") == "b").alias("b")).collect()
+    assert len(rows) == 5 and sum(r.a + r.b for r in rows) == n == test.select("id").distinct().count()
+    assert all(max(r[y] for r in rows) - min(r[y] for r in rows) <= 1 for y in "ab")

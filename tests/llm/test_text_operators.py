@@ -8,11 +8,12 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from llm_prose import prose
 from pyspark.sql import functions as F
 
 from shalebed.llm import entries
 from shalebed.llm.html_extraction import extract_text, main_text
-from shalebed.llm.license_scan import PHRASES, Automaton, scan_licenses
+from shalebed.llm.license_scan import PHRASES, TEMPLATES, Automaton, scan_licenses
 from shalebed.llm.line_dedup import dedup_lines
 from shalebed.llm.quality_rules import bucket_of, judge_quality, keep_good, measure_texts
 from shalebed.llm.token_counts import Transducer, Vocabulary, count_tokens
@@ -131,15 +132,17 @@ def test_license_base(spark, documents, nothing):
 
 
 def test_license_templates(spark):
-    full = (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
-        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
-        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
-        "following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
-    )
+    mit, grant = TEMPLATES["mit"][0], "the warranties of"
+    filled = re.sub(r"<</?optional>>", "", re.sub(r"<<any \d+-\d+>>", "noninfringement", mit))
+    bare = re.sub(r"<<optional>>.*?<</optional>>", "", re.sub(r"<<any \d+-\d+>>", "the authors", mit), flags=re.S)
+    bsd3 = re.sub(r"<</?optional>>", "", re.sub(r"<<any \d+-\d+>>", "acme", TEMPLATES["bsd-3"][0]))
     cases = {
-        full: "mit",
-        full.replace("free of charge", "at no charge"): "",
+        filled: "mit",
+        f"{'x ' * 3000}{bare} and more": "mit",
+        filled.replace("free of charge", "at no charge"): "",
+        filled[: filled.lower().index(grant)] + " provided that no commercial use is made": "",
+        bsd3: "bsd-3",
+        bsd3.replace("endorse", "praise"): "",
         "This work is licensed under the GNU General Public License, version 3.": "gpl-3",
         "licensed under the terms of the GNU General Public License version 2": "gpl-2",
         "All rights reserved.": "reserved",
@@ -149,15 +152,55 @@ def test_license_templates(spark):
     assert {r.doc_id: r.labels for r in scan_licenses(df).collect()} == dict(enumerate(cases.values()))
 
 
+def test_long_wordings(spark):
+    """A wording of any length is accepted, and only as a whole."""
+    wording = prose(11, 1500)
+    df = spark.createDataFrame([(1, f"before {wording} after"), (2, wording.rsplit(" ", 1)[0])], "doc_id long, text string")
+    found = {r.doc_id: (r.labels, [tuple(m) for m in r.matches]) for r in scan_licenses(df, {}, {"own": [wording]}).collect()}
+    assert found == {1: ("own", [(1, 1500, "own")]), 2: ("", [])}
+
+
+#: Markup over few words, so that random texts meet it.
+MARKUP = [
+    "a <<optional>> b <</optional>> c <<any 1-2>> d",
+    "<<any 1-3>> a b",
+    "<<any 0-3>> b <<optional>> c d <</optional>>",
+    "<<optional>> a <<any 0-1>> <</optional>> b c",
+    "<<optional>> c <<optional>> d <</optional>> <</optional>> a <<any 0-2>>",
+    "b",
+]
+
+
+def test_templates_are_regular_expressions(spark):
+    """Each place against all (start, end) that a regular expression of the markup accepts."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randrange(14))) for _ in range(120)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for markup in MARKUP:
+        marks = {"<<optional>>": "(?:", "<</optional>>": ")?"}
+        parts = [marks.get(m) or re.sub(r"<<any (\d)-(\d)>>", r"(?:. ){\1,\2}", m if m.startswith("<<") else f"{m} ") for m in re.findall(r"<<[^>]*>>|\w+", markup)]
+        pattern = re.compile("".join(parts))
+        for r in scan_licenses(df, {}, {"t": [markup]}).collect():
+            own = texts[r.doc_id].split()
+            spans = {(i, j) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if pattern.fullmatch("".join(f"{w} " for w in own[i:j]))}
+            places = {(m.start, m.start + m.length) for m in r.matches}
+            assert places <= spans, (markup, own)
+            # The places are the accepted wordings that lie in no other one.
+            assert places == {(i, j) for i, j in spans if not any(a <= i and j <= b and (a, b) != (i, j) for a, b in spans)}, (markup, own)
+            assert (r.labels == "t") == bool(spans)
+            assert r.score == (len({k for a, b in places for k in range(a, b)}) / len(own) if own else 0)
+
+
 def test_automaton():
     from shalebed.llm.arrow_words import hash_words
 
     machine = Automaton("a <<optional>> b <</optional>> c <<any 1-2>> d")
-    accepts = lambda text: machine.longest(hash_words(text.split()).tolist(), 0) == len(text.split())
+    accepts = lambda text: machine.longest(hash_words(text.split()), 0) == len(text.split())
     assert all(map(accepts, ["a b c x d", "a c x d", "a c x y d"]))
     assert not any(map(accepts, ["a c d", "a c x y z d", "a b b c x d", "b c x d"]))
-    with pytest.raises(ValueError):
-        Automaton("<<optional>> a <</optional>>")
+    for wrong in ("<<optional>> a <</optional>>", "a <<optional>> b", "a <</optional>>", "a <<maybe>> b"):
+        with pytest.raises(ValueError):
+            Automaton(wrong)
 
 
 # Tokens --------------------------------------------------------------------

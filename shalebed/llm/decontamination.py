@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 over test items, every passage a query.
 
-The test items are indexed, the documents are the queries: each passage (a
-window of words; consecutive ones overlap by the longest item) asks for all
-items that score above a share of their own best score. Block-max WAND prunes:
+The test items are indexed by like length, the documents are the queries: each
+passage (a window of words; consecutive ones overlap by the longest such item)
+asks for all items that score above a share of their own best score, an item
+always as a whole. Block-max WAND prunes:
 first by the greatest weight of each term in any item, then by that in each
 block of items; only blocks whose bound passes are scored. What is retrieved is
 verified by the overlap of word runs with the item's question (its first two
@@ -33,104 +34,126 @@ K1, B = 1.2, 0.75
 
 class Rules(NamedTuple):
     """threshold: share of an item's own score. question, answer: least shares of
-    their runs of n words. part: longer items are cut into parts of so many
-    words. least: shorter items and parts must be there word for word.
+    their runs of n words. least: items of fewer words must be there word for word.
     """
 
     threshold: float = 0.6
     question: float = 0.6
     answer: float = 0.6
     n: int = 3
-    part: int = 128
     least: int = 8
 
 
 class Stats(NamedTuple):
-    """Of the scored parts of all items: how many, their mean and greatest number
-    of words, and how many hold each of some terms (sorted).
+    """Of the scored items: how many, their mean number of words, and how many
+    hold each of some terms (sorted).
     """
 
-    parts: int
+    items: int
     mean: float
-    longest: int
     terms: np.ndarray
     df: np.ndarray
 
 
-def _parts(texts: pa.Array, rules: Rules):
-    """(row, hashes of its words) of each part of the items that has words."""
+def _words(texts: pa.Array) -> Words:
+    return Words(pc.utf8_lower(texts), SIGN_BYTES)
+
+
+def _items(texts: pa.Array):
+    """(row, hashes of its words) of each item that has words."""
     words = _words(texts)
     hashes = words.hashes()
     for row, (a, b) in enumerate(zip(words.first[:-1], words.first[1:])):
         if b > a:
-            for own in np.array_split(hashes[a:b], -(-(b - a) // rules.part)):
-                yield row, own
+            yield row, hashes[a:b]
+
+
+def _runs(hashes: np.ndarray, n: int) -> tuple[int, np.ndarray]:
+    """The runs of n words, of all where they are fewer, and the length of one."""
+    n = min(n, len(hashes))
+    return n, np.unique(window_hashes(hashes, np.array([0, len(hashes)]), n)[0]) if n else np.zeros(0, np.uint64)
+
+
+def _above(x: np.ndarray) -> np.ndarray:
+    """The next 32-bit number that isn't less."""
+    return np.nextafter(x.astype(np.float32), np.float32(np.inf))
+
+
+class Level:
+    """The postings of the items of like length. Their passages have stride words
+    twice; an item isn't longer than one stride.
+    """
+
+    def __init__(self, stride: int, items: np.ndarray, first: np.ndarray, item: np.ndarray, weight: np.ndarray, n_blocks: int):
+        """items: numbers of the level's items. first: where each term's postings (item, weight) begin."""
+        self.stride, self.first, self.items, self.weight = stride, first, items, weight
+        self.own = np.searchsorted(items, item)  # the number within the level, ascending in each term
+        self.size = -(-len(items) // n_blocks)
+        terms = len(first) - 1
+        term = np.repeat(np.arange(terms), np.diff(first))
+        most = np.zeros(terms)
+        np.maximum.at(most, term, weight)
+        block_most = np.zeros((terms, -(-len(items) // self.size)))
+        np.maximum.at(block_most, (term, self.own // self.size), weight)
+        # Bounds are rounded up and added in 64 bits: none is below a score.
+        self.most, self.block_most = np.where(most > 0, _above(most), 0), np.where(block_most > 0, _above(block_most), np.float32(0))
+
+    def scores(self, terms: np.ndarray, block: int) -> dict[int, float]:
+        """The scores of a block's items; its postings are found by bisection."""
+        out: dict[int, float] = {}
+        low, high = block * self.size, (block + 1) * self.size
+        for t in terms.tolist():
+            own = slice(self.first[t], self.first[t + 1])
+            a, b = np.searchsorted(self.own[own], (low, high)) + self.first[t]
+            for p, w in zip(self.own[a:b].tolist(), self.weight[a:b].tolist()):
+                out[p] = out.get(p, 0.0) + w
+        return out
 
 
 class Index:
-    """The inverted index of some items. Weights are shares of an item's score.
+    """The inverted index of some items, in levels of like length (powers of two).
+    Weights are shares of an item's score.
 
     stats(terms) has those of all items; without it, these are all.
     """
 
     def __init__(self, ids: list[int], texts: list[str], rules: Rules, stats: Callable[[np.ndarray], Stats] | None = None, n_blocks: int = 32):
-        self.items, self.hashes = [], []
+        self.items, hashes = [], []
         short: dict[int, list[tuple[int, int]]] = {}
-        for row, own in _parts(strings(pa.array(texts, pa.string())), rules):
+        for row, own in _items(strings(pa.array(texts, pa.string()))):
             if len(own) >= rules.least:
                 self.items.append(ids[row])
-                self.hashes.append(own)
+                hashes.append(own)
             else:
                 run = window_hashes(own, np.array([0, len(own)]), len(own))[0][0]
                 short.setdefault(len(own), []).append((int(run), row))
-        # By number of words: the sorted hashes of the short parts and their items.
+        # By number of words: the sorted hashes of the short items and these.
         self.short = {n: (np.array([h for h, _ in sorted(own)], np.uint64), [ids[row] for _, row in sorted(own)]) for n, own in short.items()}
         if not self.items:
             return
-        lengths = np.array([len(h) for h in self.hashes], float)
-        pairs = [np.unique(h, return_counts=True) for h in self.hashes]
-        part = np.repeat(np.arange(len(pairs)), [len(u) for u, _ in pairs])
+        lengths = np.array([len(h) for h in hashes])
+        pairs = [np.unique(h, return_counts=True) for h in hashes]
+        item = np.repeat(np.arange(len(pairs)), [len(u) for u, _ in pairs])
         self.terms, term = np.unique(np.concatenate([u for u, _ in pairs]), return_inverse=True)
         tf = np.concatenate([c for _, c in pairs]).astype(float)
-        every = stats(self.terms) if stats else Stats(len(pairs), lengths.mean(), int(lengths.max()), self.terms, np.bincount(term))
+        every = stats(self.terms) if stats else Stats(len(pairs), lengths.mean(), self.terms, np.bincount(term))
         df = every.df[np.searchsorted(every.terms, self.terms)]
-        self.longest = every.longest
         norm = K1 * (1 - B + B * lengths / every.mean)
-        weight = np.log1p((every.parts - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + norm[part])
-        weight /= np.bincount(part, weights=weight)[part]
-        order = np.lexsort((part, term))
-        self.part, self.weight = part[order], weight[order]
-        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
-        self.size = -(-len(pairs) // n_blocks)
-        self.most = np.maximum.reduceat(self.weight, self.first[:-1]).astype(np.float32)
-        self.block_most = np.zeros((len(self.terms), n_blocks), np.float32)
-        np.maximum.at(self.block_most, (term[order], self.part // self.size), self.weight)
+        weight = np.log1p((every.items - df + 0.5) / (df + 0.5))[term] * tf * (K1 + 1) / (tf + norm[item])
+        weight /= np.bincount(item, weights=weight)[item]
+        order = np.lexsort((item, term))
+        term, item, weight = term[order], item[order], weight[order]
+        self.levels = []
+        octave = np.ceil(np.log2(lengths)).astype(int)
+        for k in np.unique(octave):
+            own = octave[item] == k
+            first = np.searchsorted(term[own], np.arange(len(self.terms) + 1))
+            self.levels.append(Level(1 << int(k), np.flatnonzero(octave == k), first, item[own], weight[own], n_blocks))
         self.runs = []
-        for h in self.hashes:
+        for h in hashes:
             cut = -(-2 * len(h) // 3)
             self.runs.append(tuple(_runs(x, rules.n) for x in (h[:cut], h[cut:])))
 
-    def scores(self, terms: np.ndarray, block: int) -> dict[int, float]:
-        """The scores of a block's items; its postings are found by bisection."""
-        out: dict[int, float] = {}
-        low, high = block * self.size, (block + 1) * self.size
-        for t in terms.tolist():
-            own = slice(self.first[t], self.first[t + 1])
-            a, b = np.searchsorted(self.part[own], (low, high)) + self.first[t]
-            for p, w in zip(self.part[a:b].tolist(), self.weight[a:b].tolist()):
-                out[p] = out.get(p, 0.0) + w
-        return out
-
-
-def _words(texts: pa.Array) -> Words:
-    return Words(pc.utf8_lower(texts), SIGN_BYTES)
-
-
-def _runs(hashes: np.ndarray, n: int) -> tuple[int, np.ndarray]:
-    """The runs of n words, of all where they are fewer, and the length of one."""
-    n = min(n, len(hashes))
-    return n, np.unique(window_hashes(hashes, np.array([0, len(hashes)]), n)[0]) if n else np.zeros(0, np.uint64)
-
 
 def search(index: Index, texts: pa.Array, rules: Rules) -> list[tuple[int, int, float, float, float]]:
     """(row, item, score, question, answer) of the verified items, the best
@@ -140,13 +163,18 @@ def search(index: Index, texts: pa.Array, rules: Rules) -> list[tuple[int, int,
     hashes = words.hashes()
     if not len(hashes):
         return []
-    found = _scored(index, words, hashes, rules) if index.items else {}
+    found: dict[tuple[int, int], tuple[float, float, float]] = {}
+    if index.items:
+        at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
+        known = np.flatnonzero(index.terms[at] == hashes)
+        for level in index.levels:
+            _scored(index, level, words, hashes, known, at[known], rules, found)
     found |= dict.fromkeys(_exact(index, words, hashes), (1.0, 1.0, 1.0))
     return [(*key, *value) for key, value in found.items()]
 
 
 def _exact(index: Index, words: Words, hashes: np.ndarray) -> set[tuple[int, int]]:
-    """(row, item) of the short parts whose words follow each other in the row."""
+    """(row, item) of the short items whose words follow each other in the row."""
     found = set()
     for n, (runs, items) in index.short.items():
         own, borders = window_hashes(hashes, words.first, n)
@@ -159,38 +187,42 @@ def _exact(index: Index, words: Words, hashes: np.ndarray) -> set[tuple[int, int
     return found
 
 
-def _scored(index: Index, words: Words, hashes: np.ndarray, rules: Rules) -> dict[tuple[int, int], tuple[float, float, float]]:
-    at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-    known = np.flatnonzero(index.terms[at] == hashes)
-    stride = index.longest
-    # Passage p of a row covers its words from p * stride to (p + 2) * stride.
-    counts = words.counts
-    passages = np.maximum(-(-counts // stride) - 1, (counts > 0).astype(np.int64))
-    base = np.concatenate([[0], np.cumsum(passages)])
+def passages(counts: np.ndarray, stride: int) -> np.ndarray:
+    """The number of each row's passages: p covers its words from p * stride to (p + 2) * stride."""
+    return np.maximum(-(-counts // stride) - 1, (counts > 0).astype(np.int64))
+
+
+def _scored(index: Index, level: Level, words: Words, hashes: np.ndarray, known: np.ndarray, at: np.ndarray, rules: Rules, found: dict) -> None:
+    """Adds what the passages of a level find. known: the words that some item has, at: their terms."""
+    stride = level.stride
+    mine = level.most[at] > 0
+    known, at = known[mine], at[mine]
+    count = passages(words.counts, stride)
+    base = np.concatenate([[0], np.cumsum(count)])
     row = np.searchsorted(words.first, known, "right") - 1
     p = (known - words.first[row]) // stride
-    ids = np.concatenate([(base[row] + p)[p < passages[row]], (base[row] + p - 1)[p > 0]])
-    term = np.concatenate([at[known][p < passages[row]], at[known][p > 0]])
+    here, before = p < count[row], p > 0
+    ids = np.concatenate([(base[row] + p)[here], (base[row] + p - 1)[before]])
+    term = np.concatenate([at[here], at[before]])
     pair = np.unique(ids * len(index.terms) + term)
     ids, term = pair // len(index.terms), pair % len(index.terms)
     if not len(ids):
-        return {}
+        return
     begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    bound = np.add.reduceat(index.most[term], begin)
-    found: dict[tuple[int, int], tuple[float, float, float]] = {}
+    bound = np.add.reduceat(level.most[term], begin, dtype=float)
     end = np.append(begin[1:], len(ids))
-    least = rules.threshold - 1e-3  # bounds are rounded
+    least = rules.threshold - 1e-9
     hopeful = np.flatnonzero(bound >= least)
     for low in range(0, len(hopeful), 2048):
         some = hopeful[low : low + 2048]
         sizes = end[some] - begin[some]
         starts = np.cumsum(sizes) - sizes
         mine = np.arange(sizes.sum()) + np.repeat(begin[some] - starts, sizes)
-        bounds = np.add.reduceat(np.take(index.block_most, term[mine], axis=0), starts, axis=0)
+        bounds = np.add.reduceat(np.take(level.block_most, term[mine], axis=0), starts, axis=0, dtype=float)
         for k, block in zip(*np.nonzero(bounds >= least)):
             j = some[k]
-            scores = index.scores(term[begin[j] : end[j]], int(block))
-            best = [(i, s) for i, s in scores.items() if s >= rules.threshold]
+            scores = level.scores(term[begin[j] : end[j]], int(block))
+            best = [(int(level.items[i]), s) for i, s in scores.items() if s >= least]
             if not best:
                 continue
             passage = int(ids[begin[j]])
@@ -210,7 +242,6 @@ def _scored(index: Index, words: Words, hashes: np.ndarray, rules: Rules) -> dic
                 if shares[0] >= rules.question and shares[1] >= rules.answer:
                     key = (r, index.items[i])
                     found[key] = max(found.get(key, (0.0, 0.0, 0.0)), (s, *shares))
-    return found
 
 
 def _indexes(benchmark: DataFrame, rules: Rules, max_bytes: int):
@@ -229,23 +260,21 @@ def _stats(items: DataFrame, rules: Rules) -> Callable[[np.ndarray], Stats]:
 
     def run(batches):
         for _, texts in blocks(batches, "text"):
-            own = [h for _, h in _parts(texts, rules) if len(h) >= rules.least]
+            own = [h for _, h in _items(texts) if len(h) >= rules.least]
             if not own:
                 continue
             terms, df = np.unique(np.concatenate([np.unique(h) for h in own]), return_counts=True)
-            words = [len(h) for h in own]
             yield pa.RecordBatch.from_pydict(
                 {
                     "term": pa.array([None, *terms.view(np.int64).tolist()], pa.int64()),
                     "n": pa.array([len(own), *df.tolist()], pa.int64()),
-                    "words": pa.array([sum(words), *[0] * len(df)], pa.int64()),
-                    "longest": pa.array([max(words), *[0] * len(df)], pa.int64()),
+                    "words": pa.array([sum(map(len, own)), *[0] * len(df)], pa.int64()),
                 }
             )
 
-    # The row without a term has the numbers of the parts.
-    found = items.select("text").mapInArrow(run, "term long, n long, words long, longest long")
-    counts = checkpointed(found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words"), F.max("longest").alias("longest")))
+    # The row without a term has the numbers of the items.
+    found = items.select("text").mapInArrow(run, "term long, n long, words long")
+    counts = checkpointed(found.groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
     every = counts.where("term IS NULL").first()
 
     def stats(terms: np.ndarray) -> Stats:
@@ -253,7 +282,7 @@ def _stats(items: DataFrame, rules: Rules) -> Callable[[np.ndarray], Stats]:
         got = counts.join(asked, "term").select("term", "n").toArrow()
         own, df = got.column("term").to_numpy().view(np.uint64), got.column("n").to_numpy()
         order = np.argsort(own)
-        return Stats(every.n, every.words / every.n, every.longest, own[order], df[order])
+        return Stats(every.n, every.words / every.n, own[order], df[order])
 
     return stats
 
@@ -262,12 +291,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules(), ma
     """(doc_id, item_id, score, question_overlap, answer_overlap): the items that
     each row of docs holds, the best passage of each.
 
-    Words are runs of a-z, digits and non-ASCII characters of the lower-cased text.
-    Null and empty texts hold nothing; items without text are left out; a null
-    item_id is told as null. Items of fewer words than rules.least are found where
-    all their words follow each other, with shares of 1. Repeated rows are searched one by one, repeated
-    items once. Extra columns are ignored. max_bytes bounds the items of an
-    index; more items take more passes.
+    Words are runs of a-z, digits and non-ASCII characters of the lower-cased
+    text. A row and an item are told once, with the passage of the greatest score
+    (then question, then answer). Items of fewer words than rules.least are found
+    where all their words follow each other, with shares of 1; longer ones, of
+    any length, are judged as wholes.
+
+    Null and empty texts hold nothing; items without text or words are left out,
+    and an empty table on either side gives no rows. A null item_id is told as
+    null. Repeated rows are searched one by one, repeated items once; items of
+    one text and several ids are told by each. Texts are searched whole, some
+    megabytes at a time. Extra columns are ignored. max_bytes bounds the items
+    of an index (one longer item is an index of its own); more take more passes.
     """
     spark = docs.sparkSession
     out = None

@@ -216,6 +216,69 @@ def test_leaks_do_not_depend_on_the_deal(spark):
     assert len(one) > 70 and many == one
 
 
+def unpruned(docs, items, threshold=0.6, question=0.6, answer=0.6, n=3, least=8):
+    """find_leaks in plain Python: every passage against every item, nothing pruned."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+    runs = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    words = {k: split(t) for k, t in dict(items).items()}
+    scored = {k: w for k, w in words.items() if len(w) >= least}
+    mean = sum(map(len, scored.values())) / max(1, len(scored))
+    df = Counter(t for w in scored.values() for t in set(w))
+    out = {}
+    for i, text in docs:
+        own = split(text)
+        for k, w in words.items():
+            if len(w) < least:
+                if w and tuple(w) in runs(own, len(w)):
+                    out[i, k] = (1.0, 1.0, 1.0)
+                continue
+            weight = {}
+            for t, tf in Counter(w).items():
+                norm = 1.2 * (0.25 + 0.75 * len(w) / mean)
+                weight[t] = math.log1p((len(scored) - df[t] + 0.5) / (df[t] + 0.5)) * tf * 2.2 / (tf + norm)
+            stride = 1 << math.ceil(math.log2(len(w)))
+            cut = -(-2 * len(w) // 3)
+            for p in range(max(-(-len(own) // stride) - 1, min(1, len(own)))):
+                passage = own[p * stride : (p + 2) * stride]
+                score = sum(weight[t] for t in set(passage) & set(weight)) / sum(weight.values())
+                shares = [len(runs(x, m) & runs(passage, m)) / len(runs(x, m)) for x in (w[:cut], w[cut:]) if (m := min(n, len(x)))]
+                if score >= threshold - 1e-9 and shares[0] >= question and shares[1] >= answer:
+                    out[i, k] = max(out.get((i, k), (0.0, 0.0, 0.0)), (score, *shares))
+    return out
+
+
+def test_leaks_are_those_of_unpruned_bm25(spark):
+    rng = random.Random(9)
+    items = [(k, prose(8000 + k, rng.choice([3, 7, 8, 9, 15, 16, 17, 40, 130, 1000]), rng.choice([12, 60, 900]))) for k in range(60)]
+    docs = []
+    for i in range(160):
+        item = items[i % 60][1].split()
+        for _ in range(rng.randrange(1 + len(item) // 4)):  # words changed, dropped and moved
+            item[rng.randrange(len(item))] = rng.choice(["w1", "w2", "zz"])
+        a = rng.randrange(1 + len(item) // 4)
+        docs.append((i, " ".join([prose(i, rng.randrange(80), 60), *item[a:], prose(900 + i, rng.randrange(80), 60)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = unpruned(docs, items)
+    near = sum(0.6 <= min(v) < 0.8 for v in expected.values())
+    assert len(expected) > 80 and near > 5
+    for max_bytes in (4_000_000, 2500):
+        found = {(r.doc_id, r.item_id): tuple(r)[2:] for r in find_leaks(df, benchmark, max_bytes=max_bytes).collect()}
+        assert found.keys() == expected.keys()
+        assert all(abs(x - y) < 1e-9 for k in found for x, y in zip(found[k], expected[k]))
+
+
+def test_long_items_are_wholes(spark):
+    """A part of a long item isn't the item; all of it is, and so is nearly all."""
+    words = prose(77, 1000, 5000).split()
+    docs = [(1, " ".join(words)), (2, " ".join(words[:125])), (3, " ".join(words[:640])), (4, prose(1, 700) + " " + " ".join(words[20:980]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(5, " ".join(words)), (6, prose(78, 20))], "item_id long, text string")
+    found = {r.doc_id: r for r in find_leaks(df, benchmark).collect()}
+    assert set(found) == {1, 4} and all(r.item_id == 5 for r in found.values())
+    assert found[1].score == pytest.approx(1) and found[1].question_overlap == found[1].answer_overlap == 1
+
+
 def test_leaks_of_tables(spark, data):
     """The query against a search for runs of 8 words of each item."""
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")

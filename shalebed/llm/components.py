@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .common import checkpointed
 
 
+def _sum(edges: DataFrame):
+    """A row that is the same for equal sets of edges."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, root) for every node of edges (u, v), longs; root is the least node.
 
@@ -16,8 +21,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     with very many neighbours is summed on the map side first, and adaptive
     execution splits its part of a join. Loops are ignored.
     """
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _sum(edges)
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -26,7 +31,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = checkpointed(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _sum(edges)
         if now == before:
             break
         before = now

@@ -1,11 +1,13 @@
 """N-gram Jaccard join by MinHash banding.
 
-Documents of equal words are one class first, so that copies cost nothing. The
-classes' MinHash bands are shuffled by their hashes; equal bands link a class to
-the least class of the bucket, never all pairs. The components of these links
-are candidate clusters, and each class's full n-gram set travels once, to its
-cluster, where every pair is verified. A large cluster is split into blocks, and
-the pairs of blocks are verified by different tasks.
+Documents of equal words are one node first, so that copies cost nothing. The
+nodes' MinHash bands are shuffled by their hashes; nodes of one band are a
+bucket. A node's home is the largest bucket that it is in; a large home is split
+into cells of a bounded size. Two cells meet if some bucket has nodes of both,
+and each meeting is a task of its own that verifies the pairs of its nodes on
+their full n-gram sets. So every two nodes of a bucket are compared exactly
+once, near copies of one another mostly meet in one cell, and a chain of
+buckets never becomes one group. The verified links' components are the classes.
 """
 
 from __future__ import annotations
@@ -81,26 +83,26 @@ def _signatures(n: int, bands: int, rows: int):
                 out[full, b] = h
             sums = [_sequence_hashes(words, salt) for salt in (0x51, 0xA7)]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(borders) > 0),
+                [part.column(0), part.column(1), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.diff(borders)),
                  pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, bands, dtype=np.int32)), pa.array(out.ravel().view(np.int64)))],
-                names=["doc", "node", "check", "filled", "bands"],
+                names=["doc", "text_hash", "node", "check", "runs", "bands"],
             )
 
     return run
 
 
+_CELLS = ["i", "j", "cell", "node", "copies"]
+
+
 def _sets(n: int):
-    """Sorted distinct n-gram hashes of each row whose words are those of its node."""
+    """Sorted distinct n-gram hashes of each row."""
 
     def run(batches):
         for part, texts in blocks(batches, "text"):
-            words = Words(texts)
-            runs, borders = shingle_hashes(words, n)
-            own = np.flatnonzero(_sequence_hashes(words, 0x51) == part.column(part.schema.get_field_index("node")).to_numpy())
-            sets = [np.unique(runs[borders[r] : borders[r + 1]]).tobytes() for r in own]
-            take = pa.array(own)
-            keep = [part.column(part.schema.get_field_index(c)).take(take) for c in ("root", "i", "j", "block", "node", "copies")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], names=["root", "i", "j", "block", "node", "copies", "grams"])
+            runs, borders = shingle_hashes(Words(texts), n)
+            sets = [np.unique(runs[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:])]
+            keep = [part.column(part.schema.get_field_index(c)) for c in _CELLS]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], names=[*_CELLS, "grams"])
 
     return run
 
@@ -143,15 +145,13 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(threshold: float):
-    """mapInArrow over rows sorted by (root, i, j): links of each node and edges."""
+    """mapInArrow over rows sorted by (i, j): links of each node and edges."""
 
     def verified(rows: pa.Table):
-        node, block, copies = (rows.column(c).to_numpy() for c in ("node", "block", "copies"))
+        rows = rows.sort_by("node")
+        node, cell, copies = (rows.column(c).to_numpy() for c in ("node", "cell", "copies"))
         i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        node, first = np.unique(node, return_index=True)  # rows may repeat
-        block, copies = block[first], copies[first]
-        grams = rows.column("grams")
-        sets = [np.frombuffer(grams[int(r)].as_buffer(), np.uint64) for r in first]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("grams")]
         size = np.array([len(s) for s in sets])
         if len(sets) == 2:
             shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
@@ -161,7 +161,7 @@ def _verify(threshold: float):
         linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
         np.fill_diagonal(linked, False)
         if i != j:
-            linked &= block[:, None] != block[None, :]
+            linked &= cell[:, None] != cell[None, :]
         # Components among these, by the least index reached.
         label = np.arange(len(node))
         while True:
@@ -179,7 +179,7 @@ def _verify(threshold: float):
         waiting: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+            keys = np.stack([batch.column(k).to_numpy() for k in range(2)])
             cuts = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])) if batch.num_rows else []
             for a, b in zip(cuts, [*cuts[1:], batch.num_rows]):
                 if key is not None and key != tuple(keys[:, a]):
@@ -193,6 +193,66 @@ def _verify(threshold: float):
     return run
 
 
+def _meetings(nodes: DataFrame, block: int, block_runs: int) -> DataFrame:
+    """(i, j, cell, node, doc, text_hash, copies): one row for each node and
+    meeting of cells it takes part in. nodes: node, doc, text_hash, copies, runs, bands.
+    """
+    banded = nodes.select("node", "runs", F.explode("bands").alias("band"))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("all_runs")).where("n > 1")
+    members = checkpointed(banded.select("node", "band").join(buckets, "band"))
+    homes = members.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "band", "all_runs")).alias("home"))
+    parts = F.greatest(F.ceil(-F.col("home.n") / block), F.ceil(F.col("home.all_runs") / block_runs))
+    cell = F.xxhash64("home.band", F.pmod(F.xxhash64("node"), parts))
+    homes = checkpointed(homes.select("node", cell.alias("cell")))
+    seen = members.select("node", "band").join(homes, "node").select("band", "cell").distinct()
+    mixed = seen.groupBy("band").agg(F.min("cell").alias("least"), F.max("cell").alias("most")).where("least < most").select("band")
+    seen = checkpointed(seen.join(mixed, "band"))
+    other = seen.select("band", F.col("cell").alias("j"))
+    across = seen.select("band", F.col("cell").alias("i")).join(other, "band").where("i < j").select("i", "j").distinct()
+    within = homes.select("cell").distinct().select(F.col("cell").alias("i"), F.col("cell").alias("j"))
+    pairs = within.unionByName(across).select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
+    return pairs.join(homes, "cell").join(nodes.select("node", "doc", "text_hash", "copies"), "node")
+
+
+def _classed(docs: DataFrame, threshold: float, n: int, recall: float, block: int, block_runs: int = 4_000_000) -> DataFrame:
+    """(doc, text_hash, class, links, kept) for every row of docs; NO_ID for null ids."""
+    bands, rows = choose_bands(threshold, recall)
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    signed = keyed.mapInArrow(_signatures(n, bands, rows), "doc long, text_hash long, node long, check long, runs long, bands array<long>")
+    signed = checkpointed(signed)
+    nodes = (
+        signed.where("runs > 0")
+        .groupBy("node", "check")
+        .agg(F.min(F.struct("doc", "text_hash")).alias("lead"), F.count(F.lit(1)).alias("copies"), F.first("runs").alias("runs"), F.first("bands").alias("bands"))
+        .select("node", "check", "lead.*", "copies", "runs", "bands")
+    )
+    nodes = checkpointed(nodes)
+    # Each node's text comes from one row, however often its document and text repeat.
+    met = keyed.join(_meetings(nodes, block, block_runs), ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash", "i", "j"])
+    sets = met.select(*_CELLS, "text").mapInArrow(_sets(n), "i long, j long, cell long, node long, copies long, grams binary")
+    found = sets.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_verify(threshold), "node long, to long, links long")
+    found = checkpointed(found)
+    classes = connected_components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    rooted = (
+        nodes.select("node", "check", "doc", "text_hash", "copies")
+        .join(classes, "node", "left")
+        .join(links, "node", "left")
+        .select("node", "check", "doc", "text_hash", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    )
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc", "text_hash")).alias("first"))
+    known = rooted.join(first, "root").select("node", "check", "links", "first")
+    told = signed.select("doc", "text_hash", "node", "check", (F.col("runs") > 0).alias("filled")).join(known, ["node", "check"], "left")
+    return told.select(
+        "doc",
+        "text_hash",
+        F.when(F.col("filled"), F.col("first.doc")).otherwise(F.col("doc")).alias("class"),
+        F.when(F.col("filled"), F.col("links")).otherwise(F.lit(0)).cast("long").alias("links"),
+        (~F.col("filled") | ((F.col("doc") == F.col("first.doc")) & (F.col("text_hash") == F.col("first.text_hash")))).alias("kept"),
+    )
+
+
 def join_similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9999, block: int = 768) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, class_id, n_links and kept.
 
@@ -201,77 +261,36 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     of fewer than n words has its words as its only run. Classes are the
     components of the links; class_id is the least doc_id of the class, n_links
     the number of other documents linked to this one, those of equal words
-    included. kept marks one document of each class, the least.
+    included. kept marks one document of each class: the least doc_id and, of
+    different texts with it, the least text hash.
 
     Texts without words (null, empty, white space) are linked to none: each is
     its own class. Rows without doc_id count as one id before all others, and
     have a null class_id where that is the least. Rows that repeat a doc_id are
     linked like others; equal rows are kept together. Extra columns are ignored.
+    Components are found in rounds that grow with the logarithm of the longest
+    chain of links; more than 50 are an error.
 
-    block: the most classes of one verifying task; larger clusters are split
-    into blocks, whose pairs are verified apart, so that none is left out.
+    block: the most nodes of one cell (a cell of very long texts has fewer). m
+    texts that are all alike meet in m / block cells, each text as often; texts
+    that share a bucket with few others are sent a few times, however long the
+    chain that they are part of. No pair of a bucket is left out.
     """
-    bands, rows = choose_bands(threshold, recall)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = keyed.mapInArrow(_signatures(n, bands, rows), "doc long, node long, check long, filled boolean, bands array<long>")
-    signed = checkpointed(signed)
-    filled = signed.where("filled")
-    nodes = filled.groupBy("node", "check").agg(F.min("doc").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
-    nodes = checkpointed(nodes)
-
-    banded = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("v"), F.max("node").alias("most")).where("v < most").drop("most")
-    clusters = connected_components(banded.join(buckets, "band").select(F.col("node").alias("u"), "v"))
-    sized = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    members = clusters.join(sized, "root").join(nodes.select("node", "least", "copies"), "node")
-    members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-
-    candidates = keyed.withColumn("doc_", F.col("doc")).drop("doc").join(members, F.col("doc_") == F.col("least"))
-    # Each block meets each other block, and itself, once.
-    spread = candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "copies", "text"
-    )
-    sets = spread.mapInArrow(_sets(n), "root long, i int, j int, block int, node long, copies long, grams binary")
-    found = (
-        sets.repartition("root", "i", "j")
-        .sortWithinPartitions("root", "i", "j")
-        .mapInArrow(_verify(threshold), "node long, to long, links long")
-    )
-    found = checkpointed(found)
-    classes = connected_components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    rooted = (
-        nodes.select("node", "check", "least", "copies")
-        .join(classes, "node", "left")
-        .join(links, "node", "left")
-        .select("node", "check", "least", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    )
-    first = rooted.groupBy("root").agg(F.min(F.struct("least", "node")).alias("first"))
-    known = rooted.join(first, "root").select(
-        "node",
-        "check",
-        F.col("first.least").alias("class"),
-        (F.col("links") + F.col("copies") - 1).alias("links"),
-        (F.col("first.node") == F.col("node")).alias("leads"),
-    )
-    told = signed.select("doc", "node", "check", "filled").join(known, ["node", "check"], "left")
-    no_id = lambda c: F.when(c != NO_ID, c)
-    return told.select(
-        no_id(F.col("doc")).alias("doc_id"),
-        no_id(F.when(F.col("filled"), F.col("class")).otherwise(F.col("doc"))).alias("class_id"),
-        F.when(F.col("filled"), F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        (~F.col("filled") | (F.col("leads") & (F.col("doc") == F.col("class")))).alias("kept"),
-    )
+    no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    return _classed(docs, threshold, n, recall, block).select(no_id("doc").alias("doc_id"), no_id("class").alias("class_id"), F.col("links").alias("n_links"), "kept")
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """The rows of docs without all but one of each class of join_similar.
 
-    Of equal rows one stays; texts without words all stay, but for equal rows.
+    Rows are told apart by doc_id and text, so one row stays of each class also
+    where ids repeat or are null. Of rows equal in both one stays, whatever
+    their other columns; texts without words all stay, but for such rows.
     """
-    kept = join_similar(docs, threshold, n).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("k_id")).distinct()
-    shown = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__text", F.xxhash64("text"))
-    return shown.join(kept, F.col("__id") == F.col("k_id"), "left_semi").dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+    kept = _classed(docs, threshold, n, 0.9999, 768).where("kept").select(F.col("doc").alias("k_id"), F.col("text_hash").alias("k_text")).distinct()
+    shown = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "__text": F.xxhash64(F.coalesce("text", F.lit("")))})
+    same = (F.col("__id") == F.col("k_id")) & (F.col("__text") == F.col("k_text"))
+    return shown.join(kept, same, "left_semi").dropDuplicates(["__id", "__text"]).drop("__id", "__text")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

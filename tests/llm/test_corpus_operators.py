@@ -15,7 +15,7 @@ from llm_prose import prose
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shalebed.llm import entries
+from shalebed.llm import entries, ngram_join
 from shalebed.llm.components import connected_components
 from shalebed.llm.decontamination import drop_leaks, find_leaks
 from shalebed.llm.lm_scoring import score_documents
@@ -82,6 +82,51 @@ def test_joins(spark, documents, nothing, odd_rows):
     assert join_similar(nothing).count() == 0
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark):
+    copy, other, near = prose(21, 60), prose(22, 60), near_copies(23, 6, 200, 2)
+    rows = [(1, copy), (2, copy), (2, other), (3, other + " tail"), (3, other + " tail"), (None, near[0]), (None, near[1]), (7, near[2]), (None, None), (None, None), (8, "")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, kept long")
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in join_similar(df).collect()) == classes(rows)
+    out = Counter((r.doc_id, r.text) for r in keep_one_of_each(df).collect())
+    first = min((near[0], near[1]), key=lambda t: next(r.h for r in df.where(F.col("text") == t).select(F.xxhash64("text").alias("h")).collect()))
+    assert out == Counter([(1, copy), (2, other), (None, first), (None, None), (8, "")])
+
+
+def test_many_rows_without_ids(spark):
+    """A thousand rows of a few hundred texts, none with an id, are no product."""
+    texts = near_copies(31, 20, 100, 3) + [prose(1000 + k, 50) for k in range(180)]
+    rows = [(None, texts[k % 200]) for k in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = join_similar(df).collect()
+    assert len(out) == 1000 and {r.class_id for r in out} == {None}
+    assert Counter(r.n_links for r in out) == Counter(n for _, _, n in classes(rows).elements())
+    kept = keep_one_of_each(df).collect()
+    assert len(kept) == len({r.text for r in kept}) == 180 + len({c for _, c, _ in classes(list(enumerate(texts[:20])))})
+
+
+def test_a_long_chain_is_no_group(spark):
+    """5,000 texts, each like the few before and after it, are one class; each is sent a few times."""
+    words = prose(41, 5000 * 6 + 300, 10**6).split()
+    rows = [(k, " ".join(words[6 * k : 6 * k + 300])) for k in range(5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    sent, meetings = [], ngram_join._meetings
+
+    def counted(*args):
+        out = meetings(*args)
+        sent.append(out.count())
+        return out
+
+    ngram_join._meetings = counted
+    try:
+        out = join_similar(df).collect()
+    finally:
+        ngram_join._meetings = meetings
+    assert {r.class_id for r in out} == {0} and len(out) == 5000
+    alike = max(k for k in range(50) if 296 - 6 * k >= 0.8 * (296 + 6 * k))
+    assert Counter(r.n_links for r in out)[2 * alike] == 5000 - 2 * alike
+    assert sent[0] < 40 * 5000
+
+
 def test_bands():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.99)):
         bands, rows = choose_bands(threshold, recall)

@@ -2,18 +2,21 @@
 
 Paragraphs pass points for their length and commas to their ancestors, less at
 each level; an element's points are discounted by the share of its text that is
-in links. The best container is kept with all text beside it that has few links.
-Elements that are never the article (scripts, menus, forms, or a name such as
-"sidebar" or "comments") are taken out before; of a form around the article or
-around most of the page's text, only the controls are.
-
-A page is parsed and scored alone, so this is one map over the rows.
+in links, and by names that speak for and against it. The best container is kept
+with all text beside it that has few links; lists of links in it go, with their
+headings. Elements that are never the article (scripts, menus, forms, or one
+whose name ends in "sidebar" or "comments") are taken out before; of a form
+around the article or around most of the page's text, only the controls are.
+
+A page is read once from left to right, in time proportional to its length
+whatever stands in it, and scored alone, so this is one map over the rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,86 +65,167 @@ STRONG_ENDS = ("nav", "menu", "sidebar", "comments", "advert", "footer")
 WEAK = frozenset("header side rail aside search form tags meta toc hidden".split())
 GOOD = frozenset("article content body main entry post text story page blog".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: A start tag: a name, then values behind = (quoted ones may hold < and >) and anything else. Nothing is tried twice.
+_TAG = re.compile(r"<([A-Za-z][^\s/><]*+)((?:=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?+|[^=<>]++)*+)>")
+_END_TAG = re.compile(r"</([A-Za-z][^\s/><]*+)[^<>]*+>")
+_ATTR = re.compile(r"([^\s=/>\"']++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parent", "children", "points", "chars", "linked", "gone")
+    __slots__ = ("name", "attrs", "parent", "children", "points", "chars", "linked", "gone", "factor")
 
     def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
         self.name, self.attrs, self.parent = name, attrs, parent
         self.children: list[Node | str] = []
-        self.points, self.chars, self.linked, self.gone = 0.0, 0, 0, False
+        self.points, self.chars, self.linked, self.gone, self.factor = 0.0, 0, 0, False, 1.0
+
+
+class _Open:
+    """The open elements, with the depths of each name and of the blocks."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks = [0]
+
+    def push(self, node: Node) -> None:
+        self.depths.setdefault(node.name, []).append(len(self.stack))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, name: str) -> int:
+        found = self.depths.get(name)
+        return found[-1] if found else 0
+
+    def close(self, depth: int) -> None:
+        """Closes the element of a depth and all in it."""
+        while len(self.stack) > depth:
+            node = self.stack.pop()
+            self.depths[node.name].pop()
+            if node.name in BLOCK:
+                self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        depth = self.last(name)
+        # An inline end tag doesn't close blocks around it.
+        if depth and (name in BLOCK or depth > self.blocks[-1]):
+            self.close(depth)
+
+    def begin(self, name: str) -> None:
+        """Closes what a start tag of this name ends."""
+        if name in ENDS_P and self.last("p") == self.blocks[-1] > 0:
+            self.close(self.blocks[-1])
+        if name in CLOSES:
+            names, borders = CLOSES[name]
+            border = max(map(self.last, borders))
+            within = [own[at] for n in names if (own := self.depths.get(n)) and (at := bisect_right(own, border)) < len(own)]
+            if within:
+                self.close(min(within))
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page, however broken; text is decoded once."""
+    """The element tree of a page, however broken; text is decoded once. A tag
+    that doesn't end is text; a comment or script that doesn't end is the rest.
+    """
     root = Node("#root", {}, None)
-    here, at = root, 0
-
-    def add(text: str) -> None:
-        if text:
-            here.children.append(html.unescape(text))
-
-    while True:
-        m = _TOKEN.search(page, at)
+    opened = _Open(root)
+    at = begun = 0
+    ends: dict[str, int] = {}  # by what ends something: where it was found last
+
+    def find(what: str, start: int) -> int:
+        """Where what stands next, or the end; each stretch is searched once."""
+        known = ends.get(what, -1)
+        if known < start:
+            known = page.find(what, start)
+            ends[what] = known = len(page) if known < 0 else known
+        return known
+
+    def add(to: int) -> None:
+        if to > begun:
+            opened.stack[-1].children.append(html.unescape(page[begun:to]))
+
+    while (at := page.find("<", at)) >= 0:
+        mark = page[at + 1 : at + 2]
+        if mark == "!" or mark == "?":
+            add(at)
+            if page.startswith("<!--", at):
+                begun = at = min(len(page), find("-->", at + 4) + 3)
+            elif page.startswith("<![CDATA[", at):
+                to = find("]]>", at + 9)
+                if to > at + 9:
+                    opened.stack[-1].children.append(page[at + 9 : to])
+                begun = at = min(len(page), to + 3)
+            else:
+                begun = at = min(len(page), find(">", at) + 1)
+            continue
+        m = None
+        if find(">", at) < len(page):
+            m = (_END_TAG if mark == "/" else _TAG).match(page, at)
         if not m:
-            add(page[at:])
-            return root
-        add(page[at : m.start()])
-        at = m.end()
-        if not (name := m["name"]):
-            if m[0].startswith("<![CDATA["):
-                here.children.append(m[0][9:].removesuffix("]]>"))
+            at += 1
             continue
-        name = name.lower()
-        if m["end"]:
-            node = here
-            while node is not root and node.name != name:
-                # An inline end tag doesn't close blocks around it.
-                node = root if name not in BLOCK and node.name in BLOCK else node.parent
-            if node is not root:
-                here = node.parent
+        add(at)
+        begun = at = m.end()
+        name = m[1].lower()
+        if mark == "/":
+            opened.end(name)
             continue
-        if name in ENDS_P:
-            node = here
-            while node is not root and node.name != "p" and node.name not in BLOCK:
-                node = node.parent
-            if node.name == "p":
-                here = node.parent
-        if name in CLOSES:
-            names, borders = CLOSES[name]
-            node, last = here, None
-            while node is not root and node.name not in borders:
-                last = node if node.name in names else last
-                node = node.parent
-            if last is not None:
-                here = last.parent
-        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
+        opened.begin(name)
+        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[2])} if m[2] else {}
+        here = opened.stack[-1]
         node = Node(name, attrs, here)
         here.children.append(node)
         if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*(?:>|$)", re.I).search(page, at)
+            close = None
+            if ends.get(f"</{name}", 0) <= len(page):
+                close = re.compile(rf"</{name}\s*+(?:>|$)", re.I).search(page, at)
             if close:
-                at = close.end()
-            elif name in ("script", "style"):
-                at = len(page)
+                begun = at = close.end()
+            else:
+                ends[f"</{name}"] = len(page) + 1  # none follows
+                if name in ("script", "style"):
+                    begun = at = len(page)
         elif name not in VOID:
-            here = node
+            opened.push(node)
+    add(len(page))
+    return root
+
+
+_ARTICLE = frozenset(("article", "main"))
+_READERS = frozenset("comment comments disqus respond reply replies".split())
+
+
+def _kind(part: str) -> str:
+    if part in STRONG or part.startswith(STRONG_STARTS) or part.endswith(STRONG_ENDS):
+        return "strong"
+    return "good" if part in GOOD else "weak" if part in WEAK else ""
 
 
 def _names(node: Node) -> set[str]:
-    named = f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"
-    return {x.lower() for x in _PART.findall(named)} if named != " " else set()
+    """What the class and id say: for each name the last part that says anything
+    ("good" of alert-story, "strong" of story-alert), "mixed" for a good one with
+    a strong part, and "readers".
+    """
+    found: set[str] = set()
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+        parts = [x.lower() for x in _PART.findall(name)]
+        kinds = [k for k in map(_kind, parts) if k]
+        if kinds:
+            found.add(kinds[-1])
+            if kinds[-1] == "good" and "strong" in kinds:
+                found.add("mixed")
+        if any(x in _READERS or x.startswith("comment") for x in parts):
+            found.add("readers")
+    return found
 
 
-def _unwanted(node: Node, in_article: bool) -> bool:
+def _hidden(attrs: dict[str, str]) -> bool:
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*+:\s*+none|visibility\s*+:\s*+hidden", attrs.get("style", "")))
+
+
+def _unwanted(node: Node, names: set[str], in_article: bool) -> bool:
     name, attrs = node.name, node.attrs
     if name in NEVER:
         return True
@@ -149,61 +233,48 @@ def _unwanted(node: Node, in_article: bool) -> bool:
         return not in_article
     if not attrs:
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")):
+    if _hidden(attrs):
         return True
     if name in ("html", "body", "main"):
         return False
-    if attrs.get("role", "").lower() in ROLES:
-        return True
-    parts = _names(node)
-    strong = parts & STRONG or any(x.startswith(STRONG_STARTS) or x.endswith(STRONG_ENDS) for x in parts)
-    return bool(strong or parts & WEAK and not parts & GOOD)
-
-
-def _holds(node: Node, names: frozenset[str]) -> bool:
-    todo = [node]
-    while todo:
-        for child in todo.pop().children:
-            if isinstance(child, Node):
-                if child.name in names and not _names(child) & STRONG:
-                    return True
-                todo.append(child)
-    return False
+    return attrs.get("role", "").lower() in ROLES or "strong" in names or "readers" in names or "weak" in names and "good" not in names
 
 
-_ARTICLE = frozenset(("article", "main"))
-
-
-_READERS = frozenset("comment comments disqus respond reply replies".split())
-
-
-def _sizes(root: Node) -> dict[Node, int]:
-    """The characters of text outside of links and of NEVER elements but AROUND."""
+def _sizes(root: Node) -> tuple[dict[Node, int], set[Node]]:
+    """The characters of text outside of links and of NEVER elements but AROUND,
+    and the elements that hold an article.
+    """
     every, todo = [], [root]
     while todo:
         node = todo.pop()
-        if (node.name not in NEVER or node.name in AROUND) and node.name != "a":
-            every.append(node)
-            todo += [c for c in node.children if isinstance(c, Node)]
+        every.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
     sizes: dict[Node, int] = {}
+    holds: set[Node] = set()
     for node in reversed(every):
-        sizes[node] = sum(len(c.strip()) if isinstance(c, str) else sizes.get(c, 0) for c in node.children)
-    return sizes
+        if (node.name not in NEVER or node.name in AROUND) and node.name != "a":
+            sizes[node] = sum(len(c.strip()) if isinstance(c, str) else sizes.get(c, 0) for c in node.children)
+        if node.parent is not None and (node in holds or node.name in _ARTICLE and "strong" not in _names(node)):
+            holds.add(node.parent)
+    return sizes, holds
 
 
 def _walk(root: Node) -> list[Node]:
     """All nodes that may be the article's, parents first; others are marked gone."""
-    sizes = _sizes(root)
+    sizes, holds = _sizes(root)
     order, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
-        if node.parent is not None and _unwanted(node, inside):
+        names = _names(node) if node.attrs else set()
+        if node.parent is not None and _unwanted(node, names, inside):
             # A wrapper of the article or of most text isn't taken out for its name, unless readers wrote it.
-            wrapper = (node.name not in NEVER or node.name in AROUND) and node.name != "header" and "hidden" not in node.attrs and not any(x in _READERS or x.startswith("comment") for x in _names(node))
+            wrapper = (node.name not in NEVER or node.name in AROUND) and node.name != "header" and "hidden" not in node.attrs and "readers" not in names
             most = 0.5 if node.name in AROUND else 0.6
-            if not (wrapper and (_holds(node, _ARTICLE) or sizes.get(node, 0) > most * sizes[root])):
+            if not (wrapper and (node in holds or sizes.get(node, 0) > most * sizes[root])):
                 node.gone = True
                 continue
+        if "mixed" in names:
+            node.factor = 0.3
         order.append(node)
         inside = inside or node.name in _ARTICLE
         todo += [(c, inside) for c in reversed(node.children) if isinstance(c, Node)]
@@ -287,12 +358,12 @@ def _density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
-def _beside(best: Node) -> list[list[Node | str]]:
-    """The children of best's parent; texts and inline elements that follow each other are one."""
+def _parts(parent: Node, best: Node | None) -> list[list[Node | str]]:
+    """The children of a container; texts and inline elements that follow each other are one."""
     out: list[list[Node | str]] = []
     inline = False
-    for child in best.parent.children:
-        if isinstance(child, Node) and child.gone:
+    for child in parent.children:
+        if child.gone if isinstance(child, Node) else not child.strip() and not inline:
             continue
         before, inline = inline, child is not best and (isinstance(child, str) or child.name not in BLOCK)
         if before and inline:
@@ -302,10 +373,44 @@ def _beside(best: Node) -> list[list[Node | str]]:
     return out
 
 
-def _few_links(nodes: list[Node | str]) -> bool:
+def _links(nodes: list[Node | str]) -> float:
+    """The share of their text that is in links."""
     chars = sum(len(n.strip()) if isinstance(n, str) else n.chars for n in nodes)
     linked = sum(n.chars if n.name == "a" else n.linked for n in nodes if isinstance(n, Node))
-    return linked < 0.25 * chars
+    return linked / chars if chars else 0.0
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header hgroup".split())
+_LISTS = frozenset("ul ol dl table div section menu".split())
+
+
+def _kept(parent: Node, best: Node | None, worth: dict[Node, float], least: float) -> list[Node]:
+    """The children of a container that are the article's: best; what is worth
+    the least; and what has few links, unless its name speaks against it or it is
+    another article. Without a best one, all but lists of links. A heading stays
+    with what follows it.
+    """
+    kept: list[Node] = []
+    stays = False  # what follows
+    for own in reversed(_parts(parent, best)):
+        n = own[0]
+        element = isinstance(n, Node)
+        if best is None:
+            stay = not (element and n.name in _LISTS) or _links(own) < 0.5
+        else:
+            alike = element and n.name in CONTAINERS and worth.get(n, 0.0) >= least
+            stay = n is best or alike or _links(own) < 0.25 and not (element and (n.name == "article" or n.factor < 1))
+        if element and n.name in _HEADINGS and n is not best:
+            stay = stays and _links(own) < 0.5
+        elif element and n.chars == 0:
+            continue  # says nothing, so a heading before it looks further
+        stays = stay
+        if stay:
+            if n is not best and (not element or n.name not in BLOCK):
+                n = Node("span", {}, None)
+                n.children = own
+            kept.append(n)
+    return kept[::-1]
 
 
 def main_text(page: str) -> str:
@@ -313,42 +418,30 @@ def main_text(page: str) -> str:
     root = parse(page)
     order = _walk(root)
     _score(root, order)
-    bonus = {n: 25.0 for n in order if n.name in _ARTICLE and n.chars}
-    ranked = [(n.points + bonus.get(n, 0.0)) * (1 - _density(n)) for n in order]
-    candidates = [(s, n) for s, n in zip(ranked, order) if n.name in CONTAINERS and s > 0]
+    worth = {n: n.points * (1 - _density(n)) * n.factor for n in order}
+    ranked = {n: worth[n] + (25.0 * (1 - _density(n)) * n.factor if n.name in _ARTICLE and n.chars else 0.0) for n in order if n.name in CONTAINERS}
+    candidates = [n for n, w in ranked.items() if w > 0]
     if not candidates:
         body = next((n for n in order if n.name == "body"), root)
         return " ".join(_texts([body])) if _density(body) < 0.5 else ""
-    score, best = max(candidates, key=lambda x: x[0])
+    best = max(candidates, key=ranked.__getitem__)
     # A part of an article stands for all of it.
     node = best
     while node is not None:
-        if node.name in _ARTICLE:
+        if node.name == "article":
             best = node
         node = node.parent
-    if best.name in _ARTICLE or best.parent is None:
-        if best.name == "article" and best.parent is not None:
-            # Further articles beside it are kept if they score alike.
-            own = [n for n in best.parent.children if isinstance(n, Node) and not n.gone]
-            if best.parent.name != "main":
-                alike = lambda n: n.name == "article" and n.points * (1 - _density(n)) >= 0.2 * best.points * (1 - _density(best))
-                return " ".join(_texts([n for n in own if n is best or alike(n)]))
-        return " ".join(_texts([best]))
+    if best.name == "article" and best.parent is not None and best.parent.name != "main":
+        # Further articles beside it are kept if they score alike.
+        own = [n for n in best.parent.children if isinstance(n, Node) and not n.gone and n.name == "article"]
+        return " ".join(_texts([n for n in own if n is best or worth[n] >= 0.2 * worth[best]]))
+    least = 0.2 * max(worth[best], 1e-9)
     # Wrappers of nothing else stand for what is in them.
-    while best.parent.parent is not None and best.parent.name != "html" and best.parent.chars == best.chars:
+    while best.name != "main" and best.parent.parent is not None and best.parent.name != "html" and best.parent.chars == best.chars:
         best = best.parent
-    points = dict(zip(order, ranked))
-    kept = []
-    for own in _beside(best):
-        n = own[0]
-        alike = n is best or isinstance(n, Node) and n.name in CONTAINERS and points.get(n, 0) >= 0.2 * score
-        heading = isinstance(n, Node) and n.name in ("h1", "h2", "h3", "header", "hgroup") and _density(n) < 0.5
-        if alike or heading or _few_links(own):
-            if n is not best and (isinstance(n, str) or n.name not in BLOCK):
-                n = Node("span", {}, None)
-                n.children = own
-            kept.append(n)
-    return " ".join(_texts(kept))
+    if best.name in ("main", "body", "html") or best.parent is None:
+        return " ".join(_texts(_kept(best, None, worth, least)))
+    return " ".join(_texts(_kept(best.parent, best, worth, least)))
 
 
 def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -289,6 +290,41 @@ def test_article_is_whole(page, expected):
     assert main_text(page) == expected
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        # Links beside the article and their headings, in main and out of it.
+        (f"<main><article><h1>T</h1>{BODY}</article><div>Read next <a href=/1>Other story one</a> <a href=/2>Other story two</a></div></main>", f"T {TEXT}"),
+        (f"<main><h1>T</h1>{BODY}<h2>Read next</h2><ul><li><a href=/1>Other story one</a><li><a href=/2>Other story two</a></ul></main>", f"T {TEXT}"),
+        (f"<main><h1>T</h1><div>{BODY}</div><h2>More</h2><p>{ONE}</p><h3>Read on</h3><div><a href=/1>Other story one</a></div></main>", f"T {TEXT} More {ONE}"),
+        (f"<main><h1>T</h1><article>{BODY * 3}</article><article class=card><h2>Teaser</h2><p>One, two.</p></article></main>", " ".join(["T"] + [TEXT] * 3)),
+        (f"<body><h1>T</h1>{BODY}<div><a href=/1>Other story one</a></div></body>", f"T {TEXT}"),
+        # A name ends in what it says.
+        (f"<article>{BODY}<p class='weather-alert-story'>{ONE}</p></article>", f"{TEXT} {ONE}"),
+        (f"<article>{BODY}<p class='story-alert'>{ONE}</p><div class='story-comments'><p>{ONE}</p></div></article>", TEXT),
+        (f"<div><div class=post>{BODY}</div><div class='sidebar-content'><p>Look, here</p></div></div>", TEXT),
+        # No article, no main.
+        (f"<table><tr><td><a href=/>Home</a></td><td>{BODY}</td></tr></table>", TEXT),
+        (f"<div class=wrap>{BODY}</div>", TEXT),
+        # Broken markup.
+        (f"<div><p title=it's>One, two.</p><p>It's three, four.</p>{BODY}</div>", f"One, two. It's three, four. {TEXT}"),
+        (f"<div>{BODY}a < b, <b c</div>", f"{TEXT} a < b, <b c"),
+        (f"<p title='a > b'>{ONE}</p></section></b>{BODY}", f"{ONE} {TEXT}"),
+    ],
+)
+def test_main_text_of_parts(page, expected):
+    assert main_text(page) == expected
+
+
+@pytest.mark.parametrize("part", ["<a", '<a "', "<a =\"", "<a '\"", "</b>", "</b", "</b ", "<aside>", "<div class=ad>", "<!--", "<!", "<![CDATA[", "</title  ", "<a b=c ", "&amp", '<a x="<a y=\'', " \t"])
+def test_hostile_pages_take_linear_time(part):
+    """A megabyte of each in two seconds, with twice that for a slow machine."""
+    began = time.perf_counter()
+    main_text(part * (1_000_000 // len(part)))
+    main_text(f"<p class{' ' * 500_000}x='" + part * (500_000 // len(part)))
+    assert time.perf_counter() - began < 6
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "t"), (2, "u", "", "t"), (3, "u", "<p>a, b" * 20_000, "t"), (3, "u", "<" * 50, "t"), (4, None, "<div>" * 5000 + "deep, text", "t")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from shalebed.llm import entries, ngram_join
+from shalebed.llm import lm_scoring as lm
 from shalebed.llm.components import connected_components
 from shalebed.llm.decontamination import drop_leaks, find_leaks
 from shalebed.llm.lm_scoring import score_documents
@@ -374,6 +375,112 @@ def test_model_beats_counts(spark):
     assert score > 0.95 * base
 
 
+def scores_by_hand(rows, max_head, bits, steps, epochs, rate, damp, every, mass):
+    """The model's log10 probability of each row, token by token in plain Python."""
+    import pyarrow as pa
+
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
+    part = [zlib.crc32(("" if i is None else str(i)).encode()) % 1_000_000 // 10 % steps for i, _ in rows]
+    ids = [lm._tokens(pa.array([t or ""], pa.large_string()))[0].tolist() for _, t in rows]
+    c = Counter(x for own, h in zip(ids, held) if not h for x in own)
+    sizes = Counter(n if n < 64 else n >> (n.bit_length() - 6) << (n.bit_length() - 6) for n in c.values())
+    fits = [b for b in sizes if sum(n for other, n in sizes.items() if other >= b) <= max_head]
+    head = sorted((x for x in c if fits and c[x] >= min(fits)), key=lambda x: (-c[x], x))
+    top = {x: k for k, x in enumerate(head[:128])}
+    class_of = lambda x: top.get(x, 128 + x % 128)
+    total, size = Counter(), Counter()
+    for x, n in c.items():
+        total[class_of(x)] += n
+        size[class_of(x)] += 1
+    share = {k: total[k] + 0.1 * (size[k] + 1) for k in range(128, 256)}
+    prior = np.array([share.get(k, total[k] + 1e-3) for k in range(256)]).reshape(16, 16)
+    prior = np.log(prior.sum(1) / prior.sum()), np.log(prior / prior.sum(1, keepdims=True))
+    weights = [np.zeros((1 << bits, 16)), np.zeros((1 << bits, 16))]
+
+    def levels(own):
+        """For each token and level: its feature rows, its target and its prior."""
+        classes = np.array([class_of(x) for x in own])
+        borders = np.array([0, len(own)])
+        f = lm._features(np.array(own), classes, borders, bits)
+        inner = lm._second(f, classes // 16, bits)
+        return [[(f[k], classes[k] // 16, prior[0]), (inner[k], classes[k] % 16, prior[1][classes[k] // 16])] for k in range(len(own))]
+
+    def chances(level, rows, before):
+        z = np.exp(weights[level][rows].sum(0) + before)
+        return z / z.sum()
+
+    for t in range(steps * epochs):
+        n, seen, due = ([Counter(), Counter()] for _ in range(3))
+        for own, h, k in zip(ids, held, part):
+            for token in levels(own) if not h and k == t % steps else ():
+                for level, (rows_, target, before) in enumerate(token):
+                    p = chances(level, rows_, before)
+                    for f in rows_.tolist():
+                        n[level][f] += 1
+                        seen[level][f] = seen[level][f] + np.eye(16)[target]
+                        due[level][f] = due[level][f] + p
+        for level in (0, 1):
+            for f, m in n[level].items():
+                more = damp * np.maximum(due[level][f] / m, 1e-6)
+                step = rate / (1 + 0.3 * t) * np.log((seen[level][f] + more) / (due[level][f] + more))
+                weights[level][f] += np.clip(step, -3, 3)
+
+    def context(own, k):
+        """The two words before and the class, where they are chosen."""
+        at, _ = lm._contexts(np.array(own), np.array([class_of(x) for x in own]), np.array([0, len(own)]), every)
+        return (*[own[k - j] if k >= j else None for j in (1, 2)], class_of(own[k])) if k in at else None
+
+    grams = Counter()
+    for own, h in zip(ids, held):
+        for k, x in enumerate(own):
+            if not h and (about := context(own, k)) and x in head:
+                grams[about] += 1
+                grams[about, x] += 1
+    out = []
+    for own in ids:
+        score = 0.0
+        for k, (x, token) in enumerate(zip(own, levels(own))):
+            for level, (rows_, target, before) in enumerate(token):
+                score += math.log10(chances(level, rows_, before)[target])
+            if x not in top:
+                p = (c[x] + 0.1) / share[class_of(x)]
+                if about := context(own, k):
+                    p = (grams[about, x] + mass * p) / (grams[about] + mass)
+                score += math.log10(p)
+        out.append(score)
+    return out
+
+
+def test_scores_by_hand(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 900}" for _ in range(rng.randrange(80))) for _ in range(60)]
+    texts += [texts[3], texts[4], texts[4], "", None]
+    rows = list(enumerate(texts)) + [(None, texts[7])]
+    settings = dict(max_head=220, bits=9, steps=2, epochs=2, rate=0.5, damp=4.0, every=2, mass=2.0)
+    out = {r.doc_id: r.score for r in score_documents(spark.createDataFrame(rows, "doc_id long, text string"), **settings).collect()}
+    for (i, _), score in zip(rows, scores_by_hand(rows, **settings)):
+        assert out[i] == pytest.approx(score, rel=1e-4), i
+
+
+def test_scores_do_not_depend_on_partitions(spark, data):
+    """Scores of 2 and 16 partitions, and the gain on text held out, above single counts."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    one, other = (score_documents(docs.repartition(n)).toPandas().sort_values("doc_id") for n in (2, 16))
+    assert np.allclose(one["score"], other["score"], rtol=1e-6)
+    out = one[one["held_out"]]
+    assert (out["score"] - out["base_score"]).sum() / out["n_tokens"].sum() >= 0.3
+
+
+def test_documents_that_occur_twice_are_likelier(spark):
+    """The n-gram features grow with the corpus: they know what they have seen."""
+    rows = [(i, prose(i, 200, 3000)) for i in range(300)] + [(1000 + i, prose(i, 200, 3000)) for i in range(40)]
+    out = score_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    gain = (out["score"] - out["base_score"]) / out["n_tokens"]
+    twice = gain[[i for i in range(40) if not out["held_out"][i] and not out["held_out"][1000 + i]]]
+    once = gain[[i for i in range(40, 300) if not out["held_out"][i]]]
+    assert (twice.to_numpy()[:, None] > once.to_numpy()[None, :]).mean() > 0.9
+
+
 # Packing -------------------------------------------------------------------
 
 

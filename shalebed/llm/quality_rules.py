@@ -5,8 +5,11 @@ histogram (exact below 64, 32 buckets for each further power of two, so values
 are off by 1/32 at most): a table (lang, source, measure, bucket, n) made by a
 plain grouped count. Two sketches merge by adding n, so those of a language and
 of everything are sums of the sketches of its sources, not further scans.
-Thresholds are fences around the middle half of a group's values and are joined
-back to the documents.
+Thresholds come from a group's own quantiles: a narrow fence from its quartiles
+and a far one from its first and last hundredth, each spread times as far out as
+the quantile is from the median. A group's fences are averaged with those of its
+language, and these with those of all, by their numbers of rows. They are joined
+back to the documents: one far outside in one thing, or outside in two, goes.
 """
 
 from __future__ import annotations
@@ -19,13 +22,18 @@ from pyspark.sql.window import Window
 
 from .common import checkpointed, strip_white, table, words_of
 
-#: measure: (expression, slack added to the fence, whether it has a lower fence)
+#: measure: (expression, what it is about, whether it has lower fences)
 MEASURES = {
-    "symbols": ("1000 * n_symbols div nullif(word_chars, 0)", 30, False),
-    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", 400, False),
-    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", 350, False),
-    "word_length": ("100 * word_chars div nullif(n_words, 0)", 100, True),
+    "symbols": ("1000 * n_symbols div nullif(word_chars, 0)", "signs", False),
+    "dup_lines": ("1000 * n_dup_lines div nullif(n_lines, 0)", "repetition", False),
+    "repeats": ("1000 * n_repeat_words div nullif(n_words, 0)", "repetition", False),
+    "word_length": ("100 * word_chars div nullif(n_words, 0)", "words", True),
 }
+#: Percent of the quantiles of a sketch.
+LEVELS = (1, 25, 50, 75, 99)
+#: fence: (the quantile it is outside of, its sign)
+FENCES = {"hi": (75, 1), "far_hi": (99, 1), "lo": (25, -1), "far_lo": (1, -1)}
+SIDES = [f"{m}_{x}" for m, (_, _, two) in MEASURES.items() for x in FENCES if two or x.endswith("hi")]
 
 
 def _repeat_words(windows: Column) -> Column:
@@ -99,50 +107,58 @@ def merged(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, keys: list[str], prefix: str, spread: int) -> DataFrame:
-    """One row for each group: size and the fences lo and hi of each measure,
-    spread times the distance of the quartiles, and the slack, outside them.
-    """
+    """One row for each group: size and the fences of each measure."""
     group = Window.partitionBy(*keys, "measure")
     ranked = sketches.select(
         "*", F.sum("n").over(group.orderBy("bucket")).alias("upto"), F.sum("n").over(group).alias("all")
     )
-    quartiles = ranked.groupBy(*keys, "measure").agg(
+    quantiles = ranked.groupBy(*keys, "measure").agg(
         F.max("all").alias("size"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bucket"))).alias("q3"),
+        *[F.min(F.when(F.col("upto") * 100 >= F.col("all") * q, F.col("bucket"))).alias(f"q{q}") for q in LEVELS],
     )
-    width = spread * (F.col("q3") - F.col("q1"))
     columns = [F.max("size").alias(f"{prefix}_size")]
-    for name, (_, slack, two_sided) in MEASURES.items():
-        mine = F.col("measure") == name
-        columns.append(F.max(F.when(mine, F.col("q3") + width + slack)).alias(f"{prefix}_{name}_hi"))
-        if two_sided:
-            columns.append(F.max(F.when(mine, F.col("q1") - width - slack)).alias(f"{prefix}_{name}_lo"))
-    return quartiles.groupBy(*keys).agg(*columns)
+    for side in SIDES:
+        name, fence = next((m, side.removeprefix(f"{m}_")) for m in MEASURES if side.startswith(f"{m}_"))
+        q, sign = FENCES[fence]
+        value = F.col(f"q{q}") + spread * (F.col(f"q{q}") - F.col("q50"))
+        value = value if sign > 0 else F.greatest(value, F.lit(0))
+        columns.append(F.max(F.when(F.col("measure") == name, value)).alias(f"{prefix}_{side}"))
+    return quantiles.groupBy(*keys).agg(*columns)
 
 
-def judge_quality(docs: DataFrame, spread: int = 3, min_group: int = 200) -> DataFrame:
+def judge_quality(docs: DataFrame, spread: int = 3, shrink: int = 200) -> DataFrame:
     """doc_id, the measures, base_failed and kept for every row of docs.
 
-    Rows of a language and source are judged by the fences of that group; a
-    group of fewer than min_group rows that pass the base rules takes those of
-    its language, a language as small those of all rows. Null lang or source is
-    a group of its own. Rows without words fail the base rules. Only rows that
-    pass them enter the sketches. Missing lang or source columns count as null;
-    every other column is ignored. Repeated rows are judged one by one.
+    Rows are judged by the fences of their language and source, averaged with
+    those of the language as if it had shrink more rows, and these with those of
+    all rows likewise: a small group has its language's fences, a large one its
+    own, with no switch between. Null lang or source is a group of its own. A row
+    goes if a measure is beyond a far fence or if measures about two different
+    things (signs, repetition, words) are beyond the near ones.
+
+    Rows without words fail the base rules. Only rows that pass them enter the
+    sketches. Missing lang or source columns count as null; every other column is
+    ignored. Repeated rows are judged one by one.
     """
     for name in ("lang", "source"):
         if name not in docs.columns:
             docs = docs.withColumn(name, F.lit(None).cast("string"))
-    return _judged(measure_texts(docs.select("doc_id", "lang", "source", "text")).drop("text"), spread, min_group)
+    return _judged(measure_texts(docs.select("doc_id", "lang", "source", "text")).drop("text"), spread, shrink)
+
+
+def _beyond(measure: str, far: str) -> Column:
+    expression, _, two_sided = MEASURES[measure]
+    value = bucket_of(F.expr(expression))  # as the fences see it
+    outside = value > F.col(f"fence_{measure}_{far}hi")
+    return outside | (value < F.col(f"fence_{measure}_{far}lo")) if two_sided else outside
 
 
-def _judged(measured: DataFrame, spread: int, min_group: int) -> DataFrame:
+def _judged(measured: DataFrame, spread: int, shrink: int) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     measured = measured.withColumn("base_failed", failed)
     measured = checkpointed(measured)  # small rows; the texts are not read and split again
     passed = measured.where(~F.col("base_failed")).withColumns({m: F.expr(e) for m, (e, _, _) in MEASURES.items()})
-    by_source = sketch(passed, ["lang", "source"])
+    by_source = checkpointed(sketch(passed, ["lang", "source"]))
     by_lang = merged(by_source, ["lang"])
     overall = merged(by_lang, [])
     source_fences = fences(by_source, ["lang", "source"], "s", spread)
@@ -150,18 +166,16 @@ def _judged(measured: DataFrame, spread: int, min_group: int) -> DataFrame:
     all_fences = fences(overall, [], "a", spread)
     # One row for each group; the documents meet this small table only.
     limits = source_fences.join(lang_fences, F.col("lang").eqNullSafe(F.col("l_lang")), "left").crossJoin(F.broadcast(all_fences))
-    small, tiny = F.col("s_size") < min_group, F.col("l_size") < min_group
-    sides = [f"{m}_hi" for m in MEASURES] + [f"{m}_lo" for m, (_, _, two) in MEASURES.items() if two]
-    limits = limits.select(
-        F.col("lang").alias("g_lang"),
-        F.col("source").alias("g_source"),
-        *[F.when(small & tiny, F.col(f"a_{x}")).when(small, F.col(f"l_{x}")).otherwise(F.col(f"s_{x}")).alias(f"fence_{x}") for x in sides],
-    )
+    for own, wider in (("l", "a"), ("s", "l")):
+        limits = limits.withColumns({f"{own}_{x}": F.expr(f"({own}_{x} * {own}_size + {wider}_{x} * {shrink}) div ({own}_size + {shrink})") for x in SIDES})
+    limits = limits.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *[F.col(f"s_{x}").alias(f"fence_{x}") for x in SIDES])
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
     judged = measured.join(limits, same, "left")
-    within = [F.expr(e) <= F.col(f"fence_{m}_hi") for m, (e, _, _) in MEASURES.items()]
-    within += [F.expr(e) >= F.col(f"fence_{m}_lo") for m, (e, _, two) in MEASURES.items() if two]
-    inside = reduce(lambda a, b: a & b, within)
+    far = reduce(lambda a, b: a | b, [_beyond(m, "far_") for m in MEASURES])
+    about: dict[str, Column] = {}
+    for m, (_, what, _) in MEASURES.items():
+        about[what] = about[what] | _beyond(m, "") if what in about else _beyond(m, "")
+    bad = far | (reduce(lambda a, b: a + b, [x.cast("int") for x in about.values()]) >= 2)
     return judged.select(
         "doc_id",
         "n_words",
@@ -170,24 +184,23 @@ def _judged(measured: DataFrame, spread: int, min_group: int) -> DataFrame:
         "n_dup_lines",
         "n_repeat_words",
         "base_failed",
-        F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(False))).alias("kept"),
-        *[F.col(f"fence_{x}") for x in sides],
+        F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(~bad, F.lit(False))).alias("kept"),
+        *[F.col(f"fence_{x}") for x in SIDES],
     )
 
 
-def keep_good(docs: DataFrame, spread: int = 3, min_group: int = 200) -> DataFrame:
+def keep_good(docs: DataFrame, spread: int = 3, shrink: int = 200) -> DataFrame:
     """The rows of docs that judge_quality keeps, with the columns of docs.
 
-    Rows of one doc_id with different texts are judged apart, as the verdict is
-    joined on the doc_id and a hash of the text.
+    Rows of one doc_id that differ in text, lang or source (null and empty too)
+    are judged apart, as the verdict is joined on the doc_id and a hash of these;
+    rows equal in all of them share a verdict.
     """
-    names = {"doc_id": "__id", "text": "text", "lang": "lang", "source": "source"}
-    shown = docs.select(
-        F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("h")).alias("__key"), "*"
-    )
-    verdict = judge_quality(
-        shown.select(F.col("__key").alias("doc_id"), *[c for c in names if c != "doc_id"]), spread, min_group
-    ).where("kept").select("doc_id.*").distinct().select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
+    own = [c for x in ("lang", "source") if x in docs.columns for c in (F.col(x).isNull(), F.col(x))]
+    shown = docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), *own).alias("h")).alias("__key"), "*")
+    named = [c for c in ("text", "lang", "source") if c in docs.columns]
+    verdict = judge_quality(shown.select(F.col("__key").alias("doc_id"), *named), spread, shrink).where("kept").select("doc_id.*").distinct()
+    verdict = verdict.select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
     same = F.col("__key.doc_id").eqNullSafe(F.col("k_id")) & (F.col("__key.h") == F.col("k_h"))
     return shown.join(verdict, same, "left_semi").drop("__key")
 
@@ -197,33 +210,45 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_fences() -> str:
-    rows, columns = [], []
-    for name, (_, slack, two_sided) in MEASURES.items():
-        rows.append(f"SELECT lang, source, '{name}' AS measure, {name} AS v FROM passed")
-        hi = f"max(CASE WHEN measure = '{name}' THEN q3 + 3 * (q3 - q1) + {slack} END)::BIGINT AS {name}_hi"
-        columns.append(hi)
-        if two_sided:
-            columns.append(f"max(CASE WHEN measure = '{name}' THEN q1 - 3 * (q3 - q1) - {slack} END)::BIGINT AS {name}_lo")
-    sides = [c.rpartition(" AS ")[2] for c in columns]
-    pick = ", ".join(
-        f"CASE WHEN s.size < 200 AND l.size < 200 THEN a.{x} WHEN s.size < 200 THEN l.{x} ELSE s.{x} END AS fence_{x}" for x in sides
-    )
+    rows = [f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM passed" for m in MEASURES]
+    columns = []
+    for side in SIDES:
+        name, fence = next((m, side.removeprefix(f"{m}_")) for m in MEASURES if side.startswith(f"{m}_"))
+        q, sign = FENCES[fence]
+        value = f"q{q} + 3 * (q{q} - q50)" if sign > 0 else f"greatest(q{q} + 3 * (q{q} - q50), 0)"
+        columns.append(f"max(CASE WHEN measure = '{name}' THEN {value} END)::BIGINT AS {side}")
+    quantiles = ", ".join(f"min(bucket) FILTER (upto * 100 >= total * {q}) AS q{q}" for q in LEVELS)
     levels = ", ".join(
         f"""{p}r AS (SELECT {k} AS gk, measure, bucket, sum(n) AS n FROM sk GROUP BY ALL),
         {p}c AS (SELECT *, sum(n) OVER (PARTITION BY gk, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY gk, measure) AS total FROM {p}r),
-        {p}q AS (SELECT gk, measure, max(total) AS size, min(bucket) FILTER (upto * 4 >= total) AS q1, min(bucket) FILTER (upto * 4 >= total * 3) AS q3 FROM {p}c GROUP BY ALL),
+        {p}q AS (SELECT gk, measure, max(total)::BIGINT AS size, {quantiles} FROM {p}c GROUP BY ALL),
         {p} AS (SELECT gk, max(size) AS size, {", ".join(columns)} FROM {p}q GROUP BY gk)"""
         for p, k in (("s", "[lang, source]"), ("l", "[lang]"), ("a", "['']"))
     )
-    inside = " AND ".join(
-        [f"m.{n} <= fence_{n}_hi" for n in MEASURES] + [f"m.{n} >= fence_{n}_lo" for n, (_, _, two) in MEASURES.items() if two]
-    )
+    shrunk = lambda own, wider: f"({own} * {{t}}.size + {wider} * 200) // ({{t}}.size + 200)"
+    langs = ", ".join(shrunk(f"l.{x}", f"a.{x}").format(t="l") + f" AS {x}" for x in SIDES)
+    sources = ", ".join(shrunk(f"s.{x}", f"m.{x}").format(t="s") + f" AS fence_{x}" for x in SIDES)
+
+    def bucket(v: str) -> str:
+        shift = f"(length(bin({v})) - 6)::INT"
+        return f"CASE WHEN {v} < 64 THEN {v} ELSE ({v} >> {shift}) << {shift} END"
+
+    def beyond(m: str, far: str) -> str:
+        low = f" OR {bucket(f'm.{m}')} < fence_{m}_{far}lo" if MEASURES[m][2] else ""
+        return f"({bucket(f'm.{m}')} > fence_{m}_{far}hi{low})"
+
+    far = " OR ".join(beyond(m, "far_") for m in MEASURES)
+    about: dict[str, list[str]] = {}
+    for m, (_, what, _) in MEASURES.items():
+        about.setdefault(what, []).append(beyond(m, ""))
+    votes = " + ".join(f"({' OR '.join(own)})::INT" for own in about.values())
     return f"""values_ AS ({" UNION ALL ".join(rows)}),
-      sk AS (SELECT lang, source, measure, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)::INT) << (length(bin(v)) - 6)::INT END AS bucket, count(*) AS n FROM values_ GROUP BY ALL),
+      sk AS (SELECT lang, source, measure, {bucket("v")} AS bucket, count(*) AS n FROM values_ GROUP BY ALL),
       {levels},
-      limits AS (SELECT s.gk AS gk, {pick} FROM s JOIN l ON l.gk[1] = s.gk[1] CROSS JOIN a)
+      mixed AS (SELECT l.gk, {langs} FROM l CROSS JOIN a),
+      limits AS (SELECT s.gk AS gk, {sources} FROM s JOIN mixed m ON m.gk[1] = s.gk[1])
       SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-             NOT base_failed AND coalesce({inside}, false) AS kept, {", ".join(f"fence_{x}" for x in sides)}
+             NOT base_failed AND coalesce(NOT ({far} OR {votes} >= 2), false) AS kept, {", ".join(f"fence_{x}" for x in SIDES)}
       FROM measured m LEFT JOIN limits g ON g.gk = [m.lang, m.source]"""
 
 

@@ -50,14 +50,14 @@ def test_measures(spark, documents, odd_rows):
 
 
 def test_quality_edges(documents, nothing, odd_rows):
-    out = judge_quality(documents, min_group=1)
+    out = judge_quality(documents, shrink=1)
     rows = out.collect()
     assert len(rows) == len(odd_rows)
     assert all(r.kept is not None for r in rows)
     assert all(not r.kept for r in rows if r.base_failed)
     assert {r.doc_id for r in rows if r.kept} >= {1, 5, 6}
     assert judge_quality(nothing).count() == 0
-    kept = keep_good(documents, min_group=1)
+    kept = keep_good(documents, shrink=1)
     assert kept.columns == documents.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in rows if r.kept)
 
@@ -74,6 +74,29 @@ def test_quality_fences(spark):
     assert not kept[5000]
 
 
+def test_quality_adapts(spark):
+    """No constant decides where quartiles are 0: what is far for one source isn't for another, at any scale."""
+    rng = random.Random(4)
+
+    def text(signs, length):
+        return " ".join("#" * (rng.random() < signs) + "w" * length + str(rng.randrange(10**4)) for _ in range(120))
+
+    rows = [(i, text(0.0, 3), "en", "plain") for i in range(1000)] + [(2000 + i, text(0.0, 30), "en", "long") for i in range(1000)]
+    rows += [(4000, text(0.2, 9), "en", "plain"), (4001, text(0.2, 90), "en", "long")]
+    kept = {r.doc_id: r.kept for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), shrink=20).collect()}
+    assert sum(kept[i] for i in (*range(1000), *range(2000, 3000))) >= 1994
+    # Signs and word lengths that neither source has; those of one source in the other.
+    assert not kept[4000] and not kept[4001]
+    assert not any(r.kept for r in judge_quality(spark.createDataFrame([*rows[:2000], (4004, text(0.0, 30), "en", "plain"), (4005, text(0.0, 3), "en", "long")], "doc_id long, text string, lang string, source string"), shrink=20).where("doc_id >= 4000").collect())
+
+
+def test_quality_tells_null_from_empty(spark):
+    rows = [(1, prose(1, 90), lang, source) for lang in (None, "") for source in (None, "")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert keep_good(df).count() == 8
+    assert keep_good(df.drop("lang", "source")).count() == 8
+
+
 def test_buckets(spark):
     values = [*range(200), 1000, 12345, 10**9, 2**40 + 12345]
     for v, b in spark.createDataFrame([(v,) for v in values], "v long").select("v", bucket_of(F.col("v"))).collect():

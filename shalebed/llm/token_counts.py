@@ -9,11 +9,12 @@ tokens fewer or more there were. Such a set is a state; a transition carries the
 change of the token count. States are finite in number and made when first met.
 
 Text is cut into chunks that advance in step, one array operation for each
-character of all chunks. A chunk starts from a guessed state. The state maps of
-the chunks are then composed from left to right in parallel rounds: where the
-end of one chunk isn't the start that the next one assumed, the next is run
-again until it meets the states it had. A word border resets the machine, so a
-round ends after some characters.
+character of all chunks. A chunk's map from state to state is known after that
+for the state it started from, and for all states that met the same one on the
+way, as a word border makes them do. Chunks without such a meeting are run from
+every state that is live at their borders, and their maps are composed by
+doubling (a parallel prefix scan), so a text without word borders takes no more
+steps than the number of live states and the logarithm of its length ask for.
 """
 
 from __future__ import annotations
@@ -80,7 +81,9 @@ class Vocabulary:
 
 
 class Transducer:
-    """Counts tokens. max_entries bounds the table: a full one starts anew."""
+    """Counts tokens. max_entries bounds the table: a full one starts anew with
+    the next segment of text.
+    """
 
     def __init__(self, vocabulary: Vocabulary, max_entries: int = 34_000_000):
         self.vocabulary = vocabulary
@@ -184,25 +187,57 @@ class Transducer:
                 self._table = np.concatenate([self._table, np.full_like(self._table, -1)], axis=1)
         return self._local[kinds]
 
-    def count(self, texts: list[str], chunk: int = 384) -> np.ndarray:
-        """The number of tokens of each text."""
-        if self._table.size > self.max_entries:
-            self._restart()
+    def count(self, texts: list[str], chunk: int = 384, segment: int = 4_000_000) -> np.ndarray:
+        """The number of tokens of each text. Texts are read in segments of so
+        many characters, a longer one in several.
+        """
         mark = "\ud800"  # no text has it
-        joined = mark.join(SPACE + t if t else "" for t in texts) + mark
-        kinds = self._kind[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")]
-        ends = np.flatnonzero(kinds == _END)
+        out: list[int] = []
+        state, begun = 0, 0
+
+        def read(parts: list[str]) -> None:
+            nonlocal state, begun
+            if self._table.size > self.max_entries:
+                kept = self._states[state]
+                self._restart()
+                state = self._add(kept)
+            kinds = self._kind[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")]
+            changes, state = self._changes(kinds, state, chunk)
+            upto = np.cumsum(changes)
+            ends = upto[kinds == _END]
+            out.extend(np.diff(np.concatenate([[-begun], ends])).tolist())
+            begun = int(upto[-1] - ends[-1]) if len(ends) else begun + int(upto[-1])
+
+        held, size = [], 0
+        for text in texts:
+            whole = SPACE + text if text else ""
+            for at in range(0, max(1, len(whole)), segment):
+                held.append(whole[at : at + segment])
+                size += len(held[-1])
+                if size >= segment:
+                    read(held)
+                    held, size = [], 0
+            held.append(mark)
+            size += 1
+        if held:
+            read(held)
+        return np.array(out, np.int64)
+
+    def _changes(self, kinds: np.ndarray, start: int, chunk: int) -> tuple[np.ndarray, int]:
+        """The change of the token count with each character, and the state after the last."""
         n, chunk = len(kinds), max(1, min(chunk, len(kinds)))
         lanes = -(-n // chunk)
         columns = np.zeros(lanes * chunk, np.int64)
         padded = np.concatenate([kinds, np.full(lanes * chunk - n, _END, kinds.dtype)])
         columns = np.ascontiguousarray(self._columns(padded).reshape(lanes, chunk).T)
         found = np.empty((chunk, lanes), np.int32)
-        states = np.zeros(lanes, np.int64)
+        assumed = np.zeros(lanes, np.int64)
+        assumed[0] = start
+        states = assumed.copy()
         for i in range(chunk):
             found[i] = self._step(states, columns[i])
             states = (found[i] & _STATE).astype(np.int64)
-        assumed = np.zeros(lanes, np.int64)
+        rounds, few = 0, True
         while True:
             ended = (found[-1] & _STATE).astype(np.int64)
             again = np.flatnonzero(assumed[1:] != ended[:-1]) + 1
@@ -217,9 +252,48 @@ class Transducer:
                 again = again[~met]
                 if not len(again):
                     break
-        changes = ((found >> _SHIFT) - _BIAS).T.ravel()[:n]
-        upto = np.cumsum(changes)[ends]
-        return np.diff(np.concatenate([[0], upto]))
+            rounds += 1
+            if rounds % 2 == 0 and len(again) and few:
+                # These met no state of before, and what follows them without a word border may not either.
+                bare = ~np.isin(columns[:, again[0] :], self._local[[_END, _SPACE]]).any(0)
+                few = self._compose(columns, found, assumed, np.union1d(again, again[0] + np.flatnonzero(bare)))
+        return ((found >> _SHIFT) - _BIAS).T.ravel()[:n], int(found[(n - 1) % chunk, -1] & _STATE)
+
+    def _compose(self, columns: np.ndarray, found: np.ndarray, assumed: np.ndarray, lanes: np.ndarray, most: int = 128) -> bool:
+        """Runs lanes (chunks whose states may meet none of before) from their true
+        states; not if more than most states are live at their borders.
+        """
+        ended = (found[-1] & _STATE).astype(np.int64)
+        live, new = np.zeros(0, np.int64), np.unique(ended[lanes - 1])
+        maps = np.zeros((len(lanes), 0), np.int64)
+        while len(new):
+            if len(live) + len(new) > most or len(lanes) * len(new) > 4_000_000:
+                return False
+            states, at = np.tile(new, len(lanes)), np.repeat(lanes, len(new))
+            for i in range(len(columns)):
+                states = (self._step(states, columns[i, at]) & _STATE).astype(np.int64)
+            live = np.concatenate([live, new])
+            maps = np.concatenate([maps, states.reshape(len(lanes), -1)], axis=1)
+            new = np.setdiff1d(states, live)
+        order = np.argsort(live)
+        maps = order[np.searchsorted(live, maps, sorter=order)]
+        # Maps of neighbours are composed by doubling: in the end each has all from the first of its run on.
+        begins = np.concatenate([[True], np.diff(lanes) > 1])
+        first = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        place, step = np.arange(len(lanes)), 1
+        while step < len(lanes):
+            own = place[place - step >= first]
+            if not len(own):
+                break
+            maps[own] = np.take_along_axis(maps[own], maps[own - step], axis=1)
+            step *= 2
+        head = order[np.searchsorted(live, ended[lanes[first] - 1], sorter=order)]
+        begun = np.where(begins, head, maps[np.maximum(place - 1, 0), head])
+        states = assumed[lanes] = live[begun]
+        for i in range(len(columns)):
+            found[i, lanes] = self._step(states, columns[i, lanes])
+            states = (found[i, lanes] & _STATE).astype(np.int64)
+        return True
 
 
 _compiled: dict[str, Transducer] = {}
@@ -237,7 +311,9 @@ def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFra
 
     model_path: a sentencepiece model, BPE with byte fallback and no
     normalisation. A null text counts as empty: 0 bytes, 0 tokens. Columns of
-    the new names are replaced, all others pass through. One pass, no shuffle.
+    the new names are replaced, all others pass through; repeated rows are
+    counted one by one. Texts of any length are read in segments, so memory
+    doesn't grow with them. One pass, no shuffle.
     """
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
 

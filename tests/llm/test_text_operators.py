@@ -258,6 +258,28 @@ def test_transducer_on_random_texts():
     assert machine.count(texts, chunk=5).tolist() == expected  # states meet across chunks
     small = Transducer(Vocabulary.load(path), max_entries=1)  # starts anew each time
     assert [small.count([t])[0] for t in texts[:200]] == expected[:200]
+    for segment in (1, 7, 1000):  # a text is read in segments, and the machine starts anew between them
+        assert machine.count(texts[:300], chunk=5, segment=segment).tolist() == expected[:300]
+        assert small.count(texts[:60] + texts[-40:], segment=segment).tolist() == expected[:60] + expected[-40:]
+
+
+def test_texts_without_word_borders():
+    """Their chunks' maps are composed: no step for each character."""
+    path, library = model()
+    rng = random.Random(8)
+    machine = Transducer(Vocabulary.load(path))
+    texts = ["=" * 160_000, "a" * 160_001, "0" * 9000, "ab" * 30_000, "the" * 20_000 + "=" * 5000, "".join(rng.choice("=-a") for _ in range(40_000))]
+    texts += ["x " + "=" * 3000 + " y", "=" * 700 + "ß" + "=" * 900, f"{'=' * 2000} {'a' * 2000}\n{'-' * 2000}"]
+    expected = [len(library.encode(t)) for t in texts]
+    assert machine.count(texts).tolist() == [machine.count([t])[0] for t in texts] == expected
+    assert machine.count(texts[3:], chunk=50, segment=1234).tolist() == expected[3:]
+    for text in ("=" * 160_000, "a" * 160_000):
+        began = time.perf_counter()
+        machine.count([text])
+        assert time.perf_counter() - began < 0.6  # 0.3 s, twice that for a slow machine
+    mega = "".join(rng.choice("abcdefghij") for _ in range(1_000_000))
+    part = len(library.encode(mega[:20_000]))
+    assert machine.count([mega[:20_000]])[0] == part and 45 * part < machine.count([mega])[0] < 55 * part
 
 
 # HTML ----------------------------------------------------------------------

@@ -100,13 +100,21 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A uint64 for each word."""
+    def exact_ids(self) -> np.ndarray:
+        """A number for each word, the same for equal words only."""
+        lengths = self.ends - self.starts
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.data[self._inside])])
+        return words.dictionary_encode().indices.to_numpy()
+
+    def hashes(self, family: int = 0) -> np.ndarray:
+        """A uint64 for each word; those of another family don't follow from these."""
         if not len(self):
             return np.zeros(0, np.uint64)
         lengths = self.ends - self.starts
         place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        values = _BYTE[self.data[self._inside]] * _power(int(lengths.max()))[place]
+        letters = mix(_BYTE ^ np.uint64(family)) if family else _BYTE
+        values = letters[self.data[self._inside]] * _power(int(lengths.max()))[place]
         return mix(np.add.reduceat(values, np.cumsum(lengths) - lengths) + lengths.astype(np.uint64))
 
 

@@ -5,12 +5,13 @@ Consecutive windows with one minimiser form a super-k-mer, and equal windows
 have equal minimisers wherever they stand. Minimisers of one document only are
 sorted out first by a small shuffle of (minimiser, id). A super-k-mer that is
 left travels as one packed string of words to its minimiser's bucket; there its
-windows are sorted, and each that an earlier document has goes back as a range
-of words.
+windows are sorted by hash, those of one hash are compared word by word, and
+each that an earlier document has goes back as a range of words.
 
-A minimiser that very many super-k-mers share (a boilerplate passage, a large
-group of copies) has no bucket: its windows go through a grouped minimum with
-map-side combination instead, and a join that adaptive execution can split.
+A minimiser whose super-k-mers are very many or very long (a boilerplate passage,
+a large group of copies) has no bucket: its windows go through a grouped minimum
+with map-side combination instead, and a join that adaptive execution can split.
+These are told apart by 128 bits besides the minimiser.
 """
 
 from __future__ import annotations
@@ -84,6 +85,37 @@ def _runs(key: np.ndarray, word: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     return at, word[at], word[last] + k
 
 
+def _first_owners(words: Words, k: int, minimiser: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each window of k words the smallest doc that has the same words.
+    minimiser and doc are of each window.
+    """
+    windows, borders = window_hashes(words.hashes(), words.first, k)
+    order = np.lexsort((doc, windows, minimiser))
+    new = np.ones(len(order), bool)
+    new[1:] = (windows[order][1:] != windows[order][:-1]) | (minimiser[order][1:] != minimiser[order][:-1])
+    group = np.cumsum(new) - 1
+    lead = order[np.flatnonzero(new)]
+    # Equal hashes are of equal words, but for chance: every window is held against the first of its hash.
+    ids = words.exact_ids()
+    n = np.diff(borders)
+    start = np.arange(len(order)) - np.repeat(borders[:-1], n) + np.repeat(words.first[:-1], n)
+    mine = order[~new]
+    other = lead[group[~new]]
+    same = np.ones(len(mine), bool)
+    for i in range(k):
+        same &= ids[start[mine] + i] == ids[start[other] + i]
+    owner = np.empty(len(order), np.int64)
+    owner[order] = doc[lead][group]
+    for g in np.unique(group[~new][~same]).tolist():  # by their words, one by one
+        least: dict[bytes, int] = {}
+        own = order[group == g]
+        texts = [ids[start[w] : start[w] + k].tobytes() for w in own]
+        for t, d in zip(texts, doc[own].tolist()):
+            least[t] = min(least.get(t, d), d)
+        owner[own] = [least[t] for t in texts]
+    return owner
+
+
 def _in_bucket(k: int):
     """mapInArrow over rows sorted by minimiser: ranges to remove."""
 
@@ -91,17 +123,12 @@ def _in_bucket(k: int):
         docs = rows.column("__doc").to_numpy()
         text = rows.column("__text").to_numpy()
         start = rows.column("start").to_numpy()
-        packed = rows.column("packed").combine_chunks()
-        words = Words(strings(packed))
-        windows, borders = window_hashes(words.hashes(), words.first, k)
-        n = np.diff(borders)
+        words = Words(strings(rows.column("packed").combine_chunks()))
+        n = np.maximum(words.counts - k + 1, 0)
         of = np.repeat(np.arange(len(n)), n)
-        minimiser, doc = rows.column("minimiser").to_numpy()[of], docs[of]
-        order = np.lexsort((doc, windows, minimiser))
-        new = np.ones(len(order), bool)
-        new[1:] = (windows[order][1:] != windows[order][:-1]) | (minimiser[order][1:] != minimiser[order][:-1])
-        first = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone = np.sort(order[doc[order] > first])
+        borders = np.concatenate([[0], np.cumsum(n)])
+        owner = _first_owners(words, k, rows.column("minimiser").to_numpy()[of], docs[of])
+        gone = np.flatnonzero(docs[of] > owner)
         if not len(gone):
             return None
         word = start[of[gone]] + (gone - borders[of[gone]])
@@ -130,16 +157,21 @@ def _in_bucket(k: int):
     return run
 
 
-def repeated_ranges(docs: DataFrame, k: int, m: int, crowd: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, k: int, m: int, crowd: int, crowd_bytes: int = 16_000_000) -> DataFrame:
     """(__doc, __text, a, b): words a to b - 1 are covered by windows that a
     document with a smaller __doc has. docs: __doc, __text, text.
     """
 
     def minimisers(batches):
         for part, texts in blocks(batches, "text"):
-            s = SuperKmers(Words(texts), k, m)
+            words = Words(texts)
+            s = SuperKmers(words, k, m)
             row = pa.array(s.row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(s.minimiser)], names=[*KEY, "minimiser"])
+            first = words.first[s.row] + s.start
+            size = words.ends[first + s.windows + k - 2] - words.starts[first]  # at least that of the packed string
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(row), part.column(1).take(row), pa.array(s.minimiser), pa.array(size)], names=[*KEY, "minimiser", "size"]
+            )
 
     def super_kmers(batches):
         for part, texts in blocks(batches, "text"):
@@ -167,6 +199,7 @@ def repeated_ranges(docs: DataFrame, k: int, m: int, crowd: int) -> DataFrame:
             words = Words(texts)
             s = SuperKmers(words, k, m)
             windows, borders = window_hashes(words.hashes(), words.first, k)
+            checks = window_hashes(words.hashes(1), words.first, k)[0]
             own = part.column(part.schema.get_field_index("hot"))
             values, at = own.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum([len(x) for x in own])])
             to = np.searchsorted(s.row, np.arange(part.num_rows + 1))
@@ -179,18 +212,18 @@ def repeated_ranges(docs: DataFrame, k: int, m: int, crowd: int) -> DataFrame:
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(take), part.column(1).take(take), pa.array(np.repeat(s.minimiser[wanted], n)),
-                 pa.array(windows[borders[row] + word].view(np.int64)), pa.array(word)],
-                names=[*KEY, "minimiser", "window", "word"],
+                 pa.array(windows[borders[row] + word].view(np.int64)), pa.array(checks[borders[row] + word].view(np.int64)), pa.array(word)],
+                names=[*KEY, "minimiser", "window", "check", "word"],
             )
 
-    light = docs.mapInArrow(minimisers, "__doc long, __text long, minimiser long")
+    light = docs.mapInArrow(minimisers, "__doc long, __text long, minimiser long, size long")
     shared = (
         light.groupBy("minimiser")
-        .agg(F.min("__doc").alias("least"), F.max("__doc").alias("most"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("__doc").alias("least"), F.max("__doc").alias("most"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
         .where("least < most")
-        .select("minimiser", (F.col("n") > crowd).alias("hot"))
+        .select("minimiser", ((F.col("n") > crowd) | (F.col("size") > crowd_bytes)).alias("hot"))
     )
-    flagged = light.join(shared, "minimiser").groupBy(*KEY).agg(
+    flagged = light.drop("size").join(shared, "minimiser").groupBy(*KEY).agg(
         F.collect_set(F.when(~F.col("hot"), F.col("minimiser"))).alias("cold"),
         F.collect_set(F.when(F.col("hot"), F.col("minimiser"))).alias("hot"),
     )
@@ -204,10 +237,10 @@ def repeated_ranges(docs: DataFrame, k: int, m: int, crowd: int) -> DataFrame:
     windows = (
         marked.where(F.size("hot") > 0)
         .select(*KEY, "hot", "text")
-        .mapInArrow(single_windows, "__doc long, __text long, minimiser long, window long, word long")
+        .mapInArrow(single_windows, "__doc long, __text long, minimiser long, window long, check long, word long")
     )
-    least = windows.groupBy("minimiser", "window").agg(F.min("__doc").alias("least"), F.max("__doc").alias("most")).where("least < most").drop("most")
-    crowded = windows.join(least, ["minimiser", "window"]).where("__doc > least").select(*KEY, F.col("word").alias("a"), (F.col("word") + k).alias("b"))
+    least = windows.groupBy("minimiser", "window", "check").agg(F.min("__doc").alias("least"), F.max("__doc").alias("most")).where("least < most").drop("most")
+    crowded = windows.join(least, ["minimiser", "window", "check"]).where("__doc > least").select(*KEY, F.col("word").alias("a"), (F.col("word") + k).alias("b"))
     return ranges.unionByName(crowded)
 
 
@@ -220,7 +253,7 @@ def drop_repeats(docs: DataFrame, k: int = 50, m: int = 8, crowd: int = 4096) ->
     one document before all others; rows that repeat a doc_id aren't compared
     with each other. Columns n_words and n_removed are replaced, others pass.
     m: words of a minimiser's run. crowd: rows of a minimiser from which its
-    windows are spread over tasks singly.
+    windows are spread over tasks singly, as they are from 16 MB of text on.
     """
     docs = docs.drop("n_words", "n_removed")
     names = docs.columns

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_prose import prose
 from pyspark.sql import functions as F
@@ -17,12 +18,13 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from shalebed.llm import entries, ngram_join
 from shalebed.llm import lm_scoring as lm
+from shalebed.llm.arrow_words import Words, strings
 from shalebed.llm.components import connected_components
 from shalebed.llm.decontamination import drop_leaks, find_leaks
 from shalebed.llm.lm_scoring import score_documents
 from shalebed.llm.ngram_join import choose_bands, join_similar, keep_one_of_each, overlaps
 from shalebed.llm.packing import Encoder, pack
-from shalebed.llm.substring_dedup import drop_repeats, sliding_min
+from shalebed.llm.substring_dedup import _first_owners, drop_repeats, repeated_ranges, sliding_min
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -190,6 +192,34 @@ def test_repeats(spark, nothing, odd_rows):
     assert drop_repeats(nothing).count() == 0
 
 
+def test_windows_are_compared_by_words(spark, monkeypatch):
+    """With hashes of 3 bits nearly all windows have equal ones; the result is the same."""
+    rng = random.Random(10)
+    rows = [(i, prose(i, 60, 30) + " " + prose(rng.randrange(8), 40, 30)) for i in range(40)]
+    words = Words(strings(pa.array([t for _, t in rows])))
+    n = np.maximum(words.counts - 9, 0)
+    of = np.repeat(np.arange(len(n)), n)
+    doc = np.array([i for i, _ in rows])[of]
+    first = {}
+    split = [t.split() for _, t in rows]
+    windows = [tuple(split[r][a : a + 10]) for r, m in enumerate(n) for a in range(m)]
+    for w, d in zip(windows, doc.tolist()):
+        first[w] = min(first.get(w, d), d)
+    exact = _first_owners(words, 10, np.zeros(len(of), np.int64), doc)
+    monkeypatch.setattr(Words, "hashes", lambda self, family=0, own=Words.hashes: own(self, family) % np.uint64(2))
+    assert exact.tolist() == _first_owners(words, 10, np.zeros(len(of), np.int64), doc).tolist() == [first[w] for w in windows]
+
+
+def test_crowds_by_bytes(spark):
+    """Minimisers of few but very long windows are spread as those of many are."""
+    rows = [(i, " ".join(f"{'x' * 500}{k}" for k in range(60)) + " " + prose(i, 30)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.select(F.col("doc_id").alias("__doc"), F.xxhash64("text").alias("__text"), "text")
+    few, many = (Counter(tuple(r) for r in repeated_ranges(keyed, 50, 8, 4096, size).collect()) for size in (16_000_000, 1000))
+    covered = lambda found: {(r[0], w) for r in found for w in range(r[2], r[3])}
+    assert covered(few) == covered(many) == {(i, w) for i in range(1, 6) for w in range(60)}
+
+
 def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for width in (1, 2, 3, 7, 8, 43):
@@ -377,8 +407,6 @@ def test_model_beats_counts(spark):
 
 def scores_by_hand(rows, max_head, bits, steps, epochs, rate, damp, every, mass):
     """The model's log10 probability of each row, token by token in plain Python."""
-    import pyarrow as pa
-
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
     part = [zlib.crc32(("" if i is None else str(i)).encode()) % 1_000_000 // 10 % steps for i, _ in rows]
     ids = [lm._tokens(pa.array([t or ""], pa.large_string()))[0].tolist() for _, t in rows]

@@ -1,12 +1,17 @@
 """Packing by lexical retrieval: documents of like words share a training window.
 
-Each text is tokenized once, where it is read. Full windows of a long document
-leave at once as a row each, without their ids; what remains of every document
-(less than a window) is dealt into shards of a bounded number of documents by a
-hash. A shard is a BM25 inverted index of its remainders: the longest unused one
-is the seed of a window, its nearest unused neighbours fill it, and the next
-neighbour is cut to close it. The last tokens of a shard go into windows whose
-lengths are powers of two. So nothing is padded.
+Each text is tokenized once, where it is read, and what it gives is checkpointed:
+full windows of a long document are sequences by themselves, without their ids;
+what remains of every document (less than a window) is packed. Document
+frequencies and the mean length are those of all remainders. Shards are cut from
+the remainders in the order of three weighted MinHashes of their words, so that
+documents of like words lie in one shard whatever the size of the corpus, and
+equal ones, however many, go on into the next.
+
+A shard is a BM25 inverted index of its remainders: the longest unused one is the
+seed of a window, its nearest unused neighbours fill it, and the next neighbour is
+cut to close it. The last tokens of a shard go into windows whose lengths are
+powers of two. So nothing is padded.
 """
 
 from __future__ import annotations
@@ -20,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_words import blocks
-from .common import table
+from .arrow_words import blocks, mix
+from .common import checkpointed, table
 
 END = 1
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
@@ -81,41 +86,66 @@ def encoder(tokenizer_path: str, ranks_path: str) -> Encoder:
     return _encoders[key]
 
 
+class Terms:
+    """The remainders' statistics: how many, their mean length, and how many hold each id."""
+
+    def __init__(self, n: int, total: int, df: np.ndarray):
+        self.n, self.mean, self.df = max(1, n), max(1.0, total / max(1, n)), df
+        self.idf = np.log1p((self.n - np.minimum(df, self.n) + 0.5) / (df + 0.5))
+        draws = (mix(np.arange(3 * len(df), dtype=np.uint64)).astype(float) + 1) / 2.0**64
+        self._draws = -np.log(np.minimum(draws, 1 - 1e-16)).reshape(3, -1) / self.idf
+
+    def content(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Three weighted MinHashes of each remainder: equal ones have equal, and
+        like ones share the first with the likelihood of their weighted overlap.
+        """
+        first = np.cumsum([0, *[len(x) for x in ids]])[:-1]
+        every = np.concatenate(ids)
+        return np.stack([np.minimum.reduceat(d[every], first) for d in self._draws], axis=1)
+
+
 class Shard:
-    """The inverted index of a shard's remainders and the windows they fill."""
+    """The inverted index of a shard's remainders and the windows they fill. Ids
+    that an eighth of the remainders have are in a dense table, others have postings.
+    """
 
-    def __init__(self, ids: list[np.ndarray], window: int, query_terms: int = 16):
-        self.ids, self.window, self.query_terms = ids, window, query_terms
+    def __init__(self, ids: list[np.ndarray], window: int, terms: Terms):
+        self.ids, self.window = ids, window
         m = len(ids)
         self.left = np.array([len(x) for x in ids])
         self.begun = np.zeros(m, np.int64)
         owner = np.repeat(np.arange(m), self.left)
         pair, tf = np.unique(owner * 65536 + np.concatenate(ids).astype(np.int64), return_counts=True)
         doc, term = pair // 65536, pair % 65536
-        df = np.bincount(term, minlength=65536)
-        # A term of one remainder finds none; one of a quarter of them tells nothing.
-        use = (df[term] > 1) & (df[term] <= max(2, m // 4))
-        doc, term, tf = doc[use], term[use], tf[use].astype(float)
-        norm = 1.2 * (0.25 + 0.75 * self.left / self.left.mean())
-        weight = np.log1p((m - df[term] + 0.5) / (df[term] + 0.5)) * tf * 2.2 / (tf + norm[doc])
+        norm = 1.2 * (0.25 + 0.75 * self.left / terms.mean)
+        weight = terms.idf[term] * tf * 2.2 / (tf + norm[doc])
+        here = np.bincount(term, minlength=65536)
+        common = here > max(1, m // 8)
+        column = np.cumsum(common) - 1
+        use = common[term]
+        self.dense = np.zeros((m, int(common.sum())), np.float32)
+        self.dense[doc[use], column[term[use]]] = weight[use]
+        use = ~use & (here[term] > 1)  # an id of one remainder finds none
+        doc, term, weight = doc[use], term[use], weight[use]
         self.doc_first = np.searchsorted(doc, np.arange(m + 1))
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_terms = term
         order = np.argsort(term, kind="stable")
         self.posted, self.posted_weight = doc[order], weight[order]
         self.term_first = np.searchsorted(term[order], np.arange(65537))
 
+    def scores(self, seed: int) -> np.ndarray:
+        """BM25 of every remainder for all distinct ids of the seed."""
+        scores = self.dense @ (self.dense[seed] > 0).astype(np.float32)
+        spans = [slice(self.term_first[t], self.term_first[t + 1]) for t in self.doc_terms[self.doc_first[seed] : self.doc_first[seed + 1]].tolist()]
+        if spans:
+            scores = scores + np.bincount(
+                np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.posted_weight[s] for s in spans]), len(self.left)
+            )
+        return scores
+
     def neighbours(self, seed: int) -> np.ndarray:
-        """The unused remainders that share the seed's strongest terms, best first."""
-        own = slice(self.doc_first[seed], self.doc_first[seed + 1])
-        terms, weights = self.doc_terms[own], self.doc_weights[own]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argpartition(-weights, self.query_terms)[: self.query_terms]]
-        if not len(terms):
-            return terms
-        spans = [slice(self.term_first[t], self.term_first[t + 1]) for t in terms]
-        scores = np.bincount(
-            np.concatenate([self.posted[s] for s in spans]), np.concatenate([self.posted_weight[s] for s in spans]), len(self.left)
-        )
+        """The unused remainders that share words with the seed, best first."""
+        scores = self.scores(seed)
         scores[self.left == 0] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
@@ -175,6 +205,33 @@ class Shard:
                 yield own
 
 
+def _statistics(rests: DataFrame) -> Terms:
+    """Of all remainders (length, ids); a row for each of at most 65,536 ids comes to the driver."""
+
+    def run(batches):
+        df, n, total = np.zeros(65536, np.int64), 0, 0
+        for batch in batches:
+            for ids in batch.column(0):
+                own = np.frombuffer(ids.as_buffer(), "<u2")
+                df[np.unique(own)] += 1
+                n, total = n + 1, total + len(own)
+        seen = np.flatnonzero(df)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *seen.tolist()]), pa.array([n, total, *df[seen].tolist()])], names=["id", "n"])
+
+    found = dict(rests.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect())
+    df = np.zeros(65536, np.int64)
+    for k, n in found.items():
+        if k >= 0:
+            df[k] = n
+    return Terms(found.get(-1, 0), found.get(-2, 0), df)
+
+
+#: The columns of a piece.
+_PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+_PIECE_TYPES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+
+
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -182,6 +239,7 @@ def pack(
     window: int = 2048,
     docs_per_shard: int = 2048,
     with_ids: bool = False,
+    max_tasks: int = 20_000,
 ) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and the ids themselves if with_ids.
@@ -189,75 +247,89 @@ def pack(
     A document's ids end with one id 1; a null or empty text has that only.
     Each id is in one piece; the pieces of a sequence follow each other without
     gaps, window ids at most. Repeated rows are packed one by one; a null doc_id
-    stays null. Columns but doc_id and text are ignored. A shard holds about
-    docs_per_shard remainders, so tasks are bounded however long the texts are.
-    The vocabulary has fewer than 65,536 ids.
+    stays null. Columns but doc_id and text are ignored. A shard holds at most
+    docs_per_shard remainders, a task several shards one after the other, so its
+    memory is bounded however long the texts are and however many are equal.
+    All ids of a seed are looked up. The vocabulary has fewer than 65,536 ids.
     """
-    shards = max(1, -(-docs.count() // docs_per_shard))
-    tasks = max(1, shards // 4)
-    fields = ["shard", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-    schema = "shard long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
     def cut(batches):
         encode = encoder(tokenizer_path, ranks_path).encode
         for part, texts in blocks(batches, "text"):
             out = []
-            for shard, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts.to_pylist()):
+            for doc_id, text in zip(part.column(0).to_pylist(), texts.to_pylist()):
                 ids = encode(text) + END.to_bytes(4, "little")
                 n = len(ids) // 4
                 for start in range(0, n, window):
                     own = ids[4 * start : 4 * (start + window)]
                     full = len(own) == 4 * window
                     short = None if full and not with_ids else np.frombuffer(own, "<u4").astype("<u2").tobytes()
-                    out.append((shard, doc_id, start, len(own) // 4, zlib.crc32(own), n, short))
-            kinds = [pa.int64()] * 6 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=fields)
-
-    def filled(shard: int, rows: pa.Table):
-        doc, start, length, crc, total = (rows.column(c).to_pylist() for c in fields[1:6])
-        ids = rows.column("ids")
-        whole = [r for r, n in enumerate(length) if n == window]
-        part = [r for r, n in enumerate(length) if n < window]
-        arrays = [np.frombuffer(ids[r].as_buffer(), "<u2") for r in part]
-        out, sequence = [], shard << 32
-        for r in whole:
-            out.append((doc[r], start[r], window, crc[r], total[r], sequence, 0, ids[r].as_py() if with_ids else None))
-            sequence += 1
-        for pieces in Shard(arrays, window).windows() if part else ():
+                    out.append((doc_id, start, len(own) // 4, zlib.crc32(own), n, short))
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[*_PIECE[:5], "ids"])
+
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    cuts = checkpointed(dealt.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary").withColumn("row", F.monotonically_increasing_id()))
+    rests = cuts.where(F.col("length") < window)
+    statistics = _statistics(rests)
+    sent = docs.sparkSession.sparkContext.broadcast(statistics)  # of at most 65,536 ids
+    shards = max(1, -(-statistics.n // docs_per_shard))
+    keys = ["k1", "k2", "k3", "salt"]
+
+    def keyed(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = [np.frombuffer(x.as_buffer(), "<u2") for x in part.column(part.schema.get_field_index("ids"))]
+                content = sent.value.content(ids)
+                salt = mix(part.column(part.schema.get_field_index("row")).to_numpy().astype(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, *[pa.array(c) for c in content.T], pa.array(salt)], names=[*part.schema.names, *keys])
+
+    def filled(task: int, begun: int, rows: pa.Table):
+        doc, start, length, crc, total = (rows.column(c).to_pylist() for c in _PIECE[:5])
+        arrays = [np.frombuffer(x.as_buffer(), "<u2") for x in rows.column("ids")]
+        out, sequence = [], begun
+        for pieces in Shard(arrays, window, sent.value).windows():
             offset = 0
-            for i, begun, n in pieces:
-                r = part[i]
-                own = arrays[i][begun : begun + n]
-                whole_piece = n == length[r]
-                code = crc[r] if whole_piece else zlib.crc32(own.astype("<u4").tobytes())
-                out.append((doc[r], start[r] + begun, n, code, total[r], sequence, offset, own.tobytes() if with_ids else None))
+            for r, at, n in pieces:
+                own = arrays[r][at : at + n]
+                code = crc[r] if n == length[r] else zlib.crc32(own.astype("<u4").tobytes())
+                out.append((doc[r], start[r] + at, n, code, total[r], 2 * ((task << 33) + sequence), offset, own.tobytes() if with_ids else None))
                 offset += n
             sequence += 1
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in list(zip(*out))[:7]] + [pa.array([x[7] for x in out], pa.binary())], names=names)
+        columns = list(zip(*out))
+        return sequence, pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns[:7]] + [pa.array(columns[7], pa.binary())], names=_PIECE)
 
     def fill(batches):
         waiting: list[pa.RecordBatch] = []
+        held = sequence = 0
         for batch in batches:
-            shard = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(shard)]):
-                if a == b:
-                    continue
-                if waiting and waiting[0].column(0)[0].as_py() != shard[a]:
-                    yield filled(waiting[0].column(0)[0].as_py(), pa.Table.from_batches(waiting))
-                    waiting = []
-                waiting.append(batch.slice(a, b - a))
-        if waiting:
-            yield filled(waiting[0].column(0)[0].as_py(), pa.Table.from_batches(waiting))
-
-    dealt = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = (
-        dealt.mapInArrow(cut, schema)
-        .repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))  # as many shards in each task
-        .sortWithinPartitions("shard", "doc_id", "start")
-        .mapInArrow(fill, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+            while batch.num_rows:
+                task = batch.column(0)[0].as_py()
+                part = batch.slice(0, docs_per_shard - held)
+                waiting.append(part)
+                held += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if held == docs_per_shard:
+                    sequence, out = filled(task, sequence, pa.Table.from_batches(waiting))
+                    yield out
+                    waiting, held = [], 0
+        if held:
+            yield filled(task, sequence, pa.Table.from_batches(waiting))[1]
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, row long, k1 double, k2 double, k3 double, salt long"
+    packed = (
+        rests.mapInArrow(keyed, schema)
+        .repartitionByRange(max(1, min(shards // 4, max_tasks)), *keys)
+        .sortWithinPartitions(*keys)
+        .select(F.spark_partition_id().cast("long").alias("task"), *_PIECE[:5], "ids")
+        .mapInArrow(fill, _PIECE_TYPES)
+    )
+    # Packed sequences have even numbers, those that are one document's window odd ones.
+    whole = cuts.where(F.col("length") == window).select(
+        *_PIECE[:5], (2 * F.col("row") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), "ids"
     )
+    pieces = packed.unionByName(whole)
     if not with_ids:
         return pieces.drop("ids")
     # Two bytes an id in transit, numbers in the result.

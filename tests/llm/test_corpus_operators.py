@@ -23,7 +23,7 @@ from shalebed.llm.components import connected_components
 from shalebed.llm.decontamination import drop_leaks, find_leaks
 from shalebed.llm.lm_scoring import score_documents
 from shalebed.llm.ngram_join import choose_bands, join_similar, keep_one_of_each, overlaps
-from shalebed.llm.packing import Encoder, pack
+from shalebed.llm.packing import Encoder, Shard, Terms, pack
 from shalebed.llm.substring_dedup import _first_owners, drop_repeats, repeated_ranges, sliding_min
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -578,9 +578,62 @@ def test_neighbours_share_windows(spark):
     assert sum(max(s.values()) for s in subjects.values()) > 0.8 * sum(sum(s.values()) for s in subjects.values())
 
 
+def test_neighbours_are_those_of_unpruned_bm25():
+    """A shard's scores against every id of every remainder, with the statistics of the corpus."""
+    rng = np.random.default_rng(3)
+    corpus = [np.minimum(rng.zipf(1.3, rng.integers(1, 300)), 60_000).astype("<u2") for _ in range(300)]
+    df = np.bincount(np.concatenate([np.unique(x) for x in corpus]), minlength=65536)
+    mean = np.mean([len(x) for x in corpus])
+    own = corpus[:80]
+    shard = Shard(own, 256, Terms(len(corpus), sum(map(len, corpus)), df))
+    counts = [Counter(x.tolist()) for x in own]
+    for seed in range(0, 80, 7):
+        expected = []
+        for d, c in enumerate(counts):
+            norm = 1.2 * (0.25 + 0.75 * len(own[d]) / mean)
+            expected.append(sum(math.log1p((300 - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + norm) for t in set(counts[seed]) & set(c)))
+        others = [d for d in range(80) if d != seed]
+        found = shard.scores(seed)
+        assert np.allclose(found[others], np.array(expected)[others], rtol=1e-5)
+        ranked = [d for d in shard.neighbours(seed).tolist() if d != seed]
+        assert all(expected[a] >= expected[b] * (1 - 1e-5) for a, b in zip(ranked, ranked[1:])) and len(ranked) == sum(expected[d] > 0 for d in others)
+
+
+def test_many_equal_rows_are_many_shards(spark):
+    """Rows that are all alike, without ids, fill shards of a bounded size in turn."""
+    rows = [(None, None)] * 3000 + [(None, "the same few words")] * 3000 + [(k, prose(k, 30)) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = pack(df, *paths(), docs_per_shard=100).collect()
+    check_packing(rows, out)
+    assert len({r.sequence_id for r in out}) >= 62  # some for each shard
+    first = next(r for r in out if r.doc_id == 5)
+    assert sum(r.doc_id is None for r in out if r.sequence_id == first.sequence_id) < 100
+
+
+def test_like_documents_meet_in_a_shard():
+    """Near copies have the same first MinHash nearly as often as they overlap."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(2, 40_000, 200).astype("<u2") for _ in range(400)]
+    near = [np.concatenate([x[:190], rng.integers(2, 40_000, 10).astype("<u2")]) for x in base]
+    terms = Terms(800, 160_000, np.bincount(np.concatenate([np.unique(x) for x in base + near]), minlength=65536))
+    a, b = terms.content(base), terms.content(near)
+    assert (a[:, 0] == b[:, 0]).mean() > 0.8 and (a == b).any(1).mean() > 0.95
+    assert len(np.unique(a[:, 0])) > 200 and (terms.content(base[:3]) == a[:3]).all()
+
+
 # Pipeline ------------------------------------------------------------------
 
 
+def test_pipeline_runs(spark, data):
+    """run() is the stages, each reread from a table; its pieces are those of the documents that stay."""
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    out = corpus_pipeline.run(spark, data).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, data).collect(), docs.schema)
+    check_packing([(r.doc_id, r.text) for r in docs.collect()], out)
+
+
 def test_pipeline(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     columns, counts = docs.columns, []

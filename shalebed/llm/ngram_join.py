@@ -2,8 +2,9 @@
 
 Documents of equal words are one node first, so that copies cost nothing. The
 nodes' MinHash bands are shuffled by their hashes; nodes of one band are a
-bucket. A node's home is the largest bucket that it is in; a large home is split
-into cells of a bounded size. Two cells meet if some bucket has nodes of both,
+bucket. A node's home is the largest bucket that it is in; small homes join the
+large one that they share buckets with, and a large one is split into cells of a
+bounded size. Two cells meet if some bucket has nodes of both,
 and each meeting is a task of its own that verifies the pairs of its nodes on
 their full n-gram sets. So every two nodes of a bucket are compared exactly
 once, near copies of one another mostly meet in one cell, and a chain of
@@ -193,17 +194,40 @@ def _verify(threshold: float):
     return run
 
 
+def _gathered(members: DataFrame, homes: DataFrame, block: int) -> DataFrame:
+    """(home, root): homes joined to a larger one that they share buckets with.
+
+    A group of near copies has one large home and some small ones, for those
+    that miss its band; a home joins its largest neighbour if that has no larger
+    one itself, so this is one step and chains stay apart. A root takes in no
+    more than twice what it has (or a block), else nobody.
+    """
+    size = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
+    seen = members.select("node", "band").join(homes, "node").select("band", "home").distinct()
+    mixed = seen.groupBy("band").agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least < most").select("band")
+    seen = checkpointed(seen.join(mixed, "band").join(size, "home"))
+    other = seen.select("band", F.struct("c", "home").alias("near"))
+    larger = seen.join(other, "band").where(F.struct("c", "home") < F.col("near")).groupBy("home").agg(F.max("near").alias("near"))
+    larger = checkpointed(larger.select("home", F.col("near.home").alias("root"), F.col("near.c").alias("root_c")))
+    direct = larger.join(larger.select(F.col("home").alias("root")), "root", "left_anti").join(size, "home")
+    wanted = direct.groupBy("root").agg(F.sum("c").alias("all_c"), F.first("root_c").alias("root_c")).where(F.col("all_c") <= F.greatest(2 * F.col("root_c"), F.lit(block)))
+    joined = direct.join(wanted.select("root"), "root").select("home", "root")
+    return size.select("home").join(joined, "home", "left").select("home", F.coalesce("root", "home").alias("root"))
+
+
 def _meetings(nodes: DataFrame, block: int, block_runs: int) -> DataFrame:
     """(i, j, cell, node, doc, text_hash, copies): one row for each node and
     meeting of cells it takes part in. nodes: node, doc, text_hash, copies, runs, bands.
     """
     banded = nodes.select("node", "runs", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("runs").alias("all_runs")).where("n > 1")
-    members = checkpointed(banded.select("node", "band").join(buckets, "band"))
-    homes = members.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "band", "all_runs")).alias("home"))
-    parts = F.greatest(F.ceil(-F.col("home.n") / block), F.ceil(F.col("home.all_runs") / block_runs))
-    cell = F.xxhash64("home.band", F.pmod(F.xxhash64("node"), parts))
-    homes = checkpointed(homes.select("node", cell.alias("cell")))
+    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = checkpointed(banded.join(buckets, "band"))
+    homes = members.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "band")).alias("home"), F.first("runs").alias("runs"))
+    homes = checkpointed(homes.select("node", "runs", F.col("home.band").alias("home")))
+    rooted = homes.join(_gathered(members, homes, block), "home")
+    sized = rooted.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("runs") / block_runs)).alias("parts"))
+    cell = F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts"))
+    homes = checkpointed(rooted.join(sized, "root").select("node", cell.alias("cell")))
     seen = members.select("node", "band").join(homes, "node").select("band", "cell").distinct()
     mixed = seen.groupBy("band").agg(F.min("cell").alias("least"), F.max("cell").alias("most")).where("least < most").select("band")
     seen = checkpointed(seen.join(mixed, "band"))

@@ -1,8 +1,8 @@
 """Whether a vulnerability applies to a version, in three-valued logic.
 
-A configuration tree is JSON; its schema nests nodes to a fixed depth, and the
-verdict of a node is a Column expression built by the same recursion, so the
-evaluation is native. Verdicts are nullable booleans: null is undecided.
+A configuration tree is JSON; its schema nests nodes as deep as the data do, and
+the verdict of a node is a Column expression built by the same recursion, so the
+evaluation is native. Nothing below a depth is left out silently. Verdicts are nullable booleans: null is undecided.
 """
 
 from __future__ import annotations
@@ -28,13 +28,39 @@ def node_schema(depth: int) -> str:
     return f"struct<operator: string, negate: boolean, cpeMatch: array<{_MATCH}>{below}>"
 
 
-def configurations_schema(depth: int = 3) -> str:
+def configurations_schema(depth: int) -> str:
     return f"array<struct<operator: string, nodes: array<{node_schema(depth)}>>>"
 
 
-def parse_configurations(text: Column, depth: int = 3) -> Column:
-    """The trees of a JSON text; nodes below the depth are not read."""
-    return F.from_json(text, configurations_schema(depth))
+def levels(text: Column) -> Column:
+    """How many levels of child nodes the trees of a JSON text may have: none
+    without a key "children", else half of its deepest nesting of brackets, less
+    the list of trees, the tree, its list of nodes and the node.
+    """
+    bare = F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', "")
+    steps = F.filter(F.split(F.regexp_replace(F.translate(F.translate(bare, "{", "["), "}", "]"), r"[^\[\]]", ""), ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(at: Column, bracket: Column) -> Column:
+        now = at["open"] + F.when(bracket == "[", 1).otherwise(-1)
+        return F.struct(now.alias("open"), F.greatest(at["most"], now).alias("most"))
+
+    nested = F.greatest(F.ceil((F.coalesce(F.aggregate(steps, start, step)["most"], F.lit(0)) - 4) / 2), F.lit(0)).cast("int")
+    return F.when(text.contains('"children"'), nested).otherwise(F.lit(0))
+
+
+def depth_of(df: DataFrame, column: str = "configurations", most: int = 24) -> int:
+    """The levels of child nodes in a column of trees; more than most are an error."""
+    found = df.agg(F.max(levels(F.col(column)))).first()[0] or 0
+    if found > most:
+        raise ValueError(f"a tree of {column} has {found} levels of child nodes, more than {most}")
+    return found
+
+
+def parse_configurations(text: Column, depth: int) -> Column:
+    """The trees of a JSON text. One of more levels() is an error."""
+    deep = F.raise_error(F.concat(F.lit(f"a tree has more than {depth} levels of child nodes: "), F.left(text, F.lit(200))))
+    return F.when(levels(text) > depth, deep).otherwise(F.from_json(text, configurations_schema(depth)))
 
 
 def target_of(cpe_name: Column, vendor: Column, model: Column) -> Column:
@@ -189,7 +215,7 @@ class Firmware:
 
         return let(F.filter(F.flatten(F.transform(config["nodes"], lambda n: named(n, depth))), lambda c: c.isNotNull()), foreign)
 
-    def applies(self, configurations: Column, depth: int = 3) -> Column:
+    def applies(self, configurations: Column, depth: int) -> Column:
         """The verdict of a vulnerability by its parsed configurations. Without a
         readable version none applies: undecided, or false if only others are named.
         """
@@ -204,7 +230,7 @@ class Firmware:
         none = configurations.isNull() | (F.size(configurations) == 0)
         return F.when(none, unknown()).otherwise(let(F.filter(configurations, lambda c: ~self.is_other(c, depth)), own_verdict))
 
-    def only_others(self, configurations: Column, depth: int = 3) -> Column:
+    def only_others(self, configurations: Column, depth: int) -> Column:
         some = configurations.isNotNull() & (F.size(configurations) > 0)
         return F.coalesce(some & F.forall(configurations, lambda c: self.is_other(c, depth)), F.lit(False))
 
@@ -219,18 +245,20 @@ def effective_state(state: Column, candidates: Column, only_others: Column) -> C
     return F.when((state == FOUND) & none & all_others, F.lit(NOT_FOUND)).otherwise(state)
 
 
-def judge(df: DataFrame, depth: int = 3) -> DataFrame:
+def judge(df: DataFrame, depth: int | None = None) -> DataFrame:
     """df (version, target, configurations as JSON) with verdict and only_others
-    instead of the configurations.
+    instead of the configurations. depth: the most levels() of a tree; those of the
+    data, which takes a pass over the trees, if it isn't told.
     """
+    depth = depth_of(df) if depth is None else depth
     df, firmware = Firmware.of(df.withColumn("__tree", parse_configurations(F.col("configurations"), depth)), "version", "target")
     told = df.withColumns({"verdict": firmware.applies(F.col("__tree"), depth), "only_others": firmware.only_others(F.col("__tree"), depth)})
     return told.drop("__tree", "__raw", "__version", "configurations")
 
 
-def verdicts(aliases: DataFrame, cves: DataFrame, on: list[str], depth: int = 3) -> DataFrame:
+def verdicts(aliases: DataFrame, cves: DataFrame, on: list[str], depth: int | None = None) -> DataFrame:
     """Each alias with each vulnerability of its entry, judged.
 
     aliases: on, version, target; cves: on, cve_id, configurations.
     """
-    return judge(aliases.join(cves, on), depth)
+    return judge(aliases.join(cves, on), depth_of(cves) if depth is None else depth)

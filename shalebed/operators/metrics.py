@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import numbered
+
 
 def confusion(predictions: DataFrame, keys: list[str], true: str, predicted: str, classes: list[str], weight: Column | None = None) -> DataFrame:
     """One row for each keys with m_i_j, the weight of class i predicted as j."""
@@ -103,13 +105,10 @@ def draw_resamples(df: DataFrame, group: str, n: int, seed: int = 0) -> DataFram
     replacement of as many groups. The same for every use, as it is a function of
     the seed: draw j of a resample is the group at a hashed rank.
     """
-    from pyspark.sql.window import Window
-
-    names = df.select(group).distinct()
-    total = names.count()
-    ranked = names.withColumn("rank", F.row_number().over(Window.orderBy(group)) - 1)
+    ranked = numbered(df.select(group).distinct(), [group], "rank")
+    total = ranked.count()
     draws = df.sparkSession.range(n * total).select(
-        (F.col("id") / total).cast("long").alias("resample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total)).cast("int").alias("rank")
+        (F.col("id") / total).cast("long").alias("resample"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(total)).alias("rank")
     )
     return draws.groupBy("resample", "rank").agg(F.count(F.lit(1)).alias("k")).join(ranked, "rank").select("resample", group, "k")
 

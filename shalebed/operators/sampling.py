@@ -42,11 +42,14 @@ def allocation(df: DataFrame, stratum: str, target: int) -> DataFrame:
 
 def draw(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: str) -> DataFrame:
     """The rows of each stratum with the least hashes of seed and key, as many as its
-    quota: a sample without replacement that depends on the seed alone.
+    quota: a sample without replacement that depends on the seed alone. The least of
+    64 parts of a stratum are ranked, so none is sorted in one task.
     """
     h = F.sha2(F.concat_ws("/", F.lit(seed), F.col(key).cast("string")), 256)
-    ranked = df.withColumn("__n", F.row_number().over(Window.partitionBy(stratum).orderBy(h, key)))
-    return ranked.join(F.broadcast(quotas.select(stratum, "quota")), stratum).where("__n <= quota").drop("__n", "quota")
+    rows = df.join(quotas.select(stratum, "quota"), stratum).withColumns({"__h": h, "__part": F.pmod(F.xxhash64(key), F.lit(64))})
+    for within in ([stratum, "__part"], [stratum]):
+        rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*within).orderBy("__h", key))).where("__n <= quota")
+    return rows.select(*df.columns)
 
 
 def nth_of(df: DataFrame, keys: list[str], order: str) -> DataFrame:

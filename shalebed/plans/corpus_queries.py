@@ -76,16 +76,20 @@ _CRITERIA = "cpe:2.3:o:acme:router_firmware:*:*:*:*:*:*:*:*"
 
 
 def q_applicability(spark, sf):
-    """A tree for each line item: a range on the product, alone or with its own hardware."""
+    """A tree for each line item: a range on the product, alone, with its own hardware,
+    or as the last of a chain of five levels of nodes.
+    """
     hardware = "cpe:2.3:h:acme:router:-:*:*:*:*:*:*:*"
     other = json.dumps([{"nodes": [{"cpeMatch": [{"vulnerable": True, "criteria": _CRITERIA.replace("router", "camera")}]}]}])
     both = '[{"nodes":[{"operator":"AND","cpeMatch":[{"vulnerable":true,"criteria":"%s","versionEndExcluding":"'
+    link = '{"operator":"AND","cpeMatch":[{"vulnerable":true,"criteria":"%s"}],"children":[' % _CRITERIA
     cves = table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("entry"),
         F.col("l_linenumber").alias("cve_id"),
         F.concat_ws(".", F.pmod("l_partkey", F.lit(9)), F.pmod("l_suppkey", F.lit(5))).alias("version"),
         F.when(F.col("l_linenumber") % 4 == 0, F.lit("[]"))
         .when(F.col("l_linenumber") % 4 == 1, F.lit(other))
+        .when(F.col("l_linenumber") == 7, F.concat(F.lit(f'[{{"nodes":[{link * 5}' + (both % _CRITERIA).partition('"nodes":[')[2]), F.col("l_quantity").cast("int") % 9, F.lit('.2"}]}' + "]}" * 5 + "]}]")))
         .otherwise(
             F.concat(
                 F.lit(both % _CRITERIA), F.col("l_quantity").cast("int") % 9, F.lit('.2"},{"vulnerable":false,"criteria":"'),
@@ -95,7 +99,7 @@ def q_applicability(spark, sf):
         .alias("configurations"),
     )
     target = applicability.target_of(F.lit(None).cast("string"), F.lit("Acme"), F.lit("Router firmware"))
-    return applicability.judge(cves.withColumn("target", target), depth=1).select("entry", "cve_id", "verdict", "only_others")
+    return applicability.judge(cves.withColumn("target", target)).select("entry", "cve_id", "verdict", "only_others")
 
 
 # Labels --------------------------------------------------------------------
@@ -313,7 +317,7 @@ SELECT l_orderkey, CASE WHEN bool_or(v IS NOT NULL AND NOT v) THEN false WHEN bo
     "q_applicability": """
 SELECT l_orderkey AS entry, l_linenumber AS cve_id, l_linenumber % 4 = 1 AS only_others,
   CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN false ELSE
-    CASE WHEN (l_partkey % 9, l_suppkey % 5) >= (l_quantity::INT % 9, 2) THEN false WHEN l_linenumber % 4 = 2 THEN true END END AS verdict
+    CASE WHEN l_linenumber = 7 THEN (l_partkey % 9, l_suppkey % 5) < (l_quantity::INT % 9, 2) WHEN (l_partkey % 9, l_suppkey % 5) >= (l_quantity::INT % 9, 2) THEN false WHEN l_linenumber % 4 = 2 THEN true END END AS verdict
 FROM lineitem""",
     "q_bounds_label": f"""
 WITH judged AS (SELECT l_orderkey AS fw, l_partkey::VARCHAR AS cve_id, l_quantity / 5 AS score, CASE l_linenumber % 3 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS verdict, l_linenumber * 1000000 + l_suppkey AS nth FROM lineitem),

@@ -59,9 +59,9 @@ def q_bootstrap(spark, sf):
 
 
 def q_bootstrap_drawn(spark, sf):
-    """200 resamples drawn by the operator."""
+    """2,000 resamples drawn by the operator."""
     p = _predictions(spark, sf)
-    return metrics.paired_bootstrap(p, metrics.draw_resamples(p, "source", 200), "source", "y", "a", "b", CLASSES)
+    return metrics.paired_bootstrap(p, metrics.draw_resamples(p, "source", 2000), "source", "y", "a", "b", CLASSES)
 
 
 def q_majority(spark, sf):
@@ -73,19 +73,19 @@ def q_invalid_predictions(spark, sf):
     return metrics.invalid_predictions(p.unionByName(p.where("doc_id % 7 = 0")), ["doc_id"], ["y", "b"], CLASSES)
 
 
-def _links(spark, sf):
-    return table(spark, sf, "lineitem").where("l_quantity = 1").select("l_orderkey", "l_partkey")
+def q_components(spark, sf):
+    """Orders that share parts, directly or over others."""
+    return groups.connected_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
-def q_components(spark, sf):
-    return groups.connected_groups(_links(spark, sf), "l_orderkey", "l_partkey")
+def _links(spark, sf):
+    """Orders and their customers, whose groups stay apart."""
+    return table(spark, sf, "orders").select("o_orderkey", "o_custkey")
 
 
 def _folds(spark, sf):
-    labelled = groups.connected_groups(_links(spark, sf), "l_orderkey", "l_partkey").join(
-        table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey"
-    )
-    return labelled, groups.grouped_folds(labelled, "l_orderkey", "group", "o_orderstatus", 5, seed=42)
+    labelled = groups.connected_groups(_links(spark, sf), "o_orderkey", "o_custkey").join(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    return labelled, groups.grouped_folds(labelled, "o_orderkey", "group", "o_orderstatus", 5, seed=42)
 
 
 def q_folds(spark, sf):
@@ -95,13 +95,13 @@ def q_folds(spark, sf):
 def q_fold_checks(spark, sf):
     """How many ids and models cross folds or aren't tested once; none should."""
     _, folds = _folds(spark, sf)
-    crossing = groups.crossings(folds, _links(spark, sf), "l_orderkey", "l_partkey").agg(F.count(F.lit(1)).alias("crossings"))
-    return crossing.crossJoin(groups.not_tested_once(folds, "l_orderkey").agg(F.count(F.lit(1)).alias("not_once")))
+    crossing = groups.crossings(folds, _links(spark, sf), "o_orderkey", "o_custkey").agg(F.count(F.lit(1)).alias("crossings"))
+    return crossing.crossJoin(groups.not_tested_once(folds, "o_orderkey").agg(F.count(F.lit(1)).alias("not_once")))
 
 
 def q_fold_summary(spark, sf):
     labelled, folds = _folds(spark, sf)
-    return groups.fold_summary(folds, labelled, "l_orderkey", "o_orderstatus", ["F", "O", "P"])
+    return groups.fold_summary(folds, labelled, "o_orderkey", "o_orderstatus", ["F", "O", "P"])
 
 
 #: Features of an order, from its key, in both engines.
@@ -204,6 +204,13 @@ _BOUND = lambda sign: f"((yes / n + {_Z ** 2} / (2 * n)) / (1 + {_Z ** 2} / n) {
 _QUOTA = lambda target: f"""c AS (SELECT lang, count(*) AS capacity, row_number() OVER (ORDER BY lang) AS i, count(*) OVER () AS m FROM documents GROUP BY lang),
 q AS (SELECT lang, capacity, least(capacity, {target} // m + CASE WHEN i <= {target} % m THEN 1 ELSE 0 END) AS quota FROM c)"""
 
+#: Least labels from orders to parts and back, more often than any two orders of a component are apart.
+_COMPONENTS = "e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS model FROM lineitem), l0 AS (SELECT DISTINCT id, id AS label FROM e), " + ", ".join(
+    f"m{k} AS MATERIALIZED (SELECT model, min(label) AS label FROM e JOIN l{k - 1} USING (id) GROUP BY model), "
+    f"l{k} AS MATERIALIZED (SELECT id, min(label) AS label FROM e JOIN m{k} USING (model) GROUP BY id)"
+    for k in range(1, 13)
+)
+
 SQL = {
     "q_confusion": f"WITH {_P} {_CLASS_SQL}",
     "q_macro_f1": f"""WITH {_P} SELECT lang, count(*) AS n, round(avg((y = a)::INT), 6) AS accuracy, round({_macro('a')}, 6) AS macro_f1,
@@ -222,10 +229,7 @@ SELECT round(first, 6) AS first, round(second, 6) AS second, round(first - secon
     "q_majority": f"WITH {_P}, c AS (SELECT lang, y, count(*) AS n FROM p GROUP BY ALL) SELECT lang, arg_max(y, n * 2 + (y = '1')::INT) AS majority FROM c GROUP BY lang",
     "q_invalid_predictions": f"""WITH {_P}, x AS (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN b END AS b FROM p), u AS (SELECT * FROM x UNION ALL SELECT * FROM x WHERE doc_id % 7 = 0)
 SELECT 'repeated' AS problem, count(*) AS n FROM p WHERE doc_id % 7 = 0 UNION ALL SELECT 'label', count(*) FROM u WHERE b IS NULL""",
-    "q_components": """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS model FROM lineitem WHERE l_quantity = 1),
-n AS (SELECT DISTINCT a.id AS x, b.id AS y FROM e a JOIN e b USING (model)),
-r(x, y) AS (SELECT x, y FROM n UNION SELECT r.x, n.y FROM r JOIN n ON n.x = r.y)
-SELECT x AS l_orderkey, 'g:' || min(y) AS "group" FROM r GROUP BY x""",
+    "q_components": f"WITH {_COMPONENTS} SELECT id AS l_orderkey, 'g:' || label AS \"group\" FROM l12",
     "q_fold_checks": "SELECT 0 AS crossings, 0 AS not_once",
     "q_rule_score": f"""WITH f AS (SELECT k, {", ".join(f"{e} AS {n}" for n, e in FEATURES.items())} FROM (SELECT o_orderkey AS k FROM orders)),
 s AS (SELECT *, {_MEANS}, (entropy IS NULL)::INT + (compress_ratio IS NULL)::INT + (count_non_public_ips IS NULL)::INT + (has_outdated_busybox IS NULL)::INT + (fs_type IS NULL)::INT AS missing FROM f),

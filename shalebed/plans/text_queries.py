@@ -27,12 +27,12 @@ def q_strings(spark, sf):
 
 def q_document_build(spark, sf):
     s = S.strings_of(_docs(spark, sf), "doc_id", F.col("text"))
-    return S.build_documents(s, "doc_id", max_strings=40, max_chars=2000)
+    return S.build_documents(s, "doc_id", max_strings=2000, max_chars=200_000)
 
 
 def q_tokens(spark, sf):
-    runs = S.limited_strings(S.printable_runs(F.col("text")), 100)
-    docs = _docs(spark, sf).select("doc_id", S.joined_document(runs, 5000).alias("document"))
+    runs = S.limited_strings(S.printable_runs(F.col("text")), 2000)
+    docs = _docs(spark, sf).select("doc_id", S.joined_document(runs, 200_000).alias("document"))
     tokens = docs.select("doc_id", F.posexplode(S.tokens_of(F.col("document"))).alias("pos", "token"))
     return tokens.select("doc_id", F.col("pos").cast("long").alias("pos"), "token")
 
@@ -82,12 +82,12 @@ SQL = {
 WITH s AS (SELECT doc_id, unnest(r) AS s, generate_subscripts(r, 1) AS pos FROM (SELECT doc_id, {RUNS} AS r FROM documents)),
 f AS (SELECT doc_id, s, min(pos) AS pos FROM s GROUP BY ALL),
 o AS (SELECT *, row_number() OVER w AS nth, sum(length(s) + 1) OVER w - length(s) - 1 AS before FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
-SELECT doc_id, coalesce(string_agg(left(s, (2000 - before)::INT), chr(10) ORDER BY pos) FILTER (nth <= 40 AND before < 2000), '') AS document,
-       count(*) FILTER (nth <= 40 AND before < 2000) AS n_strings,
-       bool_or(NOT (nth <= 40 AND before < 2000) OR before + length(s) > 2000) AS truncated
+SELECT doc_id, coalesce(string_agg(left(s, (200000 - before)::INT), chr(10) ORDER BY pos) FILTER (nth <= 2000 AND before < 200000), '') AS document,
+       count(*) FILTER (nth <= 2000 AND before < 200000) AS n_strings,
+       bool_or(NOT (nth <= 2000 AND before < 200000) OR before + length(s) > 200000) AS truncated
 FROM o GROUP BY doc_id""",
     "q_tokens": f"""
-WITH d AS (SELECT doc_id, left(array_to_string(({RUNS})[1:100], chr(10)), 5000) AS document FROM documents),
+WITH d AS (SELECT doc_id, left(array_to_string(({RUNS})[1:2000], chr(10)), 200000) AS document FROM documents),
 t AS (SELECT doc_id, list_filter(string_split_regex(document, '\\s+'), lambda x: x <> '') AS l FROM d)
 SELECT doc_id, unnest(l) AS token, generate_subscripts(l, 1) - 1 AS pos FROM t""",
     "q_byte_histogram": f"WITH {_HISTOGRAM} SELECT doc_id, byte, n FROM hist",

@@ -63,6 +63,11 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def _written_digest(spark: SparkSession, path: str) -> str:
+    """The digest of what was written: rows of Parquet, lines of text."""
+    return row_digest(spark.read.text(path) if path.endswith((".csv", ".jsonl")) else spark.read.parquet(path))
+
+
 def publish(tables: dict[str, DataFrame], folder: str, manifest: dict, overwrite: bool = False) -> dict:
     """All tables into a folder beside the target, the manifest with their digests
     last, then one rename; an existing target is an error unless overwrite.
@@ -76,21 +81,26 @@ def publish(tables: dict[str, DataFrame], folder: str, manifest: dict, overwrite
     digests = {}
     for name, df in tables.items():
         write_table(df, f"{staging}/{name}", overwrite=True)
-        digests[name] = row_digest(spark.read.parquet(f"{staging}/{name}") if not name.endswith((".csv", ".jsonl")) else df)
+        digests[name] = _written_digest(spark, f"{staging}/{name}")
     told = manifest | {"digests": digests}
     write_manifest(spark, f"{staging}/manifest.json", told, overwrite=True)
-    if overwrite:
-        files.delete(target, True)
+    # The old tables are deleted when the new ones stand in their place.
+    old = jvm.org.apache.hadoop.fs.Path(f"{folder}.old")
+    if files.exists(target):
+        files.delete(old, True)
+        if not files.rename(target, old):
+            raise OSError(f"can't move {folder} aside")
     if not files.rename(jvm.org.apache.hadoop.fs.Path(staging), target):
         raise OSError(f"can't move {staging} to {folder}")
+    files.delete(old, True)
     return told
 
 
 def check_published(spark: SparkSession, folder: str) -> dict:
-    """The manifest, if the Parquet tables still have its digests."""
+    """The manifest, if the tables still have its digests."""
     manifest = read_manifest(spark, f"{folder}/manifest.json")
     for name, digest in manifest["digests"].items():
-        if not name.endswith((".csv", ".jsonl")) and row_digest(spark.read.parquet(f"{folder}/{name}")) != digest:
+        if _written_digest(spark, f"{folder}/{name}") != digest:
             raise ValueError(f"{name} has changed since it was published")
     return manifest
 

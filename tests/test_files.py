@@ -106,6 +106,9 @@ def test_publish(spark, tmp_path):
     assert sinks.check_published(spark, target)["seed"] == 1
     with pytest.raises(FileExistsError):
         sinks.publish({"t.parquet": df}, target, {})
+    sinks.publish({"t.parquet": df, "t.csv": df}, target, {"seed": 2}, overwrite=True)
+    assert sinks.check_published(spark, target)["seed"] == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["run"]
     assert sinks.row_digest(df) == sinks.row_digest(df.orderBy(F.desc("i")).repartition(3)) != sinks.row_digest(df.limit(1))
     df.limit(1).write.mode("overwrite").parquet(f"{target}/t.parquet")
     with pytest.raises(ValueError, match="changed"):

@@ -63,15 +63,35 @@ TREES = [
 def test_trees(spark):
     rows = spark.createDataFrame([(i, v, t) for i, (v, t, _) in enumerate(TREES)], "i int, version string, configurations string")
     target = A.target_of(F.lit(None).cast("string"), F.lit("Acme"), F.lit("M1 Firmware"))
-    found = {r.i: r.verdict for r in A.judge(rows.withColumn("target", target), depth=1).collect()}
+    found = {r.i: r.verdict for r in A.judge(rows.withColumn("target", target)).collect()}
     assert found == {i: e for i, (_, _, e) in enumerate(TREES)}
 
 
+def test_deep_trees(spark):
+    """The innermost node decides at every depth, and none is left out silently."""
+    def chain(n, last):
+        return node(last) if n == 0 else node(match(ANY), operator="AND", children=[chain(n - 1, last)])
+
+    false, true = match(SOFTWARE % ("9", "*")), match(ANY)
+    empty = node(match(ANY), operator="AND", children=[node()])
+    cases = [(f"{n}{kind}", tree(chain(n, kind == "t" and true or false)), kind == "t") for n in range(9) for kind in "tf"] + [("empty", tree(empty), None)]
+    rows = spark.createDataFrame([(i, "1.2", t) for i, t, _ in cases], "i string, version string, configurations string")
+    target = A.target_of(F.lit(None).cast("string"), F.lit("Acme"), F.lit("M1 Firmware"))
+    rows = rows.withColumn("target", target)
+    assert {r.i: r.verdict for r in A.judge(rows).collect()} == {i: e for i, _, e in cases}
+    quoted = spark.createDataFrame([('[{"nodes":[{"cpeMatch":[{"criteria":"a[[[[\\\\"{{{{ b"}]}]}]',)], "configurations string")
+    assert A.depth_of(quoted) == 0 and A.depth_of(rows.where("false")) == 0
+    with pytest.raises(Exception, match="more than 3 levels"):
+        A.judge(rows, depth=3).collect()
+    with pytest.raises(ValueError, match="more than 4"):
+        A.depth_of(rows, most=4)
+
+
 def test_netgear_package(spark):
     cases = [("1.0.1.80", "1.0.1.80_1.0.75", None), ("1.0.1.81", "1.0.1.80_1.0.75", False), ("1.0.1.80", "v1.0.1.80", True)]
     rows = spark.createDataFrame([(i, v, tree(node(match(NETGEAR % e)))) for i, (v, e, _) in enumerate(cases)], "i int, version string, configurations string")
     target = A.target_of(F.lit("cpe:2.3:o:netgear:r1_firmware:*:*:*:*:*:*:*:*"), F.lit(None).cast("string"), F.lit(None).cast("string"))
-    assert {r.i: r.verdict for r in A.judge(rows.withColumn("target", target), depth=0).collect()} == {i: e for i, (_, _, e) in enumerate(cases)}
+    assert {r.i: r.verdict for r in A.judge(rows.withColumn("target", target)).collect()} == {i: e for i, (_, _, e) in enumerate(cases)}
 
 
 def test_evidence_state(spark):

@@ -23,7 +23,7 @@ def test_contract(spark, data):
 def test_folds(spark, data):
     rows = catalog.QUERIES["q_folds"](spark, data).collect()
     tests = [r for r in rows if r.role == "test"]
-    assert len({r.l_orderkey for r in rows}) == len(tests)
+    assert len({r.o_orderkey for r in rows}) == len(tests)
     assert {r.fold for r in tests} == set(range(5))
     assert len({(r.group, r.fold) for r in tests}) == len({r.group for r in tests})
 

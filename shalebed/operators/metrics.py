@@ -114,25 +114,28 @@ def draw_resamples(df: DataFrame, group: str, n: int, seed: int = 0) -> DataFram
 
 
 def paired_bootstrap(
-    predictions: DataFrame, resamples: DataFrame, group: str, true: str, first: str, second: str, classes: list[str], confidence: float = 0.95, weight: str | None = None
-) -> DataFrame:
-    """One row: the macro-F1 of both arms and their difference, with intervals over
-    the same resamples. predictions: a row has the label, both predictions and its
-    group. The point estimates use the base weights only.
-
-    Resamples meet sums by group, label and predictions, not rows.
+    predictions: DataFrame, resamples: DataFrame, group: str, true: str, first: str, second: str, classes: list[str],
+    confidence: float = 0.95, weight: str | None = None, keys: list[str] | None = None,
+) -> DataFrame:
+    """One row for each keys (one in all without): the macro-F1 of both arms and their
+    difference, with intervals over the same resamples. predictions: a row has the
+    label, both predictions and its group. The point estimates use the base weights only.
+
+    Resamples meet sums by keys, group, label and predictions, not rows.
     """
+    keys = keys or []
     base = F.lit(1.0) if weight is None else F.col(weight)
-    cells = predictions.groupBy(group, true, first, second).agg(F.sum(base).alias("w"))
+    cells = predictions.groupBy(*keys, group, true, first, second).agg(F.sum(base).alias("w"))
     drawn = cells.join(resamples, group).withColumn("w", F.col("w") * F.col("k"))
-    arm = lambda df, keys, column, name: weighted_macro_f1(df, keys, true, column, classes, F.col("w")).withColumnRenamed("macro_f1", name)
-    both = arm(drawn, ["resample"], first, "a").join(arm(drawn, ["resample"], second, "b"), "resample")
+    arm = lambda df, by, column, name: weighted_macro_f1(df, by, true, column, classes, F.col("w")).withColumnRenamed("macro_f1", name)
+    beside = lambda a, b: a.join(b, keys) if keys else a.crossJoin(b)
+    both = arm(drawn, [*keys, "resample"], first, "a").join(arm(drawn, [*keys, "resample"], second, "b"), [*keys, "resample"])
     tail = (1 - confidence) / 2
     bounds = F.array(F.lit(tail), F.lit(1 - tail))
-    spread = both.agg(*[F.percentile(x, bounds).alias(n) for x, n in ((F.col("a"), "qa"), (F.col("b"), "qb"), (F.col("a") - F.col("b"), "qd"))])
-    point = arm(cells, [], first, "a").crossJoin(arm(cells, [], second, "b")).crossJoin(spread)
+    spread = both.groupBy(*keys).agg(*[F.percentile(x, bounds).alias(n) for x, n in ((F.col("a"), "qa"), (F.col("b"), "qb"), (F.col("a") - F.col("b"), "qd"))])
+    point = beside(beside(arm(cells, keys, first, "a"), arm(cells, keys, second, "b")), spread)
     ends = [F.get(q, i).alias(f"{n}_{e}") for q, n in (("qa", "first"), ("qb", "second"), ("qd", "delta")) for i, e in enumerate(("low", "high"))]
-    return point.select(F.col("a").alias("first"), F.col("b").alias("second"), (F.col("a") - F.col("b")).alias("delta"), *ends)
+    return point.select(*keys, F.col("a").alias("first"), F.col("b").alias("second"), (F.col("a") - F.col("b")).alias("delta"), *ends)
 
 
 def scenario_weights(df: DataFrame, vendor: str, dropped: str, group: str) -> DataFrame:

@@ -120,3 +120,27 @@ def in_order(df: DataFrame, column: str, names: list[str], *then: str) -> DataFr
     """Rows in the order of given names, others last, then by other columns."""
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(column))
     return df.orderBy(F.coalesce(F.nullif(place, F.lit(0)), F.lit(len(names) + 1)), *then)
+
+
+def distribution(df: DataFrame, column: str, names: list[str | None]) -> DataFrame:
+    """(column, n) for each of the given values, in this order and zero where there are
+    none; None stands for null. Other values aren't told.
+    """
+    given = df.sparkSession.createDataFrame([(i, n) for i, n in enumerate(names)], f"__i int, `{column}` string")
+    counts = df.groupBy(F.col(column).cast("string").alias("__v")).agg(F.count(F.lit(1)).alias("n"))
+    joined = given.join(counts, given[column].eqNullSafe(counts["__v"]), "left").orderBy("__i")
+    return joined.select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def alias_counts(aliases: DataFrame, key: str, model: str, differ: str) -> DataFrame:
+    """One row: ids with several aliases, with several models (trimmed, any case) and
+    with versions that differ; aliases has a row for each alias.
+    """
+    name = F.lower(F.trim(F.col(model)))
+    ids = aliases.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(name).alias("models"), F.bool_or(differ).alias("differ"))
+    return ids.agg(F.count_if(F.col("n") > 1).alias("several_aliases"), F.count_if(F.col("models") > 1).alias("several_models"), F.count_if("differ").alias("differing_versions"))
+
+
+def by_first_row(df: DataFrame, key: str, row: str) -> DataFrame:
+    """(key, first_row): ids in the order in which they first appear."""
+    return df.groupBy(key).agg(F.min(row).alias("first_row")).orderBy("first_row", key)

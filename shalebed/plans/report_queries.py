@@ -114,6 +114,27 @@ def q_vendor_models(spark, sf):
     return clean.where("brand <> '' AND model <> ''").distinct().orderBy("brand", "model")
 
 
+def q_distribution(spark, sf):
+    """Orders by status, with one that never occurs and null."""
+    o = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")).alias("status"))
+    return report.distribution(o, "status", ["F", "O", "P", "none", None])
+
+
+def q_alias_counts(spark, sf):
+    """Customers as ids, their orders as aliases."""
+    o = table(spark, sf, "orders").select("o_custkey", F.concat(F.lit(" M"), F.col("o_orderkey") % 3).alias("model"), (F.col("o_orderkey") % 50 == 0).alias("differ"))
+    return report.alias_counts(o, "o_custkey", "model", "differ")
+
+
+def q_by_first_row(spark, sf):
+    return report.by_first_row(table(spark, sf, "events"), "user_id", "event_id")
+
+
+def q_token_preview(spark, sf):
+    """The first tokens of every document."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 20), " ").alias("tokens"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 _DRAWS = f"""{_P}, arms AS (SELECT *, '1' AS c FROM p), d AS (SELECT i // 20 AS resample, ((i // 20) * 7919 + (i % 20) * 104729 + (i // 20) * (i % 20) * 31) % 20 AS rank FROM range({N * 20}) t(i)),
@@ -171,4 +192,10 @@ UNION ALL SELECT DISTINCT 'unmatched', 'labels', doc_id::VARCHAR FROM labels WHE
     "q_out_of_fold_frame": "SELECT o_orderkey, o_custkey AS \"group\", count(*) OVER (PARTITION BY o_custkey) AS group_size, o_orderpriority AS vendor, false AS has_excluded FROM orders",
     "q_encoded": "SELECT s_suppkey, n_name AS nation FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "q_vendor_models": "SELECT DISTINCT lower(trim(p_brand)) AS brand, lower(p_type) AS model FROM part WHERE p_partkey % 3 <> 0 AND trim(p_brand) <> ''",
+    "q_distribution": """WITH o AS (SELECT CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS status FROM orders)
+SELECT v.status, (SELECT count(*) FROM o WHERE o.status IS NOT DISTINCT FROM v.status) AS n FROM (VALUES ('F'), ('O'), ('P'), ('none'), (NULL)) v(status)""",
+    "q_alias_counts": """SELECT count(*) FILTER (n > 1) AS several_aliases, count(*) FILTER (m > 1) AS several_models, count(*) FILTER (d) AS differing_versions
+FROM (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderkey % 3) AS m, bool_or(o_orderkey % 50 = 0) AS d FROM orders GROUP BY ALL)""",
+    "q_by_first_row": "SELECT user_id, min(event_id) AS first_row FROM events GROUP BY ALL",
+    "q_token_preview": "SELECT doc_id, array_to_string(string_split(text, ' ')[1:20], ' ') AS tokens FROM documents",
 }

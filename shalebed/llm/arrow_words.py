@@ -100,12 +100,20 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
-    def exact_ids(self) -> np.ndarray:
-        """A number for each word, the same for equal words only."""
+    def _encoded(self) -> pa.DictionaryArray:
         lengths = self.ends - self.starts
         offsets = np.concatenate([[0], np.cumsum(lengths)])
         words = pa.Array.from_buffers(pa.large_binary(), len(self), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(self.data[self._inside])])
-        return words.dictionary_encode().indices.to_numpy()
+        return words.dictionary_encode()
+
+    def exact_ids(self) -> np.ndarray:
+        """A number for each word, the same for equal words only."""
+        return self._encoded().indices.to_numpy()
+
+    def distinct(self) -> tuple[np.ndarray, list[bytes]]:
+        """The same numbers, and the words that they stand for."""
+        found = self._encoded()
+        return found.indices.to_numpy(), found.dictionary.to_pylist()
 
     def hashes(self, family: int = 0) -> np.ndarray:
         """A uint64 for each word; those of another family don't follow from these."""

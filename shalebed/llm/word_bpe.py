@@ -19,11 +19,12 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_words import blocks
+from .arrow_words import Words, blocks, strings
 from .common import WHITE, extended, table
 
 END = "</w>"
@@ -75,6 +76,30 @@ class Lookup:
         return found
 
 
+class Remembered:
+    """Ids of strings that were met."""
+
+    def __init__(self):
+        self.place: dict = {}
+        self.size = 0
+        self._ids, self._ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, new: list, ids: np.ndarray, ends: np.ndarray) -> None:
+        self.place |= {w: len(self.place) + i for i, w in enumerate(new)}
+        self._ends = np.concatenate([self._ends, ends + len(self._ids)])
+        self._ids = np.concatenate([self._ids, ids.astype(np.int32)])
+        self.size += sum(map(len, new)) + 100 * len(new)
+
+    def places(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+
+    def ids_of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at these places one behind another, and where each one's end."""
+        counts = self._ends[places + 1] - self._ends[places]
+        total = np.cumsum(counts)
+        return self._ids[np.arange(total[-1] if len(total) else 0) + np.repeat(self._ends[places + 1] - total, counts)], total
+
+
 class WordEncoder:
     """A vocabulary file of the tokenizers library: BPE over the bytes of words, with
     a mark at their ends, after NFC and lower-casing. Another kind is an error.
@@ -89,9 +114,9 @@ class WordEncoder:
             raise ValueError(f"{path}: not a vocabulary of lower-case words with ends")
         self._path, self._library = path, None
         self._words = regex.compile(steps[0]["pattern"]["Regex"])
+        self._words_and_lines = regex.compile(steps[0]["pattern"]["Regex"] + r"|\n")
         self._unknown = _unassigned()
         vocab = model["vocab"]
-        self.names = {i: s for s, i in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         marks = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
         self._special = regex.compile(f"({marks})") if marks else None
@@ -99,7 +124,6 @@ class WordEncoder:
         # Symbols 0-255 are bytes, 256-511 bytes at the end of a word.
         self._symbol = np.array([vocab[c + e] for e in ("", END) for c in letters], np.int64)
         self._compile(vocab, [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]])
-        self._known: dict[str, int] = {}
         self._clear()
 
     def _compile(self, vocab: dict[str, int], merges: list[tuple[str, str]]) -> None:
@@ -115,6 +139,7 @@ class WordEncoder:
             self.born[z], self._left[z], self._right[z] = rank, x, y
             self.ranks[x, y] = rank, z
         pairs = np.array(list(self.ranks), np.int64).reshape(-1, 2)
+        self._made = np.array([z for _, z in self.ranks.values()], np.int64)
         self._merge = Lookup(pairs[:, 0] * n + pairs[:, 1], np.arange(len(pairs)))
         # Pieces as symbols, in a trie; those that merging doesn't make of their own bytes are never right.
         spelt: dict[int, list[int]] = {int(i): [s] for s, i in enumerate(self._symbol)}
@@ -217,6 +242,52 @@ class WordEncoder:
                     heapq.heappush(queue, (r[0], k, r[1], ids[k], ids[m]))
         return [i for i in ids if i >= 0]
 
+    def merged_together(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The same for many short words at once, a merge of each word in a step."""
+        width = int(sizes.max())
+        place = np.arange(width)
+        inside = place < sizes[:, None]
+        ids = np.full((len(sizes), width + 1), -1, np.int64)
+        ids[:, :width][inside] = self._symbol[data[(starts[:, None] + place)[inside]]]
+        ranks = np.full((len(sizes), width), _LATE)
+
+        def rank(rows, columns):
+            ok = (columns >= 0) & (columns < width)
+            a = ids[rows, np.where(ok, columns, 0)]
+            b = ids[rows, np.where(ok, columns + 1, 0)]
+            found = np.where(ok & (a >= 0) & (b >= 0), self._merge(np.maximum(a, 0) * self._n + np.maximum(b, 0)), -1)
+            ranks[rows[ok], columns[ok]] = np.where(found[ok] < 0, _LATE, found[ok])
+
+        for c in range(width - 1):
+            rank(np.arange(len(sizes)), np.full(len(sizes), c))
+        live = np.arange(len(sizes))
+        while len(live):
+            at = ranks[live].argmin(axis=1)  # of equal ranks the leftmost
+            best = ranks[live, at]
+            live, at = live[best < _LATE], at[best < _LATE]
+            if not len(live):
+                break
+            onward = np.minimum(place + (place > at[:, None]), width)
+            kept = np.take_along_axis(ids[live], onward, 1)
+            kept[np.arange(len(live)), at] = self._made[ranks[live, at]]
+            ids[live, :width] = kept
+            ranks[live] = np.take_along_axis(np.pad(ranks[live], ((0, 0), (0, 1)), constant_values=_LATE), onward, 1)
+            rank(live, at - 1)
+            rank(live, at)
+        return [row[row >= 0] for row in ids]
+
+    def _mended(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """The pieces of words by merging, words of like length together."""
+        found: list = [None] * len(sizes)
+        order = np.argsort(sizes, kind="stable")
+        short = order[: np.searchsorted(sizes[order], 64, "right")]
+        for part in np.array_split(short, max(1, len(short) // 4096)) if len(short) else []:
+            for i, ids in zip(part.tolist(), self.merged_together(data, starts[part], sizes[part]), strict=True):
+                found[i] = ids
+        for i in order[len(short) :].tolist():
+            found[i] = np.array(self.merged(data[starts[i] : starts[i] + sizes[i]].tolist()), np.int64)
+        return found
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words one behind another, and where each word's end."""
         raw = [w.encode() for w in words]
@@ -230,31 +301,54 @@ class WordEncoder:
         counts = np.bincount(word, minlength=len(words))
         if not fails.any():
             return ids, np.cumsum(counts)
-        mended = {int(w): self.merged(data[ends[w] - len(raw[w]) : ends[w]].tolist()) for w in np.flatnonzero(fails)}
+        which = np.flatnonzero(fails)
         first = np.cumsum(counts) - counts
         parts, at = [], 0
-        for w, pieces in mended.items():
-            parts += [ids[at : first[w]], np.array(pieces, np.int64)]
+        for w, pieces in zip(which.tolist(), self._mended(data, np.concatenate([[0], ends[:-1]])[which], np.diff(ends, prepend=0)[which]), strict=True):
+            parts += [ids[at : first[w]], pieces]
             at = first[w] + counts[w]
             counts[w] = len(pieces)
         return np.concatenate([*parts, ids[at:]]), np.cumsum(counts)
 
     def _clear(self) -> None:
-        self._known.clear()
-        self._ids, self._ends = np.array(list(self.special.values()), np.int64), np.arange(1, len(self.special) + 1)
-        self._known |= {s: i for i, s in enumerate(self.special)}
-        self._bytes = 0
+        """Forgets all words and chunks but the special strings."""
+        self._words_known = Remembered()
+        self._chunks_known = Remembered()
+        self._words_known.add(list(self.special), np.array(list(self.special.values()), np.int64), np.arange(1, len(self.special) + 1))
 
     def _learn(self, words: list[str]) -> None:
-        """Makes all words known. What is known is forgotten when it takes over some 16 MB."""
-        if self._bytes > 16_000_000:
+        if new := [w for w in dict.fromkeys(words) if w not in self._words_known.place]:
+            self._words_known.add(new, *self.encode_words(new))
+
+    def _chunks(self, chunks: list[bytes]) -> np.ndarray:
+        """Where the ids of chunks without white space are. What is known is forgotten when
+        it takes over some 60 MB.
+        """
+        if self._words_known.size + self._chunks_known.size > 60_000_000:
             self._clear()
-        if new := [w for w in dict.fromkeys(words) if w not in self._known]:
-            ids, ends = self.encode_words(new)
-            self._known |= {w: len(self._ends) + i for i, w in enumerate(new)}
-            self._ends = np.concatenate([self._ends, ends + len(self._ids)])
-            self._ids = np.concatenate([self._ids, ids])
-            self._bytes += sum(map(len, new)) + 100 * len(new)
+        if new := [c for c in chunks if c not in self._chunks_known.place]:
+            flat, last = self._split_all(new)
+            self._learn(flat)
+            ids, ends = self._words_known.ids_of(self._words_known.places(flat))
+            self._chunks_known.add(new, ids, np.concatenate([[0], ends])[last])
+        return self._chunks_known.places(chunks)
+
+    def _split_all(self, chunks: list[bytes]) -> tuple[list[str], np.ndarray]:
+        """The words of all chunks one behind another, and where each chunk's end."""
+        joined = b"\n".join(chunks).decode(errors="replace")
+        if (self._special and self._special.search(joined)) or self._newer(joined):
+            words = [self.split(c) for c in joined.split("\n")]
+            return [w for ws in words for w in ws], np.cumsum([len(ws) for ws in words])
+        found = self._words_and_lines.findall(self._normal(joined))
+        lines = np.array([i for i, w in enumerate(found) if w == "\n"], np.int64)
+        return [w for w in found if w != "\n"], np.append(lines - np.arange(len(lines)), len(found) - len(lines))
+
+    def _newer(self, text: str) -> bool:
+        return not text.isascii() and bool(self._unknown[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any())
+
+    def _normal(self, text: str) -> str:
+        """NFC and lower case; a sigma at the end of a word is lower-cased as any other here."""
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def split(self, text: str) -> list[str]:
         """The words of a text and the special strings in it."""
@@ -262,13 +356,10 @@ class WordEncoder:
         for i, part in enumerate(self._special.split(text) if self._special else [text]):
             if i % 2:
                 words.append(part)
-            elif part.isascii():
-                words += self._words.findall(part.lower())
-            elif self._unknown[np.frombuffer(part.encode("utf-32-le"), np.uint32)].any():
+            elif self._newer(part):
                 words += self._by_library(part)
             else:
-                # A sigma at the end of a word is lower-cased as any other here.
-                words += self._words.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
+                words += self._words.findall(self._normal(part))
         return words
 
     def _by_library(self, text: str) -> list[str]:
@@ -283,27 +374,18 @@ class WordEncoder:
 
     def encode(self, text: str, piece: int = 1_000_000) -> np.ndarray:
         """The ids of a text, which is cut before white space into pieces of about so many characters."""
-        return np.concatenate([self.encode_batch([part])[0] for part in _cut(text, piece)])
-
-    def encode_batch(self, texts: list[str], piece: int = 1_000_000) -> list[np.ndarray]:
-        """The ids of each text; the new words of all short ones are encoded at once."""
-        if len(texts) > 1 and any(len(t) > piece for t in texts):
-            return [self.encode(t, piece) for t in texts]
-        words = [self.split(t) for t in texts]
-        self._learn([w for ws in words for w in ws])
-        return [self._gather(np.fromiter(map(self._known.__getitem__, ws), np.int64, len(ws))) for ws in words]
-
-    def _gather(self, known: np.ndarray) -> np.ndarray:
-        ends = self._ends[known]
-        counts = ends - np.where(known > 0, self._ends[known - 1], 0)
-        total = np.cumsum(counts)
-        return self._ids[np.arange(total[-1] if len(total) else 0) + np.repeat(ends - total, counts)]
+        return np.concatenate([self.encode_rows(strings(pa.array([part])))[0] for part in _cut(text, piece)])
 
-    def decode(self, ids: list[int]) -> str:
-        """The pieces as the vocabulary spells them, joined by one space, as this kind of
-        file has no decoder; an id that it doesn't have has no piece.
+    def encode_rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind another, and where each text's end. No word,
+        special string or composed character crosses white space, so equal chunks
+        between white space have equal ids, wherever they stand.
         """
-        return " ".join([s for i in ids if (s := self.names.get(i)) is not None])
+        words = Words(texts)
+        codes, chunks = words.distinct()
+        places = self._chunks(chunks)[codes]  # before ids are looked up, as it may forget
+        ids, ends = self._chunks_known.ids_of(places)
+        return ids, np.concatenate([[0], ends])[words.first[1:]]
 
 
 def _cut(text: str, size: int):
@@ -316,6 +398,28 @@ def _cut(text: str, size: int):
     yield text[at:]
 
 
+class WordDecoder:
+    """The pieces of a vocabulary file, with its special strings."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        names = {i: s for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self._names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        self._there = np.array([i in names for i in range(max(names) + 1)])
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The texts of ids that stand one behind another: pieces as the vocabulary spells
+        them, joined by one space, as this kind of file has no decoder. An id that it
+        doesn't have has no piece.
+        """
+        there = (ids >= 0) & (ids < len(self._there))
+        there[there] = self._there[ids[there]]
+        ends = np.concatenate([[0], np.cumsum(there)])[np.concatenate([[0], ends])]
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), self._names.take(pa.array(ids[there])))
+        return pc.binary_join(lists, " ")
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -341,10 +445,12 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         machine = encoder(path)
         for part, texts in blocks(batches, "text"):
-            all_texts = texts.to_pylist()
-            found = machine.encode_batch(all_texts) if len(all_texts) > 1 else [machine.encode(all_texts[0])]
-            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
+            if len(texts) == 1:  # it may be a long one
+                ids = machine.encode(texts[0].as_py())
+                ends = np.array([len(ids)])
+            else:
+                ids, ends = machine.encode_rows(texts)
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns, ids], names=[*part.schema.names, "ids"])
 
     return docs.mapInArrow(run, extended(docs, "ids array<int>"))
@@ -360,13 +466,14 @@ def decode_ids(docs: DataFrame, path: str) -> DataFrame:
     docs = docs.drop("decoded")
 
     def run(batches):
-        machine = encoder(path)
+        machine = WordDecoder(path)
         for batch in batches:
             at = batch.schema.get_field_index("ids")
-            step = max(1, 100_000 * batch.num_rows // max(1, len(batch.column(at).flatten())))
+            step = max(1, 1_000_000 * batch.num_rows // max(1, len(batch.column(at).flatten())))
             for i in range(0, batch.num_rows, step):
                 part = batch.slice(i, step)
-                texts = pa.array([machine.decode(x or []) for x in part.column(at).to_pylist()], pa.string())
+                flat, sizes = part.column(at).flatten().fill_null(-1), pc.list_value_length(part.column(at)).fill_null(0)
+                texts = machine.decode(flat.to_numpy(zero_copy_only=False), np.cumsum(sizes.to_numpy(zero_copy_only=False)))
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return docs.mapInArrow(run, extended(docs, "decoded string"))

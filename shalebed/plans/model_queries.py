@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import versions
 from ..functions.byte_stats import byte_features
 from ..functions.storage import checkpointed
-from ..operators import groups, metrics, models
+from ..operators import extra_trees, groups, importance, metrics, models
 from ..sources.tables import table
 from ..streaming.scan import run_scan
 from .detector_queries import counts_sql
@@ -88,6 +88,22 @@ def q_out_of_fold_metrics(spark, sf):
     return metrics.macro_metrics(metrics.confusion(both, ["arm", "repeat"], "y_true", "y_pred", ["0", "1"]), ["arm", "repeat"], ["0", "1"])
 
 
+def _run_of_trees(spark, sf):
+    """The reported run: 500 trees for each of three grouped folds, with its model and folds."""
+    d = checkpointed(_labelled(spark, sf))
+    folds = checkpointed(groups.grouped_folds(d, "doc_id", "group", "y", 3, seed=1))
+    return d, folds, *extra_trees.out_of_fold_trees(d, folds, "doc_id", FEATURES, "y", ["0", "1"])
+
+
+def q_extra_trees(spark, sf):
+    return _run_of_trees(spark, sf)[3]
+
+
+def q_permutation_importance(spark, sf):
+    d, folds, model, told = _run_of_trees(spark, sf)
+    return importance.permutation_importance(model, checkpointed(told), d, folds, "doc_id", FEATURES, "y", ["0", "1"])
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 SQL = {

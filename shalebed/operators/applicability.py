@@ -1,8 +1,8 @@
 """Whether a vulnerability applies to a version, in three-valued logic.
 
-A configuration tree is JSON; its schema nests nodes as deep as the data do, and
-the verdict of a node is a Column expression built by the same recursion, so the
-evaluation is native. Nothing below a depth is left out silently. Verdicts are nullable booleans: null is undecided.
+A configuration tree is JSON of any depth. Its nodes become rows, a level at a time; what
+a node states itself is a Column expression, and verdicts go up in grouped aggregates.
+Verdicts are nullable booleans: null is undecided.
 """
 
 from __future__ import annotations
@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.logic import any_of, combine, let, unknown
+from ..functions.logic import let, unknown
+from ..functions.storage import checkpointed
 from ..functions.versions import canonical, canonical_product, parse_version, product_of, version_in_range, versions_equal
 
 # Fixed values.
@@ -22,45 +23,50 @@ FOUND, NOT_FOUND = "cve_encontrada", "nao_encontrado"
 
 _MATCH = "struct<vulnerable: boolean, criteria: string, " + ", ".join(f"{b}: string" for b in BOUNDS) + ">"
 
+# What is below a node is read as text, a level at a time.
+_NODE = f"struct<operator: string, negate: boolean, cpeMatch: array<{_MATCH}>, children: array<string>>"
+_CONFIGURATIONS = "array<struct<operator: string, nodes: array<string>>>"
 
-def node_schema(depth: int) -> str:
-    below = f", children: array<{node_schema(depth - 1)}>" if depth else ""
-    return f"struct<operator: string, negate: boolean, cpeMatch: array<{_MATCH}>{below}>"
 
+def nodes_by_level(trees: DataFrame, keep: list[str]) -> list[DataFrame]:
+    """The nodes of the trees of trees (__row, configurations, an array of _CONFIGURATIONS,
+    and the columns keep), a table for each level: keep, __row, config, node (its places
+    from the root, joined by dots), parent, operator, negate, unrelated, cpeMatch.
 
-def configurations_schema(depth: int) -> str:
-    return f"array<struct<operator: string, nodes: array<{node_schema(depth)}>>>"
-
-
-def levels(text: Column) -> Column:
-    """How many levels of child nodes the trees of a JSON text may have: none
-    without a key "children", else half of its deepest nesting of brackets, less
-    the list of trees, the tree, its list of nodes and the node.
+    unrelated: whether a node from here up to the configuration joins by AND. A level is
+    read from the text that the one above left, so trees may be of any depth; there are
+    as many rounds as levels.
     """
-    bare = F.regexp_replace(text, r'"(?:[^"\\\\]|\\\\.)*+"', "")
-    steps = F.filter(F.split(F.regexp_replace(F.translate(F.translate(bare, "{", "["), "}", "]"), r"[^\[\]]", ""), ""), lambda c: c != "")
-    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
-
-    def step(at: Column, bracket: Column) -> Column:
-        now = at["open"] + F.when(bracket == "[", 1).otherwise(-1)
-        return F.struct(now.alias("open"), F.greatest(at["most"], now).alias("most"))
-
-    nested = F.greatest(F.ceil((F.coalesce(F.aggregate(steps, start, step)["most"], F.lit(0)) - 4) / 2), F.lit(0)).cast("int")
-    return F.when(text.contains('"children"'), nested).otherwise(F.lit(0))
+    operator = F.coalesce("c.operator", F.lit("OR"))
+    config = trees.select("__row", *keep, F.posexplode("configurations").alias("config", "c"))
+    below = config.select("__row", *keep, "config", F.lit("").alias("parent"), (operator == "AND").alias("above"), F.posexplode("c.nodes").alias("place", "text"))
+    levels = []
+    while True:
+        read = below.withColumn("n", F.from_json("text", _NODE)).withColumn("operator", F.coalesce("n.operator", F.lit("OR")))
+        level = checkpointed(
+            read.select(
+                "__row", *keep, "config", F.concat_ws(".", F.nullif("parent", F.lit("")), "place").alias("node"), "parent", "operator", F.coalesce("n.negate", F.lit(False)).alias("negate"),
+                (F.col("above") | (F.col("operator") == "AND")).alias("unrelated"), F.col("n.cpeMatch").alias("cpeMatch"), F.col("n.children").alias("children"),
+            )
+        )
+        levels.append(level.drop("children"))
+        some = level.where(F.size("children") > 0)
+        if some.isEmpty():
+            return levels
+        below = some.select("__row", *keep, "config", F.col("node").alias("parent"), F.col("unrelated").alias("above"), F.posexplode("children").alias("place", "text"))
 
 
-def depth_of(df: DataFrame, column: str = "configurations", most: int = 24) -> int:
-    """The levels of child nodes in a column of trees; more than most are an error."""
-    found = df.agg(F.max(levels(F.col(column)))).first()[0] or 0
-    if found > most:
-        raise ValueError(f"a tree of {column} has {found} levels of child nodes, more than {most}")
-    return found
+def _seen(verdict: Column) -> list[Column]:
+    """Aggregates that say which of the three verdicts occur; all that three-valued logic needs."""
+    return [F.bool_or(F.coalesce(verdict, F.lit(False))).alias("yes"), F.bool_or(F.coalesce(~verdict, F.lit(False))).alias("no"), F.bool_or(verdict.isNull()).alias("unsure")]
 
 
-def parse_configurations(text: Column, depth: int) -> Column:
-    """The trees of a JSON text. One of more levels() is an error."""
-    deep = F.raise_error(F.concat(F.lit(f"a tree has more than {depth} levels of child nodes: "), F.left(text, F.lit(200))))
-    return F.when(levels(text) > depth, deep).otherwise(F.from_json(text, configurations_schema(depth)))
+def _verdict(operator: Column) -> Column:
+    """The verdict of columns yes, no and unsure (null where nothing is given)."""
+    yes, no, unsure = (F.coalesce(F.col(c), F.lit(False)) for c in ("yes", "no", "unsure"))
+    every = F.when(no, F.lit(False)).when(yes & ~unsure, F.lit(True))
+    some = F.when(yes, F.lit(True)).when(no & ~unsure, F.lit(False))
+    return F.when(operator == "AND", every).otherwise(some)
 
 
 def target_of(cpe_name: Column, vendor: Column, model: Column) -> Column:
@@ -179,61 +185,6 @@ class Firmware:
 
         return let(product_of(match["criteria"]), told)
 
-    def node(self, node: Column, unrelated_unknown: Column, depth: int) -> Column:
-        def results(operator: Column) -> Column:
-            unrelated = unrelated_unknown | (operator == "AND")
-            empty = F.array().cast("array<boolean>")
-            own = F.coalesce(F.transform(node["cpeMatch"], lambda m: self.match(m, unrelated)), empty)
-            if depth:
-                below = F.transform(node["children"], lambda c: self.node(c, unrelated, depth - 1))
-                own = F.concat(own, F.coalesce(below, empty))
-            return combine(own, operator)
-
-        verdict = let(F.coalesce(node["operator"], F.lit("OR")), results)
-        return let(verdict, lambda v: F.when(F.coalesce(node["negate"], F.lit(False)), ~v).otherwise(v))
-
-    def configuration(self, config: Column, depth: int) -> Column:
-        def results(operator: Column) -> Column:
-            nodes = F.transform(config["nodes"], lambda n: self.node(n, operator == "AND", depth))
-            return combine(F.coalesce(nodes, F.array().cast("array<boolean>")), operator)
-
-        return let(F.coalesce(config["operator"], F.lit("OR")), results)
-
-    def is_other(self, config: Column, depth: int) -> Column:
-        """Whether every product a configuration names is readable and none is the target."""
-
-        def named(node: Column, depth: int) -> Column:
-            empty = F.array().cast("array<string>")
-            own = F.coalesce(F.transform(node["cpeMatch"], lambda m: m["criteria"]), empty)
-            if depth:
-                own = F.concat(own, F.coalesce(F.flatten(F.transform(node["children"], lambda c: named(c, depth - 1))), empty))
-            return own
-
-        def foreign(every: Column) -> Column:
-            other = F.forall(every, lambda c: let(product_of(c), lambda p: p.isNotNull() & ~F.coalesce(self.is_target(p), F.lit(False))))
-            return F.coalesce(self.target.isNotNull() & (F.size(every) > 0) & other, F.lit(False))
-
-        return let(F.filter(F.flatten(F.transform(config["nodes"], lambda n: named(n, depth))), lambda c: c.isNotNull()), foreign)
-
-    def applies(self, configurations: Column, depth: int) -> Column:
-        """The verdict of a vulnerability by its parsed configurations. Without a
-        readable version none applies: undecided, or false if only others are named.
-        """
-
-        def own_verdict(own: Column) -> Column:
-            return (
-                F.when(F.size(own) == 0, F.lit(False))
-                .when(self.version.isNull(), unknown())
-                .otherwise(let(F.transform(own, lambda c: self.configuration(c, depth)), any_of))
-            )
-
-        none = configurations.isNull() | (F.size(configurations) == 0)
-        return F.when(none, unknown()).otherwise(let(F.filter(configurations, lambda c: ~self.is_other(c, depth)), own_verdict))
-
-    def only_others(self, configurations: Column, depth: int) -> Column:
-        some = configurations.isNotNull() & (F.size(configurations) > 0)
-        return F.coalesce(some & F.forall(configurations, lambda c: self.is_other(c, depth)), F.lit(False))
-
 
 def effective_state(state: Column, candidates: Column, only_others: Column) -> Column:
     """A keyword hit without product candidates that names only other products wasn't found.
@@ -245,20 +196,61 @@ def effective_state(state: Column, candidates: Column, only_others: Column) -> C
     return F.when((state == FOUND) & none & all_others, F.lit(NOT_FOUND)).otherwise(state)
 
 
-def judge(df: DataFrame, depth: int | None = None) -> DataFrame:
+def judge(df: DataFrame) -> DataFrame:
     """df (version, target, configurations as JSON) with verdict and only_others
-    instead of the configurations. depth: the most levels() of a tree; those of the
-    data, which takes a pass over the trees, if it isn't told.
-    """
-    depth = depth_of(df) if depth is None else depth
-    df, firmware = Firmware.of(df.withColumn("__tree", parse_configurations(F.col("configurations"), depth)), "version", "target")
-    told = df.withColumns({"verdict": firmware.applies(F.col("__tree"), depth), "only_others": firmware.only_others(F.col("__tree"), depth)})
-    return told.drop("__tree", "__raw", "__version", "configurations")
+    instead of the configurations.
 
-
-def verdicts(aliases: DataFrame, cves: DataFrame, on: list[str], depth: int | None = None) -> DataFrame:
+    Trees become rows, a node each, and verdicts are folded level by level from the
+    leaves by grouped aggregates, so their depth has no limit. Text that is no JSON counts
+    as no configurations: undecided. Configurations that name other products only are
+    left out; if all are, the verdict is false. Without a readable version none applies:
+    undecided. Repeated rows are judged one by one.
+    """
+    rows, firmware = Firmware.of(df, "version", "target")
+    rows = checkpointed(rows.withColumn("configurations", F.from_json("configurations", _CONFIGURATIONS)).withColumn("__row", F.monotonically_increasing_id()))
+    own = ["__raw", "__version", "target"]
+    levels = nodes_by_level(rows.select("__row", *own, "configurations"), own)
+    node = ["__row", "config", "node"]
+
+    # All matches of all levels are judged in one pass.
+    matches = None
+    for depth, level in enumerate(levels):
+        one = level.select(*node, *own, F.lit(depth).alias("level"), "unrelated", F.explode("cpeMatch").alias("m"))
+        matches = one if matches is None else matches.unionByName(one)
+    # Stored, so that the rules aren't planned once more for each level.
+    matches = checkpointed(matches).withColumn("p", product_of(F.col("m.criteria")))
+    other = F.col("target").isNotNull() & F.col("p").isNotNull() & ~F.coalesce(firmware.is_target(F.col("p")), F.lit(False))
+    judged = checkpointed(
+        matches.select(*node, "level", firmware.match(F.col("m"), F.col("unrelated")).alias("verdict"), F.when(F.col("m.criteria").isNotNull(), other).alias("other"))
+        .groupBy(*node, "level").agg(*_seen(F.col("verdict")), F.bool_and("other").alias("other"))
+    )
+
+    below = None
+    for depth in range(len(levels) - 1, -1, -1):
+        seen = judged.where(F.col("level") == depth).select(*node, "yes", "no", "unsure")
+        if below is not None:
+            seen = seen.unionByName(below).groupBy(*node).agg(*[F.bool_or(c).alias(c) for c in ("yes", "no", "unsure")])
+        told = levels[depth].select(*node, "parent", "operator", "negate").join(seen, node, "left").withColumn("v", _verdict(F.col("operator")))
+        told = told.withColumn("v", F.when(F.col("negate"), ~F.col("v")).otherwise(F.col("v")))
+        below = told.groupBy("__row", "config", F.col("parent").alias("node")).agg(*_seen(F.col("v")))
+        if depth:
+            below = checkpointed(below)
+
+    others = judged.groupBy("__row", "config").agg(F.bool_and("other").alias("other"))
+    config = rows.select("__row", F.posexplode("configurations").alias("config", "c")).select("__row", "config", F.coalesce("c.operator", F.lit("OR")).alias("operator"))
+    config = config.join(below.drop("node"), ["__row", "config"], "left").join(others, ["__row", "config"], "left")
+    config = config.select("__row", _verdict(F.col("operator")).alias("v"), F.coalesce("other", F.lit(False)).alias("other"))
+    mine = [F.bool_or(F.col(c) & ~F.col("other")).alias(c) for c in ("yes", "no", "unsure")]
+    flags = config.select("__row", "other", F.coalesce("v", F.lit(False)).alias("yes"), F.coalesce(~F.col("v"), F.lit(False)).alias("no"), F.col("v").isNull().alias("unsure"))
+    trees = flags.groupBy("__row").agg(F.bool_and("other").alias("only_others"), *mine)
+    verdict = F.when(F.col("only_others"), F.lit(False)).when(F.col("__version").isNotNull(), _verdict(F.lit("OR")))
+    out = rows.drop("configurations").join(trees, "__row", "left")
+    return out.withColumns({"verdict": verdict, "only_others": F.coalesce("only_others", F.lit(False))}).drop("__row", "__raw", "__version", "yes", "no", "unsure")
+
+
+def verdicts(aliases: DataFrame, cves: DataFrame, on: list[str]) -> DataFrame:
     """Each alias with each vulnerability of its entry, judged.
 
     aliases: on, version, target; cves: on, cve_id, configurations.
     """
-    return judge(aliases.join(cves, on), depth_of(cves) if depth is None else depth)
+    return judge(aliases.join(cves, on))

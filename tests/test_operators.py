@@ -77,14 +77,67 @@ def test_deep_trees(spark):
     cases = [(f"{n}{kind}", tree(chain(n, kind == "t" and true or false)), kind == "t") for n in range(9) for kind in "tf"] + [("empty", tree(empty), None)]
     rows = spark.createDataFrame([(i, "1.2", t) for i, t, _ in cases], "i string, version string, configurations string")
     target = A.target_of(F.lit(None).cast("string"), F.lit("Acme"), F.lit("M1 Firmware"))
-    rows = rows.withColumn("target", target)
-    assert {r.i: r.verdict for r in A.judge(rows).collect()} == {i: e for i, _, e in cases}
-    quoted = spark.createDataFrame([('[{"nodes":[{"cpeMatch":[{"criteria":"a[[[[\\\\"{{{{ b"}]}]}]',)], "configurations string")
-    assert A.depth_of(quoted) == 0 and A.depth_of(rows.where("false")) == 0
-    with pytest.raises(Exception, match="more than 3 levels"):
-        A.judge(rows, depth=3).collect()
-    with pytest.raises(ValueError, match="more than 4"):
-        A.depth_of(rows, most=4)
+    assert {r.i: r.verdict for r in A.judge(rows.withColumn("target", target)).collect()} == {i: e for i, _, e in cases}
+
+
+def judged_by_hand(tree, verdict_of, other_of):
+    """Recursion over a parsed tree; verdict_of(match, unrelated) judges a match."""
+    def combined(results, operator):
+        first = operator != "AND"  # the verdict that decides alone
+        if first in results:
+            return first
+        return None if None in results or not results else not first
+
+    def judged(n, unrelated):
+        operator = n.get("operator", "OR")
+        unrelated = unrelated or operator == "AND"
+        v = combined([verdict_of(m, unrelated) for m in n.get("cpeMatch", [])] + [judged(c, unrelated) for c in n.get("children", [])], operator)
+        return v if v is None or not n.get("negate") else not v
+
+    def named(n):
+        return [m["criteria"] for m in n.get("cpeMatch", [])] + [x for c in n.get("children", []) for x in named(c)]
+
+    own, others = [], 0
+    for config in tree:
+        names = [x for n in config["nodes"] for x in named(n)]
+        if names and all(map(other_of, names)):
+            others += 1
+            continue
+        operator = config.get("operator", "OR")
+        own.append(combined([judged(n, operator == "AND") for n in config["nodes"]], operator))
+    if not tree:
+        return None, False
+    return (combined(own, "OR") if own else False), others == len(tree)
+
+
+def test_random_trees(spark):
+    """Trees of any shape against recursion; 40 levels are no limit."""
+    rng = random.Random(4)
+    yes, no, unsure = SOFTWARE % ("1.2", "*"), SOFTWARE % ("9", "*"), SOFTWARE % ("-", "*")
+
+    def grown(depth):
+        n = node(*[match(rng.choice([yes, no, unsure, OTHER])) for _ in range(rng.randrange(3))])
+        if rng.random() < 0.5:
+            n["operator"] = rng.choice(["AND", "OR"])
+        if rng.random() < 0.3:
+            n["negate"] = True
+        if depth and rng.random() < 0.7:
+            n["children"] = [grown(depth - 1) for _ in range(rng.randrange(1, 4))]
+        return n
+
+    trees = [json.loads(tree(*[grown(3) for _ in range(rng.randrange(1, 3))], operator=rng.choice([None, "AND"]))) for _ in range(150)]
+    trees += [a + b for a, b in zip(trees[:40], trees[40:80], strict=True)] + [[]]
+    long = node(match(no))
+    for k in range(40):
+        long = node(match(yes), operator=rng.choice(["AND", "OR"]), negate=k % 3 == 0, children=[long])
+    trees += [[{"nodes": [long]}]]
+    facts = {yes: True, no: False, unsure: None}
+    verdict_of = lambda m, unrelated: (None if unrelated else False) if m["criteria"] == OTHER else facts[m["criteria"]]
+    rows = spark.createDataFrame([(i, "1.2", json.dumps(t)) for i, t in enumerate(trees)] + [(-1, "1.2", "{broken"), (-2, "1.2", None)], "i int, version string, configurations string")
+    target = A.target_of(F.lit(None).cast("string"), F.lit("Acme"), F.lit("M1 Firmware"))
+    found = {r.i: (r.verdict, r.only_others) for r in A.judge(rows.repartition(3).withColumn("target", target)).collect()}
+    assert found == {i: judged_by_hand(t, verdict_of, lambda c: c == OTHER) for i, t in enumerate(trees)} | {-1: (None, False), -2: (None, False)}
+    assert len(set(found.values())) >= 4
 
 
 def test_netgear_package(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import joined, quantiles
+
 
 def _unpivot(df: DataFrame, keys: list[str], columns: list[str], kind: str) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(x).alias("column"), F.col(x).cast(kind).alias("value")) for x in columns])
@@ -29,16 +31,18 @@ def prevalence(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 
 def coverage(df: DataFrame, keys: list[str], within: str, columns: list[str], small: int = 5) -> DataFrame:
     """(keys, within, column, n, missing, q1, median, q3, mean, is_small) for each
-    group of keys, in all ("*") and in each value of within. Quartiles are exact.
+    group of keys, in all ("*") and in each value of within. Quartiles are exact,
+    and no group is in one task.
     """
     long = _unpivot(df, [*keys, within], columns, "double")
-    out = long.groupingSets([["column", *keys], ["column", *keys, within]], "column", *keys, within).agg(
-        F.grouping(within).alias("all"),
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("value").isNull()).alias("missing"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-        F.avg("value").alias("mean"),
+    by, fine = ["column", *keys], ["column", *keys, within]
+    told = long.groupingSets([by, fine], *fine).agg(
+        F.grouping(within).alias("all"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("missing"), F.avg("value").alias("mean")
     )
+    counts = long.groupBy(*fine, "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.groupingSets([[*by, "value"], [*fine, "value"]], *fine, "value").agg(F.grouping(within).alias("all"), F.sum("n").alias("n"))
+    q = quantiles(counts, [*fine, "all"], "value", "n", [0.25, 0.5, 0.75])
+    out = joined(told, q, [*fine, "all"], "left")
     return out.select(
         *keys,
         F.when(F.col("all") == 1, F.lit("*")).otherwise(F.col(within)).alias(within),

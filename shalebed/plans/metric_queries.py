@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors, groups, metrics, sampling, score
+from ..operators import detectors, groups, metrics, quantiles, sampling, score
 from ..sources.tables import table
 from .detector_queries import _COMPOSED_SQL, composed
 
@@ -46,11 +46,11 @@ def q_weighted_f1(spark, sf):
 
 
 def q_bootstrap(spark, sf):
-    """60 resamples of the sources whose draws are arithmetic, so that SQL draws them too."""
+    """2,000 resamples of the sources whose draws are arithmetic, so that SQL draws them too."""
     p = _predictions(spark, sf)
     names = p.select("source").distinct()
     rank = names.select("source", (F.regexp_extract("source", r"(\d+)", 1).cast("long") % 20).alias("rank"))
-    draws = spark.range(60 * 20).select(
+    draws = spark.range(2000 * 20).select(
         F.floor(F.col("id") / 20).alias("resample"), ((F.floor(F.col("id") / 20) * 7919 + (F.col("id") % 20) * 104729 + F.floor(F.col("id") / 20) * (F.col("id") % 20) * 31) % 20).alias("rank")
     )
     resamples = draws.join(rank, "rank").groupBy("resample", "source").agg(F.count(F.lit(1)).alias("k"))
@@ -64,6 +64,13 @@ def q_bootstrap_drawn(spark, sf):
     return metrics.paired_bootstrap(p, metrics.draw_resamples(p, "source", 2000), "source", "y", "a", "b", CLASSES)
 
 
+def q_quantiles(spark, sf):
+    """Quartiles and the ends of the middle 95 of 100 of prices, for three groups that hold a third of the rows each."""
+    li = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_extendedprice").cast("double").alias("price"), F.lit(1).alias("n"))
+    q = quantiles.quantiles(li, ["l_returnflag"], "price", "n", [0.025, 0.25, 0.5, 0.75, 0.975])
+    return q.select("l_returnflag", *[F.round(F.get("q", i), 4).alias(n) for i, n in enumerate(["low", "q1", "median", "q3", "high"])])
+
+
 def q_majority(spark, sf):
     return metrics.majority_class(_predictions(spark, sf), ["lang"], "y", ["1", "0"])
 
@@ -212,6 +219,9 @@ _COMPONENTS = "e AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS model FROM l
 )
 
 SQL = {
+    "q_quantiles": "SELECT l_returnflag, "
+    + ", ".join(f"round(quantile_cont(l_extendedprice::DOUBLE, {p}), 4) AS {n}" for p, n in ((0.025, "low"), (0.25, "q1"), (0.5, "median"), (0.75, "q3"), (0.975, "high")))
+    + " FROM lineitem GROUP BY l_returnflag",
     "q_confusion": f"WITH {_P} {_CLASS_SQL}",
     "q_macro_f1": f"""WITH {_P} SELECT lang, count(*) AS n, round(avg((y = a)::INT), 6) AS accuracy, round({_macro('a')}, 6) AS macro_f1,
   round(list_avg(list_filter([count(*) FILTER (y = '0' AND a = '0') / nullif(count(*) FILTER (y = '0'), 0), count(*) FILTER (y = '1' AND a = '1') / nullif(count(*) FILTER (y = '1'), 0)], lambda v: v IS NOT NULL)), 6) AS balanced_accuracy
@@ -219,7 +229,7 @@ FROM p GROUP BY lang""",
     "q_weighted_f1": f"""WITH {_P}, w AS (SELECT *, 1.0::DOUBLE AS w_all, CASE WHEN source = 'src0' THEN 0.0 ELSE 1.0 END::DOUBLE AS w_without, (1.0 / count(*) OVER (PARTITION BY source))::DOUBLE AS w_group FROM p)
 """
     + " UNION ALL ".join(f"SELECT lang, '{w}' AS scenario, round({_macro('b', w)}, 6) AS macro_f1 FROM w GROUP BY lang" for w in ("w_all", "w_without", "w_group")),
-    "q_bootstrap": f"""WITH {_P}, d AS (SELECT i // 20 AS resample, ((i // 20) * 7919 + (i % 20) * 104729 + (i // 20) * (i % 20) * 31) % 20 AS rank FROM range(1200) t(i)),
+    "q_bootstrap": f"""WITH {_P}, d AS (SELECT i // 20 AS resample, ((i // 20) * 7919 + (i % 20) * 104729 + (i // 20) * (i % 20) * 31) % 20 AS rank FROM range(40000) t(i)),
 s AS (SELECT resample, source, count(*) AS k FROM d JOIN (SELECT DISTINCT source FROM p) n ON regexp_extract(source, '(\\d+)', 1)::BIGINT % 20 = rank GROUP BY ALL),
 r AS (SELECT resample, {_macro('a', 'k')} AS fa, {_macro('b', 'k')} AS fb FROM p JOIN s USING (source) GROUP BY resample),
 q AS (SELECT quantile_cont(fa, [0.025, 0.975]) AS qa, quantile_cont(fb, [0.025, 0.975]) AS qb, quantile_cont(fa - fb, [0.025, 0.975]) AS qd FROM r),

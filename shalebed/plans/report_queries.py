@@ -8,7 +8,7 @@ from ..operators import checks, metrics, report
 from ..sources.tables import table
 from .metric_queries import CLASSES, _macro, _P, _predictions
 
-N = 40
+N = 2000
 
 
 def _arms(spark, sf):

@@ -7,7 +7,6 @@ import struct
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 # Fixed values of the format.
 EXEC, DYN = 2, 3
@@ -96,13 +95,16 @@ def filesystem_features(inventory: DataFrame, key: str = "firmware_id") -> DataF
 
     Shares have their own denominators (executables and libraries, executables,
     those not static), and are null without one. fs_arch: the most frequent
-    machine, the least of equals.
+    machine, the least of equals. fs_status is ok, or erro where a file of the image
+    couldn't be read (null content): then all features are null, and fs_error names the
+    first such file.
+
+    Files are read where they are; only what was read of them is shuffled.
     """
     files = inventory.where(under_root(F.col("path")))
     elves = files.where(F.substring("content", 1, 4) == F.lit(b"\x7fELF"))
-    first = Window.partitionBy(key, F.octet_length("content"), F.sha2("content", 256)).orderBy("path")
-    unique = elves.withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    info = unique.select(key, elf_info(F.col("content")).alias("i")).select(key, "i.*")
+    read = elves.select(key, F.octet_length("content").alias("__size"), F.sha2("content", 256).alias("__sha"), elf_info(F.col("content")).alias("i"))
+    info = read.groupBy(key, "__size", "__sha").agg(F.first("i").alias("i")).select(key, "i.*")
     eligible, run = F.col("kind").isin("exec", "lib"), F.col("kind") == "exec"
     share = lambda hit, base: F.try_divide(F.count_if(hit & base).cast("double"), F.count_if(base).cast("double"))
     summed = info.groupBy(key).agg(
@@ -118,9 +120,13 @@ def filesystem_features(inventory: DataFrame, key: str = "firmware_id") -> DataF
         F.count("malformed").alias("fs_elf_malformed"),
         F.mode("machine", True).alias("fs_arch"),
     )
-    counted = files.groupBy(key).agg(F.count(F.lit(1)).alias("unpacked_n_files"))
+    unread = F.min(F.when(F.col("content").isNull(), F.col("path")))
+    counted = files.groupBy(key).agg(F.count(F.lit(1)).alias("unpacked_n_files"), unread.alias("fs_error"))
     counts = ["unpacked_n_elf", "unpacked_n_elf_exec", "unpacked_n_elf_lib", "unpacked_n_elf_static", "fs_elf_malformed"]
-    return counted.join(summed, key, "left").fillna(0, counts)
+    out = counted.join(summed, key, "left").fillna(0, counts)
+    features = [c for c in out.columns if c not in (key, "fs_error")]
+    told = out.withColumns({c: F.when(F.col("fs_error").isNull(), F.col(c)) for c in features})
+    return told.withColumn("fs_status", F.when(F.col("fs_error").isNull(), "ok").otherwise("erro"))
 
 
 def inventory_summary(inventory: DataFrame, key: str = "firmware_id") -> DataFrame:

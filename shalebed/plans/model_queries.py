@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import uuid
 
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import versions
 from ..functions.byte_stats import byte_features
 from ..functions.storage import checkpointed
-from ..operators import extra_trees, groups, importance, metrics, models
+from ..operators import elf, extra_trees, groups, importance, metrics, models
 from ..sources.tables import table
 from ..streaming.scan import run_scan
 from .detector_queries import counts_sql
@@ -54,6 +55,32 @@ def q_stream_counts(spark, sf):
     return run_scan(spark, source.withColumn("key", F.col("doc_id").cast("string")), "key", f"{folder}/out", f"{folder}/state")
 
 
+def _elf(kind: int, machine: int) -> bytes:
+    """A header of a 32-bit little-endian ELF file without segments."""
+    return b"\x7fELF\x01\x01\x01" + b"\0" * 9 + struct.pack("<HHIIIIIHHHHHH", kind, machine, 1, 0, 52, 0, 0, 52, 32, 0, 40, 0, 0)
+
+
+def q_filesystem_features(spark, sf):
+    """Images by size of part: programs, one library many times, broken headers, texts, and in
+    some a file that can't be read.
+    """
+    k = F.col("p_partkey")
+    tail = F.encode(k.cast("string"), "UTF-8")
+    content = (
+        F.when((F.col("p_size") % 7 == 0) & (k % 11 == 0), F.lit(None).cast("binary"))
+        .when(k % 4 == 0, F.concat(F.when(k % 3 == 0, F.lit(_elf(2, 8))).otherwise(F.lit(_elf(2, 40))), tail))
+        .when(k % 4 == 1, F.lit(_elf(3, 40)))
+        .when(k % 4 == 2, F.concat(F.lit(b"\x7fELF\x01\x01"), tail))
+        .otherwise(tail)
+    )
+    path = F.concat(F.when(k % 5 == 0, "other/bin/f").otherwise("squashfs-root/bin/f"), k)
+    told = elf.filesystem_features(table(spark, sf, "part").select(F.col("p_size").alias("firmware_id"), path.alias("path"), content.alias("content")))
+    return told.select(
+        "firmware_id", "fs_status", "fs_error", "unpacked_n_files", "unpacked_n_elf", "unpacked_n_elf_exec", "unpacked_n_elf_lib", "unpacked_n_elf_static", "fs_elf_malformed",
+        F.col("fs_arch").cast("long").alias("fs_arch"), F.round("unpacked_prop_nx", 6).alias("prop_nx"), F.round("unpacked_prop_pie", 6).alias("prop_pie"),
+    )
+
+
 def _labelled(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", F.concat_ws("/", "source", F.col("doc_id") % 5).alias("group"), F.col("quality").cast("string").alias("y")
@@ -107,6 +134,18 @@ def q_permutation_importance(spark, sf):
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
 
 SQL = {
+    "q_filesystem_features": """
+WITH f AS (SELECT p_size AS firmware_id, p_partkey AS k, (p_size % 7 = 0 AND p_partkey % 11 = 0) AS unread FROM part WHERE p_partkey % 5 <> 0),
+e AS (SELECT DISTINCT firmware_id, CASE k % 4 WHEN 0 THEN 'exec' WHEN 1 THEN 'lib' ELSE 'bad' END AS kind, CASE WHEN k % 4 <> 1 THEN k END AS content,
+        CASE WHEN k % 4 = 0 AND k % 3 = 0 THEN 8 WHEN k % 4 < 2 THEN 40 END AS machine FROM f WHERE k % 4 < 3 AND NOT unread),
+m AS (SELECT firmware_id, machine FROM e WHERE machine IS NOT NULL GROUP BY firmware_id, machine QUALIFY row_number() OVER (PARTITION BY firmware_id ORDER BY count(*) DESC, machine) = 1),
+s AS (SELECT firmware_id, count(*) AS n, count(*) FILTER (kind = 'exec') AS x, count(*) FILTER (kind = 'lib') AS l, count(*) FILTER (kind = 'bad') AS b FROM e GROUP BY ALL),
+c AS (SELECT firmware_id, count(*) AS n, min(CASE WHEN unread THEN 'squashfs-root/bin/f' || k END) AS err FROM f GROUP BY ALL)
+SELECT firmware_id, CASE WHEN err IS NULL THEN 'ok' ELSE 'erro' END AS fs_status, err AS fs_error, CASE WHEN err IS NULL THEN c.n END AS unpacked_n_files,
+  CASE WHEN err IS NULL THEN coalesce(s.n, 0) END AS unpacked_n_elf, CASE WHEN err IS NULL THEN coalesce(x, 0) END AS unpacked_n_elf_exec, CASE WHEN err IS NULL THEN coalesce(l, 0) END AS unpacked_n_elf_lib,
+  CASE WHEN err IS NULL THEN coalesce(x + l, 0) END AS unpacked_n_elf_static, CASE WHEN err IS NULL THEN coalesce(b, 0) END AS fs_elf_malformed, CASE WHEN err IS NULL THEN machine::BIGINT END AS fs_arch,
+  CASE WHEN err IS NULL AND x + l > 0 THEN 0.0::DOUBLE END AS prop_nx, CASE WHEN err IS NULL AND x > 0 THEN 0.0::DOUBLE END AS prop_pie
+FROM c LEFT JOIN s USING (firmware_id) LEFT JOIN m USING (firmware_id)""",
     "q_model_of_file": " UNION ALL ".join(f"SELECT p_partkey, {n} AS name, {m} AS model FROM part" for _, n, m in FILES),
     "q_resolved_product": """
 WITH a AS (SELECT p_partkey, p_size, (p_size % 3 = 0)::INT AS x, (p_size % 5 = 0)::INT AS y, (p_size % 2 = 0)::INT AS h FROM part)

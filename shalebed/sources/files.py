@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.versions import cache_key
 
@@ -93,10 +94,36 @@ def with_cache_key(df: DataFrame, brand: str = "meta_brand", model: str = "meta_
     return df.withColumn("key", cache_key(F.col(brand), F.col(model)))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value): the lines of text files with their numbers, from 1.
+
+    Files are read in blocks as ever. The lines of a block are consecutive in its task, so
+    a line's number is its place there and the lines of the blocks before: a sum over a row
+    for each block. A line may end in \\n, \\r\\n or \\r; an empty one counts.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = blocks.select("file", "block", (F.coalesce(before, F.lit(0)) - F.col("first") + 1).alias("shift"))
+    return lines.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "value")
+
+
 def read_findings(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Findings with their line numbers, and the lines that aren't findings."""
-    raw = spark.read.schema(f"{FINDING}, bad string").option("columnNameOfCorruptRecord", "bad").json(path)
-    return raw.where("bad IS NULL AND detector IS NOT NULL").drop("bad"), raw.where("bad IS NOT NULL OR detector IS NULL").select("bad")
+    """Findings with the file and number of their lines, and the lines that aren't findings
+    (file, line_no, bad). An empty line is none.
+    """
+    read = F.from_json("value", f"{FINDING}, bad string", {"columnNameOfCorruptRecord": "bad"})
+    lines = numbered_lines(spark, path).withColumn("f", read)
+    right = F.col("f.detector").isNotNull() & F.col("f.bad").isNull()
+    return lines.where(right).select("file", "line_no", "f.*").drop("bad"), lines.where(~F.coalesce(right, F.lit(False))).select("file", "line_no", F.col("value").alias("bad"))
+
+
+def check_findings(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of path; an error that names the first line that is none."""
+    found, bad = read_findings(spark, path)
+    if first := bad.orderBy("file", "line_no").first():
+        raise ValueError(f"no finding in {first['file']}:{first['line_no']}")
+    return found
 
 
 def read_provenance(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

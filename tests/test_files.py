@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import struct
 
 import pytest
@@ -93,6 +94,38 @@ def test_findings_keep_order(spark, tmp_path):
     assert good.count() == 1 and [r.bad for r in bad.collect()] == ["broken"]
 
 
+def test_line_numbers(spark, tmp_path):
+    """Numbers are those of the file, in however many blocks it is read."""
+    rng = random.Random(2)
+    lines = [f"{i} " + "x" * rng.choice([0, 5, 300]) if i % 11 else "" for i in range(1, 4001)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_bytes("\n".join(lines).encode())
+    (tmp_path / "in" / "b.jsonl").write_bytes(("\r\n".join(lines[:500]) + "\r\n").encode())
+    (tmp_path / "in" / "c.jsonl").write_bytes(b"")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = files.numbered_lines(spark, str(tmp_path / "in"))
+        assert found.rdd.getNumPartitions() > 1
+        rows = found.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for name, expected in (("a", lines), ("b", lines[:500])):
+        assert {r.line_no: r.value for r in rows if r.file.endswith(f"{name}.jsonl")} == dict(enumerate(expected, 1))
+    assert len(rows) == 4500
+
+
+def test_bad_lines_are_named(spark, tmp_path):
+    good = '{"firmware_id":"a","detector":"d","line":7}'
+    (tmp_path / "f.jsonl").write_text("\n".join([good, good, "", '{"firmware_id":', good, '{"firmware_id":"a"}']))
+    found, bad = files.read_findings(spark, str(tmp_path / "f.jsonl"))
+    assert sorted((r.line_no, r.line) for r in found.collect()) == [(1, 7), (2, 7), (5, 7)]
+    assert sorted((r.line_no, r.bad) for r in bad.collect()) == [(3, ""), (4, '{"firmware_id":'), (6, '{"firmware_id":"a"}')]
+    with pytest.raises(ValueError, match="f.jsonl:3"):
+        files.check_findings(spark, str(tmp_path / "f.jsonl"))
+    (tmp_path / "g.jsonl").write_text(good + "\n")
+    assert files.check_findings(spark, str(tmp_path / "g.jsonl")).count() == 1
+
+
 def test_provenance(spark, tmp_path):
     (tmp_path / "p.jsonl").write_text('{"firmware_id":"a","in_table":true,"aliases":[{"meta_path":"x","vendor":"v","model":"m"},{"meta_path":"y","vendor":" ","model":"m"}]}\n{"firmware_id":"b","in_table":false,"aliases":[]}\n')
     good, blank = files.read_provenance(spark, str(tmp_path / "p.jsonl"))

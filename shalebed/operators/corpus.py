@@ -180,3 +180,27 @@ def finding_key(*columns: str) -> Column:
     for x in columns[1:]:
         parts += [F.lit("\0"), F.col(x)]
     return F.sha2(F.concat(*parts), 256)
+
+
+def vendor_merge(paths: DataFrame, origin: str, target: str, path: str = "path") -> DataFrame:
+    """(source, moved_to, problem): where the files of a vendor's folder go in another's. paths
+    are vendor/model/file; the model's underscores become hyphens. problem is null, or
+    nested for what isn't a file of a model, two_sources where two models become one,
+    occupied where the target's model has a file already. Nothing is moved by this.
+    """
+    parts = F.split(path, "/")
+    files = paths.select(F.col(path).alias("source"), parts[0].alias("vendor"), F.get(parts, 1).alias("model"), F.get(parts, 2).alias("name"), (F.size(parts) != 3).alias("nested"))
+    moves = files.where(F.col("vendor") == origin).withColumn("to", F.replace("model", F.lit("_"), F.lit("-")))
+    sources = moves.where(~F.col("nested")).groupBy("to").agg((F.min("model") != F.max("model")).alias("two"))
+    taken = files.where(F.col("vendor") == target).select(F.col("model").alias("to")).distinct().withColumn("taken", F.lit(True))
+    told = moves.join(sources, "to", "left").join(taken, "to", "left")
+    problem = F.when(F.col("nested"), "nested").when(F.col("two"), "two_sources").when(F.col("taken"), "occupied")
+    return told.select("source", F.when(~F.col("nested"), F.concat_ws("/", F.lit(target), "to", "name")).alias("moved_to"), problem.alias("problem"))
+
+
+def scoring_features(features: DataFrame, ids: DataFrame, key: str, columns: list[str], order: str) -> DataFrame:
+    """One row for each id of ids, in whatever ids are asked for: the collapsed features of its
+    aliases, null where it has none. Ids that aren't asked for are left out.
+    """
+    asked = ids.select(key).distinct()
+    return asked.join(collapse_aliases(features.join(asked, key, "left_semi"), key, columns, order), key, "left").select(key, order, *columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contract as c
-from .metrics import paired_bootstrap, scenario_weights
+from .metrics import class_metrics, confusion, paired_bootstrap, scenario_weights
 
 # Fixed values of the tables.
 NOT_BETTER, BETTER, UNCLEAR = "nulo_ou_negativo", "supera_b1", "inconclusivo"
@@ -144,3 +144,21 @@ def alias_counts(aliases: DataFrame, key: str, model: str, differ: str) -> DataF
 def by_first_row(df: DataFrame, key: str, row: str) -> DataFrame:
     """(key, first_row): ids in the order in which they first appear."""
     return df.groupBy(key).agg(F.min(row).alias("first_row")).orderBy("first_row", key)
+
+
+def vendor_table(predictions: DataFrame, vendor: str, group: str, true: str, arms: list[str], classes: list[str]) -> DataFrame:
+    """(vendor, arm, true_class, support, n_components, precision, recall, f1, undefined,
+    pred__class): a row for each vendor, arm (a column of predictions) and class, also
+    where a vendor has none of it. undefined names precision and recall without a
+    denominator, joined by semicolons; n_components counts the groups of the class.
+    """
+    keys = [vendor, "arm"]
+    told = predictions.select(vendor, true, F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), F.col(a).alias("__told")) for a in arms])))
+    matrix = confusion(told, keys, true, "__told", classes)
+    rows = [F.struct(F.lit(c).alias("class"), *[F.col(f"m_{i}_{j}").alias(f"pred__{d}") for j, d in enumerate(classes)]) for i, c in enumerate(classes)]
+    counted = predictions.groupBy(vendor, F.col(true).alias("class")).agg(F.count_distinct(group).alias("n_components"))
+    by = class_metrics(matrix, keys, classes).join(matrix.select(*keys, F.inline(F.array(*rows))), [*keys, "class"]).join(counted, [vendor, "class"], "left")
+    undefined = F.array_join(F.filter("undefined", lambda x: x != "f1"), ";").alias("undefined")
+    return by.select(
+        vendor, "arm", F.col("class").alias("true_class"), "support", F.coalesce("n_components", F.lit(0)).alias("n_components"), "precision", "recall", "f1", undefined, *[f"pred__{c}" for c in classes]
+    )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import checks, metrics, report
+from ..operators import checks, corpus, metrics, report
 from ..sources.tables import table
 from .metric_queries import CLASSES, _macro, _P, _predictions
 
@@ -61,6 +61,29 @@ def q_exclusion_table(spark, sf):
     return _rounded(report.exclusion_table(table(spark, sf, "orders").select(F.col("o_orderpriority").alias("vendor"), reasons.alias("reasons"))))
 
 
+def q_vendor_table(spark, sf):
+    """Languages as vendors, sources as groups."""
+    return _rounded(report.vendor_table(_arms(spark, sf), "lang", "source", "y", ["a", "b", "c"], CLASSES))
+
+
+def q_vendor_merge(spark, sf):
+    """Files of three vendors from parts: some models become one, some are taken, some lie too deep."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    vendor = F.element_at(F.array(F.lit("tplink"), F.lit("tplink"), F.lit("tp_link"), F.lit("dlink")), (k % 4 + 1).cast("int"))
+    sign = F.when((size % 10 == 3) & (k % 8 < 4), "-").otherwise("_")
+    model = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("archer"), sign, size)).otherwise(F.concat(F.when(vendor == "tp_link", "re").otherwise("wr"), F.lit("_"), size))
+    deep = F.when(k % 25 == 1, F.lit("old/")).otherwise("")
+    paths = table(spark, sf, "part").select(F.concat(vendor, F.lit("/"), F.when(vendor == "tp_link", F.replace(model, F.lit("_"), F.lit("-"))).otherwise(model), F.lit("/"), deep, F.lit("f"), k).alias("path"))
+    return corpus.vendor_merge(paths, "tplink", "tp_link")
+
+
+def q_scoring_features(spark, sf):
+    """Orders are asked for by customers' numbers; line items are aliases."""
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat_ws("-", F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("place"), F.lit(1).alias("seen"))
+    ids = table(spark, sf, "customer").select((F.col("c_custkey") % 500).alias("id"))
+    return corpus.scoring_features(li, ids, "id", ["seen"], "place")
+
+
 def q_missing_classes(spark, sf):
     """Customers without orders of every status."""
     missing = report.missing_classes(table(spark, sf, "orders"), ["o_custkey"], "o_orderstatus", ["F", "O", "P"])
@@ -165,6 +188,25 @@ _SCENARIOS = (
 )
 
 SQL = {
+    "q_vendor_table": f"""WITH {_P}, arms AS (SELECT lang, source, y, unnest(['a', 'b', 'c']) AS arm, unnest([a, b, '1']) AS t FROM p),
+    n AS (SELECT lang, y, count(DISTINCT source) AS n_components FROM p GROUP BY ALL),
+    g AS (SELECT lang, arm, k AS true_class, count(*) FILTER (y = k) AS support, count(*) FILTER (t = k) AS told, count(*) FILTER (y = k AND t = k) AS hit,
+      count(*) FILTER (y = k AND t = '0') AS pred__0, count(*) FILTER (y = k AND t = '1') AS pred__1 FROM arms, (VALUES ('0'), ('1')) c(k) GROUP BY ALL)
+    SELECT g.lang, arm, true_class, support, coalesce(n_components, 0) AS n_components, round(coalesce(hit / nullif(told, 0), 0), 6) AS precision, round(coalesce(hit / nullif(support, 0), 0), 6) AS recall,
+      round(coalesce(2.0 * hit / nullif(told + support, 0), 0), 6)::DOUBLE AS f1, concat_ws(';', CASE WHEN told = 0 THEN 'precision' END, CASE WHEN support = 0 THEN 'recall' END) AS undefined, pred__0, pred__1
+    FROM g LEFT JOIN n ON n.lang = g.lang AND n.y = true_class""",
+    "q_vendor_merge": """
+WITH v AS (SELECT p_partkey AS k, p_size AS s, ['tplink', 'tplink', 'tp_link', 'dlink'][p_partkey % 4 + 1] AS vendor FROM part),
+m AS (SELECT *, CASE WHEN s % 3 = 0 THEN 'archer' || CASE WHEN s % 10 = 3 AND k % 8 < 4 THEN '-' ELSE '_' END || s ELSE CASE WHEN vendor = 'tp_link' THEN 're' ELSE 'wr' END || '_' || s END AS model, k % 25 = 1 AS nested FROM v),
+t AS (SELECT DISTINCT replace(model, '_', '-') AS model FROM m WHERE vendor = 'tp_link'),
+two AS (SELECT replace(model, '_', '-') AS model FROM m WHERE vendor = 'tplink' AND NOT nested GROUP BY 1 HAVING count(DISTINCT m.model) > 1)
+SELECT vendor || '/' || model || '/' || CASE WHEN nested THEN 'old/' ELSE '' END || 'f' || k AS source,
+  CASE WHEN NOT nested THEN 'tp_link/' || replace(model, '_', '-') || '/f' || k END AS moved_to,
+  CASE WHEN nested THEN 'nested' WHEN replace(model, '_', '-') IN (SELECT model FROM two) THEN 'two_sources' WHEN replace(model, '_', '-') IN (SELECT model FROM t) THEN 'occupied' END AS problem
+FROM m WHERE vendor = 'tplink'""",
+    "q_scoring_features": """
+WITH ids AS (SELECT DISTINCT c_custkey % 500 AS id FROM customer), f AS (SELECT l_orderkey AS id, min(lpad(l_linenumber::VARCHAR, 2, '0')) AS place FROM lineitem GROUP BY ALL)
+SELECT id, place, CASE WHEN place IS NOT NULL THEN 1 END AS seen FROM ids LEFT JOIN f USING (id)""",
     "q_comparison_table": f"""WITH {_DRAWS}, {_CORE} SELECT arm, reference_arm, {_SHOWN}, arm = 'b' AND reference_arm = 'c' AS anchor,
   CASE WHEN arm <> 'b' OR reference_arm <> 'c' THEN '' WHEN delta <= 0 THEN 'nulo_ou_negativo' WHEN delta_low > 0 THEN 'supera_b1' ELSE 'inconclusivo' END AS interpretation FROM pairs""",
     "q_ablation_table": f"""WITH {_DRAWS}, {_pair_tables([("b", "a"), ("c", "a")])} SELECT arm, reference_arm, {_SHOWN}, CASE arm WHEN 'b' THEN 'n_chars' ELSE 'n_chars;text' END AS removed_columns,

@@ -6,9 +6,9 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.storage import checkpointed, numbered
+from .quantiles import joined
 
 PREFIX = "g:"
 
@@ -108,4 +108,5 @@ def fold_summary(folds: DataFrame, table: DataFrame, key: str, label: str, class
 
 
 def with_group_size(df: DataFrame, group: str) -> DataFrame:
-    return df.withColumn("group_size", F.count(F.lit(1)).over(Window.partitionBy(group)))
+    """df with group_size; rows without a group are one."""
+    return joined(df, df.groupBy(group).agg(F.count(F.lit(1)).alias("group_size")), [group])

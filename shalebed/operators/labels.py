@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import contract as c
 from ..functions.versions import severity_bucket
@@ -73,16 +72,11 @@ def label_aliases(aliases: DataFrame, labels: DataFrame, key: str) -> DataFrame:
 
     A missing version is a version of its own.
     """
-    whole = Window.partitionBy(key)
-    count = F.count(F.lit(1)).over(whole)
-    versions = F.size(F.collect_set(F.coalesce(F.concat(F.lit("v"), "version"), F.lit("none"))).over(whole))
-    return aliases.withColumns(
-        {
-            "alias_count": count,
-            "versions_differ": versions > 1,
-            "label_strategy": F.when(count == 1, F.lit(c.SINGLE)).otherwise(F.lit(c.CONSERVATIVE)),
-        }
-    ).join(labels, key)
+    ids = aliases.groupBy(key).agg(F.count(F.lit(1)).alias("alias_count"), F.count("version").alias("__known"), F.coalesce(F.min("version") != F.max("version"), F.lit(False)).alias("__two"))
+    differ = F.col("__two") | ((F.col("__known") > 0) & (F.col("__known") < F.col("alias_count")))
+    strategy = F.when(F.col("alias_count") == 1, F.lit(c.SINGLE)).otherwise(F.lit(c.CONSERVATIVE))
+    told = ids.select(key, "alias_count", differ.alias("versions_differ"), strategy.alias("label_strategy"))
+    return aliases.join(told, key).join(labels, key)
 
 
 def alias_evidence(judged: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.ml.feature import Imputer, VarianceThresholdSelector, VectorAssembl
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..functions.storage import numbered
 from .metrics import majority_class
 
 
@@ -25,7 +25,7 @@ def fit_forest(train: DataFrame, features: list[str], label: str, trees: int = 1
     """Median imputation, removal of constant columns and a forest, fitted on train
     only. label: a number for each class. Constant columns only are an error.
     """
-    if set(train.agg(*[F.count_distinct(c).alias(c) for c in features]).first()) <= {0, 1}:
+    if not any(train.agg(*[F.coalesce(F.min(c) != F.max(c), F.lit(False)).alias(c) for c in features]).first()):
         raise ValueError("every column is constant")
     numbers = train.withColumns({c: F.col(c).cast("double") for c in features})
     filled = [f"{c}__filled" for c in features]
@@ -73,9 +73,10 @@ def majority_baseline(df: DataFrame, folds: DataFrame, key: str, label: str, cla
 
 
 def permuted(df: DataFrame, within: list[str], column: str, seed: int) -> DataFrame:
-    """df with a column's values dealt anew among the rows of a fold, by hashes of the seed."""
-    place = Window.partitionBy(*within)
-    row = F.xxhash64(F.lit(seed), F.struct(*[F.col(c) for c in df.columns]))
-    ranked = df.withColumn("__at", F.row_number().over(place.orderBy(F.struct(*df.columns))))
-    dealt = df.select(*within, F.col(column).alias("__value"), F.row_number().over(place.orderBy(row)).alias("__at"))
-    return ranked.join(dealt, [*within, "__at"]).withColumn(column, F.col("__value")).select(df.columns)
+    """df with a column's values dealt anew among the rows of a fold, by hashes of the seed.
+    Both orders are sorted in ranges over all folds, so no fold is in one task.
+    """
+    rows = df.withColumn("__order", F.struct(*df.columns)).withColumn("__hash", F.xxhash64(F.lit(seed), "__order"))
+    ranked = numbered(rows, [*within, "__order"], "__at")
+    dealt = numbered(rows, [*within, "__hash", "__order"], "__at").select("__at", F.col(column).alias("__value"))
+    return ranked.join(dealt, "__at").withColumn(column, F.col("__value")).select(df.columns)

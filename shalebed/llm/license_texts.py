@@ -1,7 +1,8 @@
 """Public license wordings in the markup of license_scan (fixed values).
 
-The texts of MIT, BSD, ISC, zlib, Boost and the Unlicense are whole; Apache, GNU,
-Mozilla and Creative Commons works carry a notice, which is what stands here.
+The texts of MIT, BSD, ISC, zlib and Boost are whole; of the Unlicense there is the first
+sentence of permission; Apache, GNU, Mozilla and Creative Commons works carry a notice,
+which is what stands here.
 """
 
 _BSD_BEGIN = """

@@ -5,8 +5,13 @@ each level; an element's points are discounted by the share of its text that is
 in links, and by names that speak for and against it. The best container is kept
 with all text beside it that has few links; lists of links in it go, with their
 headings. Elements that are never the article (scripts, menus, forms, or one
-whose name ends in "sidebar" or "comments") are taken out before; of a form
-around the article or around most of the page's text, only the controls are.
+whose class ends in "sidebar" or "comments") are taken out before; of a form
+around the article or around most of the page's text, only the controls are. An
+id alone speaks against a part of the article only with a second sign, as it is
+often the heading's own words: an article may have a section "related-work".
+
+A paragraph's points reach its container and the four containers or other
+elements above it: in full, then a half, a quarter, a sixth and an eighth.
 
 A page is read once from left to right, in time proportional to its length
 whatever stands in it, and scored alone, so this is one map over the rows.
@@ -62,6 +67,11 @@ STRONG = frozenset(
 #: Beginnings and ends of such parts that are written together.
 STRONG_STARTS = ("comment", "cookie", "advert", "adsense", "sponsor", "newsletter", "breadcrumb", "subscri", "sidebar", "navbar", "sharebar", "relatedpost")
 STRONG_ENDS = ("nav", "menu", "sidebar", "comments", "advert", "footer")
+#: Words that names of such parts are made with, besides.
+FRAME = frozenset(
+    "main top bottom left right inner outer wrap wrapper container box area block list thread section part item bar head title link links row col column "
+    "slot unit first second page site content form post posts articles stories button buttons icons panel region group mobile desktop".split()
+)
 WEAK = frozenset("header side rail aside search form tags meta toc hidden".split())
 GOOD = frozenset("article content body main entry post text story page blog".split())
 
@@ -195,6 +205,9 @@ def parse(page: str) -> Node:
 
 _ARTICLE = frozenset(("article", "main"))
 _READERS = frozenset("comment comments disqus respond reply replies".split())
+_H = frozenset("h1 h2 h3 h4 h5 h6".split())
+_CONTROLS = frozenset("form button input select textarea".split())
+_WORD = re.compile(r"[a-z]+|\d+")
 
 
 def _kind(part: str) -> str:
@@ -203,13 +216,13 @@ def _kind(part: str) -> str:
     return "good" if part in GOOD else "weak" if part in WEAK else ""
 
 
-def _names(node: Node) -> set[str]:
+def _names(node: Node, with_id: bool = True) -> set[str]:
     """What the class and id say: for each name the last part that says anything
     ("good" of alert-story, "strong" of story-alert), "mixed" for a good one with
     a strong part, and "readers".
     """
     found: set[str] = set()
-    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}".split():
+    for name in f"{node.attrs.get('class', '')} {node.attrs.get('id', '') if with_id else ''}".split():
         parts = [x.lower() for x in _PART.findall(name)]
         kinds = [k for k in map(_kind, parts) if k]
         if kinds:
@@ -240,32 +253,78 @@ def _unwanted(node: Node, names: set[str], in_article: bool) -> bool:
     return attrs.get("role", "").lower() in ROLES or "strong" in names or "readers" in names or "weak" in names and "good" not in names
 
 
-def _sizes(root: Node) -> tuple[dict[Node, int], set[Node]]:
-    """The characters of text outside of links and of NEVER elements but AROUND,
-    and the elements that hold an article.
+class _Facts:
+    """What is in each element: the characters of text outside of links and of
+    NEVER elements but AROUND; all of them and those in links to other pages;
+    its first heading, how many headings are such links, and whether it has
+    controls. And the elements that hold an article.
     """
-    every, todo = [], [root]
-    while todo:
-        node = todo.pop()
-        every.append(node)
-        todo += [c for c in node.children if isinstance(c, Node)]
-    sizes: dict[Node, int] = {}
-    holds: set[Node] = set()
-    for node in reversed(every):
-        if (node.name not in NEVER or node.name in AROUND) and node.name != "a":
-            sizes[node] = sum(len(c.strip()) if isinstance(c, str) else sizes.get(c, 0) for c in node.children)
-        if node.parent is not None and (node in holds or node.name in _ARTICLE and "strong" not in _names(node)):
-            holds.add(node.parent)
-    return sizes, holds
+
+    def __init__(self, root: Node):
+        every, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            every.append(node)
+            todo += [c for c in node.children if isinstance(c, Node)]
+        self.sizes: dict[Node, int] = {}
+        self.holds: set[Node] = set()
+        self.chars: dict[Node, int] = {}
+        self.linked: dict[Node, int] = {}
+        self.heading: dict[Node, Node] = {}
+        self.teasers: dict[Node, int] = {}
+        self.controls: set[Node] = set()
+        self._words: dict[Node, set[str]] = {}
+        for node in reversed(every):
+            if (node.name not in NEVER or node.name in AROUND) and node.name != "a":
+                self.sizes[node] = sum(len(c.strip()) if isinstance(c, str) else self.sizes.get(c, 0) for c in node.children)
+            own = [c for c in node.children if isinstance(c, Node)]
+            self.chars[node] = sum(len(c.strip()) for c in node.children if isinstance(c, str)) + sum(self.chars[c] for c in own)
+            away = node.name == "a" and not node.attrs.get("href", "#").startswith("#")
+            self.linked[node] = self.chars[node] if away else sum(self.linked[c] for c in own)
+            if node.name in _H:
+                self.heading[node] = node
+                self.teasers[node] = int(2 * self.linked[node] > self.chars[node])
+            else:
+                self.teasers[node] = sum(self.teasers[c] for c in own)
+                if first := next((self.heading[c] for c in own if c in self.heading), None):
+                    self.heading[node] = first
+            if node.name in _CONTROLS or any(c in self.controls for c in own):
+                self.controls.add(node)
+            if node.parent is not None and (node in self.holds or node.name in _ARTICLE and "strong" not in _names(node)):
+                self.holds.add(node.parent)
+
+    def names_itself(self, node: Node, inside: bool) -> bool:
+        """Whether an id only names a part of the article: that of a heading; one
+        whose words are in the heading below it; within an article, one with words
+        that aren't those of a page's frame. Not with a second sign: links
+        elsewhere, controls, teasers, or no words but of readers' comments.
+        """
+        if node.name in _H:
+            return True
+        parts = [x.lower() for x in _PART.findall(node.attrs.get("id", ""))]
+        telling = [x for x in parts if not (x in FRAME or x.isdigit())]
+        if node in self.controls or self.teasers[node] > 1 or 5 * self.linked[node] > self.chars[node]:
+            return False
+        if all(x in _READERS or x.startswith("comment") and x.endswith("list") for x in telling):
+            return False
+        if (heading := self.heading.get(node)) is not None:
+            if heading not in self._words:
+                self._words[heading] = set(_WORD.findall(_plain(heading).lower()))
+            if self._words[heading].issuperset(parts):
+                return True
+        return inside and not all(map(_kind, telling))
 
 
 def _walk(root: Node) -> list[Node]:
     """All nodes that may be the article's, parents first; others are marked gone."""
-    sizes, holds = _sizes(root)
+    facts = _Facts(root)
+    sizes, holds = facts.sizes, facts.holds
     order, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
         names = _names(node) if node.attrs else set()
+        if names - {"good"} and "id" in node.attrs and facts.names_itself(node, inside):
+            names = _names(node, with_id=False)
         if node.parent is not None and _unwanted(node, names, inside):
             # A wrapper of the article or of most text isn't taken out for its name, unless readers wrote it.
             wrapper = (node.name not in NEVER or node.name in AROUND) and node.name != "header" and "hidden" not in node.attrs and "readers" not in names

@@ -12,7 +12,7 @@ import pytest
 from llm_prose import prose
 from pyspark.sql import functions as F
 
-from shalebed.llm import entries
+from shalebed.llm import entries, html_extraction
 from shalebed.llm.html_extraction import extract_text, main_text
 from shalebed.llm.license_scan import PHRASES, TEMPLATES, Automaton, scan_licenses
 from shalebed.llm.line_dedup import dedup_lines
@@ -361,6 +361,98 @@ def test_main_text_of_parts(page, expected):
     assert main_text(page) == expected
 
 
+IDS = (
+    "related-work sharing-memory cookies comments-in-c navigation menu-design social-effects notices-of-error copyright-law trending-up login-flow "
+    "hidden-markov-models search-trees"
+)
+
+
+@pytest.mark.parametrize("name", IDS.split())
+def test_sections_named_by_their_headings_stay(name):
+    """As Markdown is rendered: ids are the heading's words, on it, on the section or on both."""
+    title = name.replace("-", " ").capitalize()
+    for head, part in ((f" id={name}", ""), ("", f" id={name}"), (f" id={name}", f" id={name}")):
+        for around in ("article", "main", "div"):
+            page = f"<body><{around}><h1>T</h1>{BODY}<section{part}><h2{head}>{title} <a href='#{name}'>#</a></h2><p>{ONE}</p></section></{around}></body>"
+            assert main_text(page) == f"T {TEXT} {title} # {ONE}", (name, head, part, around)
+    if "-" in name and name != "search-trees":
+        assert main_text(f"<article><h1>T</h1>{BODY}<section id={name}><h2>Another</h2><p>{ONE}</p></section></article>") == f"T {TEXT} Another {ONE}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<div id=comments><h2>Comments</h2><p>{ONE}</p></div>",
+        f"<section id=comment-list-2><h3>2 replies</h3><p>{ONE}</p></section>",
+        "<div id=ad-slot><p>Buy, buy, and buy again</p></div>",
+        "<div id=left-sidebar><h3>About</h3><p>Me, and others</p></div>",
+        "<section id=newsletter><h3>Newsletter</h3><p>Our stories, by mail</p><input name=mail></section>",
+        "<section id=related-stories><h3>Related stories</h3><div><h4><a href=/1>One</a></h4><p>A teaser, of one</p></div><div><h4><a href=/2>Two</a></h4><p>Another</p></div></section>",
+        "<div id=trending><h3>Trending</h3><ul><li><a href=/1>Story one</a><li><a href=/2>Story two</a></ul></div>",
+        f"<aside id=related-work><h3>Related work</h3><p>{ONE}</p></aside>",
+        f"<section class=comments id=comments-in-c><h3>Comments in C</h3><p>{ONE}</p></section>",
+    ],
+)
+def test_ids_with_a_second_sign_go(part):
+    assert main_text(f"<article><h1>T</h1>{BODY}{part}</article>") == f"T {TEXT}"
+
+
+def test_points_of_random_trees():
+    """Points, characters and characters in links, by going up from every paragraph of a tree."""
+    rng = random.Random(11)
+
+    def grown(depth):
+        kind = rng.choice(["p", "p", "a", "div", "div", "section", "text"] if depth < 7 else ["p", "text"])
+        text = "".join(rng.choice(["word ", "longer words ", "a, b, "]) for _ in range(rng.randint(1, 30))).strip()
+        if kind == "text":
+            return "", text, []
+        if kind in ("p", "a"):
+            return kind, text, []
+        below = [grown(depth + 1) for _ in range(rng.randint(1, 4))]
+        return kind, "", [x for before, x in zip([None, *below], below) if x[0] or before is None or before[0]]  # texts beside each other are one
+
+    def markup(node):
+        kind, text, below = node
+        return text + " " if not kind else f"<{kind}{' href=/' if kind == 'a' else ''}>{text}{''.join(map(markup, below))}</{kind}>"
+
+    for _ in range(50):
+        tree = ("div", "", [("section", "", [("p", "Text, of a paragraph", [])]), grown(1), ("div", "", [])])
+        root = html_extraction.parse(markup(tree))
+        order = html_extraction._walk(root)
+        html_extraction._score(root, order)
+        points, shares = {}, {}
+
+        def measure(node):
+            kind, text, below = node
+            inner = [measure(x) for x in below]
+            chars = len(text) + sum(c for c, _ in inner)
+            linked = chars if kind == "a" else sum(k for _, k in inner)
+            shares[id(node)] = (chars, linked)
+            return chars, linked
+
+        def spread(node, above):
+            kind, text, below = node
+            chars, linked = shares[id(node)]
+            own = text if kind == "p" else " ".join(x[1] + " " for x in below if not x[0]).strip() if kind in ("div", "section") else ""
+            if len(own) >= 2:
+                given = min(len(own), 25) / 25 * (1 + own.count(",") + min(len(own) / 100, 3)) * (1 - linked / chars)
+                for level, up in enumerate(([id(node)] if kind != "p" else []) + above):
+                    if level < 5:
+                        points[up] = points.get(up, 0) + given / (1, 2, 4, 6, 8)[level]
+            for x in below:
+                spread(x, [id(node), *above])
+
+        measure(tree)
+        spread(tree, [])
+
+        def listed(node):
+            return [node] * bool(node[0]) + [y for x in node[2] for y in listed(x)]
+
+        # A link itself counts in what is around it.
+        expected = [(n[0], shares[id(n)][0], 0 if n[0] == "a" else shares[id(n)][1], pytest.approx(points.get(id(n), 0.0))) for n in listed(tree)]
+        assert [(n.name, n.chars, n.linked, n.points) for n in order if n is not root] == expected
+
+
 @pytest.mark.parametrize("part", ["<a", '<a "', "<a =\"", "<a '\"", "</b>", "</b", "</b ", "<aside>", "<div class=ad>", "<!--", "<!", "<![CDATA[", "</title  ", "<a b=c ", "&amp", '<a x="<a y=\'', " \t"])
 def test_hostile_pages_take_linear_time(part):
     """A megabyte of each in two seconds, with twice that for a slow machine."""

@@ -4,11 +4,12 @@ Documents of equal words are one node first, so that copies cost nothing. The
 nodes' MinHash bands are shuffled by their hashes; nodes of one band are a
 bucket. A node's home is the largest bucket that it is in; small homes join the
 large one that they share buckets with, and a large one is split into cells of a
-bounded size. Two cells meet if some bucket has nodes of both,
-and each meeting is a task of its own that verifies the pairs of its nodes on
-their full n-gram sets. So every two nodes of a bucket are compared exactly
-once, near copies of one another mostly meet in one cell, and a chain of
-buckets never becomes one group. The verified links' components are the classes.
+bounded size. Two cells meet if some bucket has nodes of both; only the nodes of
+such buckets go there, and each meeting verifies the pairs of its nodes on their
+full n-gram sets, which are made once for each node. So every two nodes of a
+bucket are compared exactly once, near copies of one another mostly meet in one
+cell, and a chain of buckets never becomes one group. The verified links'
+components are the classes.
 """
 
 from __future__ import annotations
@@ -92,9 +93,6 @@ def _signatures(n: int, bands: int, rows: int):
     return run
 
 
-_CELLS = ["i", "j", "cell", "node", "copies"]
-
-
 def _sets(n: int):
     """Sorted distinct n-gram hashes of each row."""
 
@@ -102,8 +100,7 @@ def _sets(n: int):
         for part, texts in blocks(batches, "text"):
             runs, borders = shingle_hashes(Words(texts), n)
             sets = [np.unique(runs[a:b]).tobytes() for a, b in zip(borders[:-1], borders[1:])]
-            keep = [part.column(part.schema.get_field_index(c)) for c in _CELLS]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(sets, pa.binary())], names=[*_CELLS, "grams"])
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("node")), pa.array(sets, pa.binary())], names=["node", "grams"])
 
     return run
 
@@ -194,48 +191,43 @@ def _verify(threshold: float):
     return run
 
 
-def _gathered(members: DataFrame, homes: DataFrame, block: int) -> DataFrame:
+def _gathered(members: DataFrame, homes: DataFrame) -> DataFrame:
     """(home, root): homes joined to a larger one that they share buckets with.
 
     A group of near copies has one large home and some small ones, for those
     that miss its band; a home joins its largest neighbour if that has no larger
-    one itself, so this is one step and chains stay apart. A root takes in no
-    more than twice what it has (or a block), else nobody.
+    one itself, so this is one step and chains stay apart.
     """
     size = homes.groupBy("home").agg(F.count(F.lit(1)).alias("c"))
-    seen = members.select("node", "band").join(homes, "node").select("band", "home").distinct()
-    mixed = seen.groupBy("band").agg(F.min("home").alias("least"), F.max("home").alias("most")).where("least < most").select("band")
-    seen = checkpointed(seen.join(mixed, "band").join(size, "home"))
-    other = seen.select("band", F.struct("c", "home").alias("near"))
-    larger = seen.join(other, "band").where(F.struct("c", "home") < F.col("near")).groupBy("home").agg(F.max("near").alias("near"))
-    larger = checkpointed(larger.select("home", F.col("near.home").alias("root"), F.col("near.c").alias("root_c")))
-    direct = larger.join(larger.select(F.col("home").alias("root")), "root", "left_anti").join(size, "home")
-    wanted = direct.groupBy("root").agg(F.sum("c").alias("all_c"), F.first("root_c").alias("root_c")).where(F.col("all_c") <= F.greatest(2 * F.col("root_c"), F.lit(block)))
-    joined = direct.join(wanted.select("root"), "root").select("home", "root")
+    seen = checkpointed(members.select("node", "band").join(homes, "node").select("band", "home").distinct().join(size, "home"))
+    # A band's largest home is the largest neighbour there of all others.
+    top = seen.groupBy("band").agg(F.max(F.struct("c", "home")).alias("near"))
+    larger = seen.join(top, "band").where(F.struct("c", "home") < F.col("near")).groupBy("home").agg(F.max("near").alias("near"))
+    larger = checkpointed(larger.select("home", F.col("near.home").alias("root")))
+    joined = larger.join(larger.select(F.col("home").alias("root")), "root", "left_anti")
     return size.select("home").join(joined, "home", "left").select("home", F.coalesce("root", "home").alias("root"))
 
 
 def _meetings(nodes: DataFrame, block: int, block_runs: int) -> DataFrame:
-    """(i, j, cell, node, doc, text_hash, copies): one row for each node and
-    meeting of cells it takes part in. nodes: node, doc, text_hash, copies, runs, bands.
+    """(i, j, cell, node): one row for each node and meeting of cells it takes
+    part in, i = j for its own cell. nodes: node, runs, bands.
     """
     banded = nodes.select("node", "runs", F.explode("bands").alias("band"))
     buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(banded.join(buckets, "band"))
     homes = members.groupBy("node").agg(F.min(F.struct((-F.col("n")).alias("n"), "band")).alias("home"), F.first("runs").alias("runs"))
     homes = checkpointed(homes.select("node", "runs", F.col("home.band").alias("home")))
-    rooted = homes.join(_gathered(members, homes, block), "home")
+    rooted = homes.join(_gathered(members, homes), "home")
     sized = rooted.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("runs") / block_runs)).alias("parts"))
     cell = F.xxhash64("root", F.pmod(F.xxhash64("node"), "parts"))
     homes = checkpointed(rooted.join(sized, "root").select("node", cell.alias("cell")))
-    seen = members.select("node", "band").join(homes, "node").select("band", "cell").distinct()
-    mixed = seen.groupBy("band").agg(F.min("cell").alias("least"), F.max("cell").alias("most")).where("least < most").select("band")
-    seen = checkpointed(seen.join(mixed, "band"))
-    other = seen.select("band", F.col("cell").alias("j"))
-    across = seen.select("band", F.col("cell").alias("i")).join(other, "band").where("i < j").select("i", "j").distinct()
-    within = homes.select("cell").distinct().select(F.col("cell").alias("i"), F.col("cell").alias("j"))
-    pairs = within.unionByName(across).select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cell"))
-    return pairs.join(homes, "cell").join(nodes.select("node", "doc", "text_hash", "copies"), "node")
+    # Buckets with nodes of the same cells are of one kind, so a node is joined once for each kind.
+    placed = members.select("node", "band").join(homes, "node")
+    kinds = placed.select("band", "cell").distinct().groupBy("band").agg(F.count(F.lit(1)).alias("cells"), F.bit_xor(F.xxhash64("cell")).alias("kind")).where("cells > 1")
+    placed = checkpointed(placed.join(kinds, "band").select("kind", "node", "cell").distinct())
+    others = placed.select("kind", F.col("cell").alias("other")).distinct()
+    met = placed.join(others, "kind").where("cell <> other").select(F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), "cell", "node")
+    return homes.select(F.col("cell").alias("i"), F.col("cell").alias("j"), "cell", "node").unionByName(met.distinct())
 
 
 def _classed(docs: DataFrame, threshold: float, n: int, recall: float, block: int, block_runs: int = 4_000_000) -> DataFrame:
@@ -252,9 +244,11 @@ def _classed(docs: DataFrame, threshold: float, n: int, recall: float, block: in
         .select("node", "check", "lead.*", "copies", "runs", "bands")
     )
     nodes = checkpointed(nodes)
-    # Each node's text comes from one row, however often its document and text repeat.
-    met = keyed.join(_meetings(nodes, block, block_runs), ["doc", "text_hash"]).dropDuplicates(["doc", "text_hash", "i", "j"])
-    sets = met.select(*_CELLS, "text").mapInArrow(_sets(n), "i long, j long, cell long, node long, copies long, grams binary")
+    meetings = checkpointed(_meetings(nodes, block, block_runs))
+    compared = nodes.select("node", "doc", "text_hash", "copies").join(meetings.select("node").distinct(), "node", "left_semi")
+    # Each node's set is made once, of one row, however often its document and text repeat.
+    sets = keyed.join(compared, ["doc", "text_hash"]).select("node", "text").mapInArrow(_sets(n), "node long, grams binary").dropDuplicates(["node"])
+    sets = meetings.join(compared.select("node", "copies"), "node").join(sets, "node").select("i", "j", "cell", "node", "copies", "grams")
     found = sets.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(_verify(threshold), "node long, to long, links long")
     found = checkpointed(found)
     classes = connected_components(found.select(F.col("node").alias("u"), F.col("to").alias("v")))
@@ -296,9 +290,9 @@ def join_similar(docs: DataFrame, threshold: float = 0.8, n: int = 5, recall: fl
     chain of links; more than 50 are an error.
 
     block: the most nodes of one cell (a cell of very long texts has fewer). m
-    texts that are all alike meet in m / block cells, each text as often; texts
-    that share a bucket with few others are sent a few times, however long the
-    chain that they are part of. No pair of a bucket is left out.
+    texts that are all alike meet in m / block cells, each n-gram set as often;
+    texts that share a bucket with few others are sent a few times, however long
+    the chain that they are part of. No pair of a bucket is left out.
     """
     no_id = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return _classed(docs, threshold, n, recall, block).select(no_id("doc").alias("doc_id"), no_id("class").alias("class_id"), F.col("links").alias("n_links"), "kept")

@@ -5,17 +5,18 @@ The two softmaxes have one weight row for each hashed n-gram or skip feature of
 the context, above the unigram prior of the classes. The most frequent words
 are classes of their own; the others share a class with words of like endings.
 Within such a class a word's share is its smoothed count, and where the two words
-before it are a chosen context, an n-gram feature of word and context lifts it
+before it were seen with the class, an n-gram feature of word and context lifts it
 above that share: its weight is the log of observed over expected, so the factor
 has a closed form, and the table of these features grows with the corpus.
 
-Passes over the text: counting words; counting n-gram features; training; and
-scoring. A training step sums observed and expected counts of each feature over
-its documents, dealt by a hash of the doc_id, at the same weights; expected
-counts are summed as whole numbers, so neither the number of partitions nor the
-order of tasks matters. In scoring, words of the bounded table of frequent words
-are looked up in the task; the others and the n-gram features travel as
-(row, id, weight) to a join with the counts.
+Passes over the text: counting words; training; and scoring. A training step sums
+observed and expected counts of each feature over its documents, dealt by a hash
+of the doc_id, at the same weights; expected counts are summed as whole numbers,
+so neither the number of partitions nor the order of tasks matters. In scoring, words of the bounded table of frequent words
+are looked up in the task; the n-grams of every place and the other words meet in
+buckets of their hashes, where those of training documents are counted and all
+are answered with what they add to each row. They travel in packed blocks: a
+pair of context and word goes once from a block of rows, with the rows it is in.
 
 Words are 64-bit hashes; the lowest 7 bits are the ending's class.
 """
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,12 +125,12 @@ class Lexicon:
             found[hit] = self.top_class[at[hit]]
         return found
 
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """The counts of frequent words, 0 for others."""
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        """Where frequent words stand in the table, -1 for others."""
         if not len(self.head_ids):
-            return np.zeros(len(ids), np.int64)
+            return np.full(len(ids), -1)
         at = np.minimum(np.searchsorted(self.head_ids, ids), len(self.head_ids) - 1)
-        return np.where(self.head_ids[at] == ids, self.head_counts[at], 0)
+        return np.where(self.head_ids[at] == ids, at, -1)
 
 
 def _back(values: np.ndarray, borders: np.ndarray, k: int) -> np.ndarray:
@@ -266,36 +268,74 @@ def _train_step(docs: DataFrame, lexicon: Lexicon, model, bits: int, rate: float
     return tuple(out)
 
 
-def count_grams(docs: DataFrame, lexicon: Lexicon, every: int) -> DataFrame:
-    """(id, c) of the n-gram features of all texts: of their contexts, counted
-    where a frequent word follows, and of context and word together.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon)
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then their second ones, and so on: these compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
 
-    def run(batches):
-        held: list[np.ndarray] = []
 
-        def told():
-            ids, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(n)], names=["id", "n"])
+def _unplaned(data: memoryview, at: int, n: int, kind: str) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    values = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+    return np.ascontiguousarray(values).view(kind).ravel(), at + n * width
 
-        for _, texts in blocks(batches, "text", 500_000):
-            ids, borders = _tokens(texts)
-            at, context = _contexts(ids, sent.value.classes(ids), borders, every)
-            known = sent.value.counts(ids[at]) > 0
-            at, context = at[known], context[known]
-            held += [context, mix(context + ids[at].view(np.uint64))]
-            if sum(map(len, held)) > 3_000_000:
-                yield told()
-        if held:
-            yield told()
 
-    return docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("c"))
+def _runs(keys: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by (key, tag), and where there in begin a new key and a new pair."""
+    order = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = np.diff(keys[order]) != 0
+    pair = (np.cumsum(new) << 32) + tags[order]
+    inner = np.argsort(pair, kind="stable")  # nearly sorted
+    order, pair = order[inner], pair[inner]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = np.diff(pair) != 0
+    return order, np.flatnonzero(new), np.flatnonzero(fresh)
+
+
+def _packed(keys: np.ndarray, tags: np.ndarray, rows: np.ndarray, trains: np.ndarray, buckets: int):
+    """(bucket, bytes): the distinct pairs of key and tag, how often each stands in
+    all rows and in those that train, and the rows of each.
+    """
+    if not len(keys):
+        return
+    order, _, edge = _runs(keys, tags)
+    rows = rows[order]
+    n = np.diff(np.append(edge, len(rows))).astype(np.uint32)
+    trained = np.add.reduceat(trains[rows].astype(np.uint32), edge, dtype=np.uint32)
+    keys, tags = keys[order[edge]], tags[order[edge]]
+    borders = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+    edge = np.append(edge, len(rows))
+    for b in np.flatnonzero(np.diff(borders)).tolist():
+        own = slice(borders[b], borders[b + 1])
+        parts = [_planes(x[own]) for x in (keys, tags, n, trained)]
+        yield b, b"".join([np.uint32(own.stop - own.start).tobytes(), *parts, _planes(rows[edge[own.start] : edge[own.stop]])])
+
+
+def _unpacked(data: memoryview) -> list[np.ndarray]:
+    """Keys, tags, times, times in training, and the rows."""
+    size, at, out = int(np.frombuffer(data, np.uint32, 1)[0]), 4, []
+    for kind in ("<u8", "<i4", "<u4", "<u4"):
+        values, at = _unplaned(data, at, size, kind)
+        out.append(values)
+    return [*out, _unplaned(data, at, int(out[2].sum()), "<u4")[0]]
+
+
+#: What is sent: n-grams, words outside the table of frequent ones, and what a task knows of its rows.
+_GRAMS, _WORDS, _ROWS = 0, 1, 2
+_ROW_TYPES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
 def score_documents(
-    docs: DataFrame, max_head: int = 131_072, bits: int = 15, steps: int = 4, epochs: int = 1, rate: float = 0.5, damp: float = 30.0, every: int = 8, mass: float = 2.0
+    docs: DataFrame,
+    max_head: int = 131_072,
+    bits: int = 15,
+    steps: int = 4,
+    epochs: int = 1,
+    rate: float = 0.5,
+    damp: float = 30.0,
+    every: int = 1,
+    mass: float = 2.0,
+    places: int = 2_000_000,
 ) -> DataFrame:
     """One row for each row of docs (doc_id, text): held_out, n_tokens, n_known,
     train_tokens, base_score and score, log10.
@@ -310,8 +350,10 @@ def score_documents(
     may have a class of their own or n-gram features. The softmaxes have 2^bits
     weight rows each (bits up to 16). An epoch is all training documents, in
     steps parts; the rate falls as 1 / (1 + 0.3 t) with the step t, and damp is
-    in expected counts. One context of two words in every has n-gram features,
-    above mass words by their shares. All scores but base_score depend on these.
+    in expected counts. Every context of two words has n-gram features (one in
+    every of them, if every isn't 1), above mass words by their shares. All
+    scores but base_score depend on these. A task holds about places tokens at
+    once, which changes no result.
     """
     if not 9 <= bits <= 16:
         raise ValueError("bits must be 9 to 16")
@@ -324,83 +366,138 @@ def score_documents(
     model = tuple(np.zeros((1 << bits, n), np.float32) for n in (GROUPS, CLASSES // GROUPS))
     for t in range(steps * epochs if lexicon.total else 0):
         model = _train_step(train.where(F.floor(F.col("r") / 10) % steps == t % steps), lexicon, model, bits, rate / (1 + 0.3 * t), damp)
-    grams = count_grams(train, lexicon, every)
     sent = spark.sparkContext.broadcast((lexicon, *model))
     total, distinct = lexicon.total, lexicon.distinct
     floor = float(np.log10(total + 0.1 * (distinct + 1)))
-    fields = ["row", "doc_id", "held_out", "id", "known", "base", "score", "n_tokens", "n_known", "more"]
+    buckets = total // places + 1
 
-    def run(batches):
+    def scored(batches):
+        """What the task knows of its rows, and what it asks of the buckets."""
         lexicon, w1, w2 = sent.value
         share = np.where(lexicon.share > 0, lexicon.share, 1.0)
+        grams, words, rows = [], [], []
+        held = n_rows = 0
+        group = TaskContext.get().partitionId() << 32
+
+        def told():
+            known = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            trains = ~np.asarray(known.column(1).to_numpy(zero_copy_only=False), bool)
+            out = [(group % buckets, _ROWS, known.serialize().to_pybytes())]
+            for kind, asked in ((_GRAMS, grams), (_WORDS, words)):
+                keys, tags, owners = (np.concatenate(x) for x in zip(*asked))
+                out += [(b, kind, data) for b, data in _packed(keys, tags, owners, trains, buckets)]
+                asked.clear()
+            rows.clear()
+            for at in range(0, len(out), 64):
+                bucket, kind, data = zip(*out[at : at + 64])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array([group] * len(bucket)), pa.array(kind, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "rows", "kind", "data"])
+
         for part, ids, borders, classes, features in _pieces(batches, lexicon, bits):
             groups, members = classes // GROUPS, classes % GROUPS
             every_token = np.arange(len(ids))
             p = _softmax(w1, features, lexicon.prior1)[every_token, groups].astype(np.float64)
             p *= _softmax(w2, _second(features, groups, bits), lexicon.prior2[groups])[every_token, members]
             score = np.log10(np.maximum(p, 1e-30))
-            c = lexicon.counts(ids)
-            rare = c == 0
-            own = np.log10(c + 0.1)
-            base = np.where(rare, 0.0, own) - floor
-            shared = lexicon.share[classes] > 0
-            within = np.where(shared, np.where(rare, 0.0, own) - np.log10(share[classes]), 0.0)
-            # Where there is an n-gram feature, the join tells all but what is known here.
+            place = lexicon.places(ids)
+            rare = place < 0
+            own = np.log10(np.append(lexicon.head_counts, 0) + 0.1)[place]
+            own[rare] = 0.0  # told by the bucket
             at, context = _contexts(ids, classes, borders, every)
+            within = np.where(lexicon.share[classes] > 0, own - np.log10(share[classes]), 0.0)
+            # Where there is an n-gram feature, its bucket tells all but what is known here.
             within[at] = np.where(rare[at], np.log10(mass) - np.log10(share[classes[at]]), 0.0)
-            score += within
-            lifted = at[~rare[at]]
-            which = np.repeat(np.arange(part.num_rows), np.diff(borders))
-            rares = np.flatnonzero(rare)
-            # What travels: (row, id, times, offset) stands for times * log10(count + offset).
-            rows = np.concatenate([which[rares], which[at], which[lifted]])
-            keys = np.concatenate([ids[rares], context.view(np.int64), mix(context[~rare[at]] + ids[lifted].view(np.uint64)).view(np.int64)])
-            offset = np.concatenate([np.full(len(rares), 0.1), np.full(len(at), mass), mass * (c[lifted] + 0.1) / share[classes[lifted]]])
-            kind = np.repeat(np.arange(3, dtype=np.int8), [len(rares), len(at), len(lifted)])
-            order = np.lexsort((keys, kind, rows))
-            rows, keys, offset, kind = rows[order], keys[order], offset[order], kind[order]
-            new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1]) | (kind[1:] != kind[:-1])
-            edge = np.flatnonzero(new)
-            times = np.diff(np.append(edge, len(rows))).astype(float)
-            rows, keys, offset, kind = rows[edge], keys[edge], offset[edge], kind[edge]
-            first, n = borders[:-1], part.num_rows
-            row, doc, held = (part.column(part.schema.get_field_index(k)) for k in ("row", "doc_id", "held_out"))
-            take = pa.array(np.concatenate([np.arange(n), rows]))
-            pad = lambda x, kind: np.concatenate([x, np.zeros(len(rows), kind)])
-            summary = np.arange(n + len(rows)) < n
-            yield pa.RecordBatch.from_arrays(
-                [
-                    row.take(take),
-                    doc.take(take),
-                    held.take(take),
-                    pa.array(np.concatenate([mix(np.asarray(row).astype(np.uint64)).view(np.int64), keys])),
-                    # Of the joined count: what it adds to n_known and base_score, to score, and its offset (null: nothing).
-                    pa.array(np.concatenate([np.zeros(n), np.where(kind == 0, times, 0)])),
-                    pa.array(np.concatenate([np.add.reduceat(base, first), np.zeros(len(rows))])),
-                    pa.array(np.concatenate([np.add.reduceat(score, first), np.where(kind == 1, -times, times)])),
-                    pa.array(pad(np.diff(borders), np.int64)),
-                    pa.array(pad(np.add.reduceat((~rare).astype(np.int64), first), np.int64)),
-                    pa.array(np.concatenate([np.zeros(n), offset]), mask=summary),
-                ],
-                names=fields,
-            )
-
-    kinds = "row long, doc_id long, held_out boolean, id long, known double, base double, score double, n_tokens long, n_known long, more double"
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text").mapInArrow(run, kinds)
-    met = rows.join(counts.unionByName(grams), "id", "left")
-    c = F.coalesce("c", F.lit(0))
-    joined = F.col("more").isNotNull()
-    log = F.log10(c + F.col("more"))
-    return met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("known").cast("long")).otherwise(0)).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        F.sum(F.when(joined, F.col("known") * log).otherwise(F.col("base"))).alias("base_score"),
-        F.sum(F.when(joined, F.col("score") * log).otherwise(F.col("score"))).alias("score"),
-    ).drop("row")
+            which = np.repeat(np.arange(part.num_rows, dtype=np.uint32), np.diff(borders)) + np.uint32(n_rows)
+            grams.append((context, (place[at] + 1).astype(np.int32), which[at]))
+            seldom = np.flatnonzero(rare)
+            words.append((mix(ids[seldom].view(np.uint64)), np.zeros(len(seldom), np.int32), which[seldom]))
+            first = borders[:-1]
+            doc, out = (part.column(part.schema.get_field_index(k)) for k in ("doc_id", "held_out"))
+            known = [np.diff(borders).astype(np.int64), np.add.reduceat((~rare).astype(np.int64), first), np.add.reduceat(own, first) - floor * np.diff(borders), np.add.reduceat(score + within, first)]
+            rows.append(pa.RecordBatch.from_arrays([doc, out, *map(pa.array, known)], schema=_ROW_TYPES))
+            held, n_rows = held + len(at) + len(seldom), n_rows + part.num_rows
+            if held >= places or n_rows >= 50_000:
+                yield from told()
+                held, n_rows, group = 0, 0, group + 1
+        if rows:
+            yield from told()
+
+    def answered(batches):
+        """A bucket's counts, and what they add to the scores of each block of rows."""
+        lexicon = sent.value[0]
+        share = lexicon.share[lexicon.classes(lexicon.head_ids)]
+        offset = np.append(0.0, mass * (lexicon.head_counts + 0.1) / np.where(share > 0, share, 1.0))
+        asked: dict[int, list] = {_GRAMS: [], _WORDS: []}
+        for batch in batches:
+            for group, kind, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if kind == _ROWS:
+                    yield _answer([group], [kind], [data.as_py()])
+                else:
+                    asked[kind].append((group, data.as_buffer()))
+        for kind, own in asked.items():
+            if not own:
+                continue
+            groups, parts = [g for g, _ in own], [_unpacked(memoryview(d)) for _, d in own]
+            own.clear()
+            keys, tags, _, trained = (np.concatenate([x[k] for x in parts]) for k in range(4))
+            order, key_edge, pair_edge = _runs(keys, tags)
+            c, known = trained[order].astype(np.int64), tags[order] > 0
+            pairs = np.repeat(np.add.reduceat(c, pair_edge), np.diff(np.append(pair_edge, len(c))))
+            value = np.empty(len(c))
+            if kind == _WORDS:
+                value[order] = pairs
+            else:
+                about = np.repeat(np.add.reduceat(c * known, key_edge), np.diff(np.append(key_edge, len(c))))
+                lift = np.log10(np.where(known, pairs + offset[tags[order]], 1.0))
+                value[order] = lift - np.log10(about + mass)
+            del keys, tags, trained, order, c, known, pairs
+            at, told = 0, []
+            for mine, times, rows in ((p[0], p[2], p[4]) for p in parts):
+                own_value = np.repeat(value[at : at + len(mine)], times)
+                at += len(mine)
+                adds = np.bincount(rows, np.log10(own_value + 0.1) if kind == _WORDS else own_value)
+                found = np.bincount(rows, own_value > 0 if kind == _WORDS else None).astype(np.uint32)
+                here = np.flatnonzero(np.bincount(rows)).astype(np.uint32)
+                told.append(b"".join(_planes(x) for x in (here, adds[here], *([found[here]] if kind == _WORDS else []))))
+            for at in range(0, len(told), 64):
+                yield _answer(groups[at : at + 64], [kind] * len(told[at : at + 64]), told[at : at + 64])
+
+    def summed(batches):
+        """The rows of each block with all that was told of them."""
+        now, waiting = None, []
+
+        def told():
+            known = next(pa.ipc.read_record_batch(pa.py_buffer(d), _ROW_TYPES) for k, d in waiting if k == _ROWS)
+            n_known, base, score = (known.column(k).to_numpy().copy() for k in (3, 4, 5))
+            for kind, data in waiting:
+                if kind == _ROWS:
+                    continue
+                n = len(data) // (16 if kind == _WORDS else 12)
+                here, at = _unplaned(data, 0, n, "<u4")
+                adds, at = _unplaned(data, at, n, "<f8")
+                score[here] += adds
+                if kind == _WORDS:
+                    base[here] += adds
+                    n_known[here] += _unplaned(data, at, n, "<u4")[0]
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([*known.columns[:3], *map(pa.array, (n_known, base, score))], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+        for batch in batches:
+            for group, kind, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if waiting and group != now:
+                    yield told()
+                now = group
+                waiting.append((kind, data))
+        if waiting:
+            yield told()
+
+    asked = docs.select("doc_id", "held_out", "text").mapInArrow(scored, "bucket int, rows long, kind int, data binary")
+    answers = asked.repartitionById(buckets, "bucket").mapInArrow(answered, "rows long, kind int, data binary")
+    out = answers.repartition("rows").sortWithinPartitions("rows").mapInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _answer(groups: list[int], kinds: list[int], data: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(groups, pa.int64()), pa.array(kinds, pa.int32()), pa.array(data, pa.binary())], names=["rows", "kind", "data"])
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

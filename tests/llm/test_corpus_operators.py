@@ -490,6 +490,20 @@ def test_scores_by_hand(spark):
         assert out[i] == pytest.approx(score, rel=1e-4), i
 
 
+def test_every_context_counts(spark):
+    """Unless told otherwise, no place is left out, however few a task holds at once."""
+    rng = random.Random(14)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.4)) % 700}" for _ in range(rng.randrange(60))) for _ in range(50)]
+    rows = [*enumerate([*texts, texts[5], texts[6], "", None]), (None, texts[7])]
+    settings = dict(max_head=240, bits=9, steps=2, epochs=1, rate=0.5, damp=4.0, mass=2.0)
+    expected = scores_by_hand(rows, every=1, **settings)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for more in ({}, {"places": 150}):
+        out = {r.doc_id: r.score for r in score_documents(df, **settings, **more).collect()}
+        for (i, _), score in zip(rows, expected):
+            assert out[i] == pytest.approx(score, rel=1e-4), i
+
+
 def test_scores_do_not_depend_on_partitions(spark, data):
     """Scores of 2 and 16 partitions, and the gain on text held out, above single counts."""
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")

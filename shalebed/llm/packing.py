@@ -25,18 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_words import blocks, mix
+from .arrow_words import blocks, mix, strings
 from .common import checkpointed, table
 
 END = 1
 _LETTER = "A-Za-zÀ-ÖØ-öø-ſ"
 #: Texts of these characters only are split by the pattern below as the tokenizer splits them.
 _PLAIN = re.compile(f"[\\t\\n\\r\\x20-\\x7e{_LETTER}]*")
-_SPLIT = re.compile(f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+")
+_SPLIT = f"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+"
 
 
-class _Pieces(dict):
-    """The ids of each split piece, as bytes; emptied when it is full."""
+class _Parts(dict):
+    """The ids of each part of a plain text, as bytes; emptied when it is full."""
 
     def __init__(self, ranks_path: str, most: int = 600_000):
         import base64
@@ -45,22 +45,42 @@ class _Pieces(dict):
 
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.encoding = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("pieces", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         self.most = most
+        self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.sizes[list(ranks.values())] = list(map(len, ranks))
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("I", self.encoding.encode_ordinary(piece)).tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = ids
+    def __missing__(self, part: bytes) -> bytes:
+        self[part] = ids = array("I", self.encoding.encode_ordinary(part.decode())).tobytes()
         return ids
 
+    def all_of(self, parts: list[bytes]) -> list[bytes]:
+        """New words with a space before them are encoded together: no id reaches over the space."""
+        if len(self) + len(parts) > self.most:
+            self.clear()
+        new = [part for part in parts if part not in self and len(part) > 1 and part[0] == 32]
+        if new:
+            ids = np.array(self.encoding.encode_ordinary(b"".join(new).decode()), "<u4")
+            ends = np.cumsum([len(part) for part in new])
+            borders = (4 * np.searchsorted(np.cumsum(self.sizes[ids]), ends, "right")).tolist()
+            data = ids.tobytes()
+            self.update((part, data[a:b]) for part, a, b in zip(new, [0, *borders], borders))
+        return [self[part] for part in parts]
+
+
+def _alone(text: str) -> bool:
+    """Whether white space stands alone in a plain text, but for two line feeds
+    before a word: then a split piece begins at each space, and each line feed is one.
+    """
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n") or "\t" in text or "\r" in text)
+
 
 class Encoder:
-    """Texts to ids as little-endian unsigned 32-bit bytes.
+    """Texts to ids as little-endian unsigned 32-bit numbers.
 
-    The same ids as the tokenizer's of tokenizer_path, whose pieces are looked
-    up where the text is plain; ranks_path has its vocabulary as ranks.
+    The same ids as the tokenizer's of tokenizer_path. Plain texts are parted at
+    white space, and of a block of texts each distinct part is looked up once;
+    ranks_path has the tokenizer's vocabulary as ranks.
     """
 
     def __init__(self, tokenizer_path: str, ranks_path: str):
@@ -68,12 +88,51 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(tokenizer_path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.pieces = _Pieces(ranks_path)
+        self.parts = _Parts(ranks_path)
 
     def encode(self, text: str) -> bytes:
-        if _PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(text)))
-        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        texts = strings(texts)
+        plain = np.ones(len(texts), bool)
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for k, text in enumerate(texts.to_pylist()):
+            if not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
+                ids = self.whole.encode(text, add_special_tokens=False).ids
+            elif not _alone(text):
+                ids = self.parts.encoding.encode_ordinary(text)
+            else:
+                continue
+            plain[k], out[k] = False, np.array(ids, "<u4")
+        rows = np.flatnonzero(plain)
+        if len(rows) < len(texts):
+            texts = texts.take(pa.array(rows))
+        for k, ids in zip(rows.tolist(), self._parted(texts)):
+            out[k] = ids
+        return out
+
+    def _parted(self, texts: pa.Array) -> list[np.ndarray]:
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+        offsets = offsets - offsets[0]
+        feed = raw == ord("\n")
+        begins = feed | (raw == ord(" "))
+        begins[1:] |= feed[:-1]
+        begins[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(begins)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)]).dictionary_encode()
+        found = self.parts.all_of(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
+        which = parts.indices.to_numpy()
+        n = length[which]
+        ends = np.cumsum(n)
+        ids = table[np.arange(n.sum()) + np.repeat((np.cumsum(length) - length)[which] - (ends - n), n)]
+        borders = np.append(0, ends)[np.searchsorted(starts, offsets)].tolist()
+        return [ids[a:b] for a, b in zip(borders, borders[1:])]
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -254,17 +313,17 @@ def pack(
     """
 
     def cut(batches):
-        encode = encoder(tokenizer_path, ranks_path).encode
+        encode = encoder(tokenizer_path, ranks_path).encode_all
         for part, texts in blocks(batches, "text"):
             out = []
-            for doc_id, text in zip(part.column(0).to_pylist(), texts.to_pylist()):
-                ids = encode(text) + END.to_bytes(4, "little")
-                n = len(ids) // 4
+            for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts)):
+                ids = np.append(ids, np.uint32(END))
+                n = len(ids)
                 for start in range(0, n, window):
-                    own = ids[4 * start : 4 * (start + window)]
-                    full = len(own) == 4 * window
-                    short = None if full and not with_ids else np.frombuffer(own, "<u4").astype("<u2").tobytes()
-                    out.append((doc_id, start, len(own) // 4, zlib.crc32(own), n, short))
+                    own = ids[start : start + window]
+                    full = len(own) == window
+                    short = None if full and not with_ids else own.astype("<u2").tobytes()
+                    out.append((doc_id, start, len(own), zlib.crc32(own), n, short))
             kinds = [pa.int64()] * 5 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[*_PIECE[:5], "ids"])
 

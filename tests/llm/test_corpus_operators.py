@@ -543,6 +543,19 @@ def test_encoder():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_parts_blocks_of_texts():
+    """Any white space between and about words gives the tokenizer's ids; a block's words are looked up together."""
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(paths()[0]), Encoder(*paths())
+    texts = ["".join(x) for n in range(7) for x in itertools.product([" ", "\n", "\t", "é", "'s,"], repeat=n)]
+    texts += ["", "漢 字", "<|endoftext|> a", "a\r\nb", None, "It's (so), he says\nend.", "\x1c a"]
+    texts = pa.chunked_array([["left out", *texts]]).chunk(0)[1:]
+    for text, ids in zip(texts.to_pylist(), own.encode_all(texts)):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert {b"It's", b" (so),", b" he", b"end."} <= own.parts.keys() and own.encode_all(pa.array([], pa.string())) == []
+
+
 def check_packing(rows, pieces, window=2048):
     """Every id in one piece, gapless sequences, nothing padded."""
     from tokenizers import Tokenizer

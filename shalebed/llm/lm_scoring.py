@@ -38,6 +38,8 @@ GROUPS = 16
 CLASSES = 256
 _END_ID = np.int64(-(2**62))
 _BLOCK = 512
+#: Tokens whose chances are worked out at once, and that a training task adds to its sums at once.
+_COLUMNS, _ADDED = 8192, 150_000
 #: Probabilities are summed in these parts, as whole numbers: exact up to 2^33 tokens in a task.
 _PARTS = 2.0**20
 
@@ -167,7 +169,8 @@ def _contexts(ids: np.ndarray, classes: np.ndarray, borders: np.ndarray, every:
     return at, mix(before[at] + classes[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _softmax(weights: np.ndarray, features: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def _raised(weights: np.ndarray, features: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """What the softmax has for each class before it is divided by its sum."""
     logits = np.take(weights, features[:, 0].astype(np.intp), axis=0, mode="clip")
     for j in range(1, features.shape[1]):
         logits += np.take(weights, features[:, j].astype(np.intp), axis=0, mode="clip")
@@ -175,30 +178,49 @@ def _softmax(weights: np.ndarray, features: np.ndarray, prior: np.ndarray) -> np
     np.minimum(logits, 80, out=logits)  # in reach of exp() whatever the weights
     np.exp(logits, out=logits)
     logits += np.float32(1e-30)
-    logits /= logits.sum(1, keepdims=True)
     return logits
 
 
+def _chances(weights: np.ndarray, features: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The probabilities of all classes: a row for each class, a column for each token."""
+    out = np.empty((weights.shape[1], len(features)), weights.dtype)
+    for at in range(0, len(features), _COLUMNS):
+        to = slice(at, at + _COLUMNS)
+        raised = _raised(weights, features[to], prior if prior.ndim == 1 else prior[to])
+        np.divide(raised.T, raised.sum(1), out=out[:, to])
+    return out
+
+
+def _chance(weights: np.ndarray, features: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The probability of one class for each token."""
+    raised = _raised(weights, features, prior)
+    return raised[np.arange(len(raised)), target] / raised.sum(1)
+
+
 class Sums:
-    """For each feature row: how often it occurred, the observed counts of the
-    classes with it and the expected ones, in _PARTS.
+    """For each feature row: the observed counts of the classes with it and the
+    expected ones, in _PARTS. A class is a column, to which a histogram of the
+    features is added: their order doesn't matter, so nothing is sorted.
     """
 
     def __init__(self, rows: int, classes: int):
-        self.classes = classes
-        self.table = np.zeros((rows, 1 + 2 * classes))
-
-    def add(self, features: np.ndarray, p: np.ndarray, target: np.ndarray) -> None:
-        parts = np.rint(p.astype(float) * _PARTS)
-        flat, width = self.table.reshape(-1), self.table.shape[1]
-        for j in range(features.shape[1]):
-            np.add.at(flat, features[:, j].astype(np.intp) * width + 1 + target, 1.0)
-            order = np.argsort(features[:, j], kind="stable")  # 16 bits: a radix sort
-            ordered = features[order, j]
-            at = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-            rows = ordered[at]
-            self.table[rows, 0] += np.diff(np.append(at, len(ordered)))
-            self.table[rows, 1 + self.classes :] += np.add.reduceat(np.take(parts, order, axis=0, mode="clip"), at, axis=0)
+        self.rows, self.classes = rows, classes
+        self.observed = np.zeros(rows * classes, np.int64)
+        self.expected = np.zeros((classes, rows))
+
+    def add(self, features: np.ndarray, chances: np.ndarray, target: np.ndarray) -> None:
+        columns = [features[:, j].astype(np.intp) for j in range(features.shape[1])]
+        for rows in columns:
+            self.observed += np.bincount(rows * self.classes + target, minlength=len(self.observed))
+        for own, p in zip(self.expected, chances):
+            parts = np.rint(p.astype(float) * _PARTS)
+            for rows in columns:
+                own += np.bincount(rows, parts, minlength=self.rows)
+
+    def table(self) -> np.ndarray:
+        """Whole numbers: for each feature row how often it occurred, its observed and its expected counts."""
+        observed = self.observed.reshape(self.rows, self.classes)
+        return np.concatenate([observed.sum(1, keepdims=True), observed, self.expected.T.astype(np.int64)], axis=1)
 
 
 def changed(weights: np.ndarray, sums: np.ndarray, rate: float, damp: float) -> np.ndarray:
@@ -227,16 +249,29 @@ def _train_step(docs: DataFrame, lexicon: Lexicon, model, bits: int, rate: float
     def run(batches):
         lexicon, w1, w2 = sent.value
         sums = [Sums(len(w), w.shape[1]) for w in (w1, w2)]
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added():
+            classes, features = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            for at in range(0, len(classes), _ADDED):
+                own, groups, members = features[at : at + _ADDED], *np.divmod(classes[at : at + _ADDED], GROUPS)
+                inner = _second(own, groups, bits)
+                sums[0].add(own, _chances(w1, own, lexicon.prior1), groups)
+                sums[1].add(inner, _chances(w2, inner, lexicon.prior2[groups]), members)
+
         for _, _, _, classes, features in _pieces(batches, lexicon, bits):
-            groups, members = classes // GROUPS, classes % GROUPS
-            inner = _second(features, groups, bits)
-            sums[0].add(features, _softmax(w1, features, lexicon.prior1), groups)
-            sums[1].add(inner, _softmax(w2, inner, lexicon.prior2[groups]), members)
+            held.append((classes, features))
+            if sum(len(c) for c, _ in held) >= _ADDED:
+                added()
+        if held:
+            added()
         for level, own in enumerate(sums):
-            for at in range(0, len(own.table), _BLOCK):
-                values = own.table[at : at + _BLOCK]
+            table = own.table()
+            for at in range(0, len(table), _BLOCK):
+                values = table[at : at + _BLOCK]
                 if values[:, 0].any():
-                    yield pa.RecordBatch.from_arrays([pa.array([level * len(own.table) + at]), pa.array([values.astype(np.int64).tobytes()])], names=["block", "sums"])
+                    yield pa.RecordBatch.from_arrays([pa.array([level * len(table) + at]), pa.array([values.tobytes()])], names=["block", "sums"])
 
     def add(batches):
         total: dict[tuple, np.ndarray] = {}
@@ -375,6 +410,7 @@ def score_documents(
         """What the task knows of its rows, and what it asks of the buckets."""
         lexicon, w1, w2 = sent.value
         share = np.where(lexicon.share > 0, lexicon.share, 1.0)
+        counted = np.log10(np.append(lexicon.head_counts, 0) + 0.1)
         grams, words, rows = [], [], []
         held = n_rows = 0
         group = TaskContext.get().partitionId() << 32
@@ -394,13 +430,12 @@ def score_documents(
 
         for part, ids, borders, classes, features in _pieces(batches, lexicon, bits):
             groups, members = classes // GROUPS, classes % GROUPS
-            every_token = np.arange(len(ids))
-            p = _softmax(w1, features, lexicon.prior1)[every_token, groups].astype(np.float64)
-            p *= _softmax(w2, _second(features, groups, bits), lexicon.prior2[groups])[every_token, members]
+            p = _chance(w1, features, lexicon.prior1, groups).astype(np.float64)
+            p *= _chance(w2, _second(features, groups, bits), lexicon.prior2[groups], members)
             score = np.log10(np.maximum(p, 1e-30))
             place = lexicon.places(ids)
             rare = place < 0
-            own = np.log10(np.append(lexicon.head_counts, 0) + 0.1)[place]
+            own = counted[place]
             own[rare] = 0.0  # told by the bucket
             at, context = _contexts(ids, classes, borders, every)
             within = np.where(lexicon.share[classes] > 0, own - np.log10(share[classes]), 0.0)

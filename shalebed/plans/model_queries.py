@@ -82,15 +82,14 @@ def q_filesystem_features(spark, sf):
 
 
 def _labelled(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
-        "doc_id", "text", F.concat_ws("/", "source", F.col("doc_id") % 5).alias("group"), F.col("quality").cast("string").alias("y")
-    )
-    features = d.select(
-        "doc_id", "group", "y", F.length("text").alias("n_chars"), F.regexp_count("text", F.lit("[$%#&*]")).alias("n_symbols"),
+    # Features go to the labels, not texts.
+    features = table(spark, sf, "documents").select(
+        "doc_id", F.concat_ws("/", "source", F.col("doc_id") % 5).alias("group"), F.length("text").alias("n_chars"), F.regexp_count("text", F.lit("[$%#&*]")).alias("n_symbols"),
         F.size(F.array_distinct(F.split("text", " "))).alias("n_distinct"), F.lit(1).alias("constant"),
         byte_features(F.encode("text", "UTF-8")).alias("b"),
     )
-    return features.select("*", "b.entropy", "b.byte_mean").drop("b")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("y"))
+    return features.select("*", "b.entropy", "b.byte_mean").drop("b").join(labels, "doc_id")
 
 
 FEATURES = ["n_chars", "n_symbols", "n_distinct", "constant", "entropy", "byte_mean"]
@@ -119,7 +118,7 @@ def _run_of_trees(spark, sf):
     """The reported run: 500 trees for each of three grouped folds, with its model and folds."""
     d = checkpointed(_labelled(spark, sf))
     folds = checkpointed(groups.grouped_folds(d, "doc_id", "group", "y", 3, seed=1))
-    return d, folds, *extra_trees.out_of_fold_trees(d, folds, "doc_id", FEATURES, "y", ["0", "1"])
+    return d, folds, *extra_trees.out_of_fold_trees(d, folds, "doc_id", FEATURES, "y", ["0", "1"], pack=True)
 
 
 def q_extra_trees(spark, sf):

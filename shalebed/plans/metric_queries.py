@@ -170,9 +170,10 @@ def q_ordinal_fetch(spark, sf):
 
 
 def q_redact(spark, sf):
-    found = detectors.find(composed(spark, sf), ["k", "pos"])
+    asked = [d for d in detectors.DETECTORS if d.name in ("hardcoded_passwords", "telnetd")]
+    found = detectors.find(composed(spark, sf), ["k", "pos"], detectors=asked, fields=["source", "detector"])
     told = sampling.redacted(F.col("detector"), F.col("source")).alias("shown")
-    return found.where("detector IN ('hardcoded_passwords', 'telnetd')").select("k", F.col("pos").cast("long").alias("pos"), "detector", told)
+    return found.select("k", F.col("pos").cast("long").alias("pos"), "detector", told)
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}

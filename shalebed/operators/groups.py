@@ -17,22 +17,44 @@ def connected_groups(links: DataFrame, key: str, model: str, max_rounds: int = 6
     """(key, group): ids that share a model, directly or over others, are one
     group, named by its least id. links: (key, model).
 
-    Labels go from ids to models and back as grouped minima, and each round also
-    jumps to the label of the label, so long chains need few rounds.
+    Each round an id gets the least label of its models and labels that share a model
+    become the links of the next one: stars of the least label of each model, without
+    repeats. So links are read whole in the first round only and get fewer each time.
+    Labels go to the labels of their labels until none changes, so long chains need few rounds.
     """
-    links = checkpointed(links.select(F.col(key).alias("id"), F.col(model).alias("model")).distinct())
-    labels = links.select("id", F.col("id").alias("label")).distinct()
-    before = None
+    links = links.select(F.col(key).alias("id"), F.col(model).alias("model")).where("id IS NOT NULL AND model IS NOT NULL")
+    found = []
     for _ in range(max_rounds):
-        by_model = links.join(labels, "id").groupBy("model").agg(F.min("label").alias("label"))
-        near = links.join(by_model, "model").groupBy("id").agg(F.min("label").alias("label"))
-        far = near.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        labels = checkpointed(near.join(far, "label").select("id", F.least("label", "further").alias("label")))
-        now = labels.agg(F.count_distinct("label"), F.sum(F.xxhash64("id", "label").cast("decimal(38,0)"))).first()
-        if now == before:
-            return labels.select(F.col("id").alias(key), F.concat(F.lit(PREFIX), F.col("label").cast("string")).alias("group"))
-        before = now
-    raise RuntimeError(f"groups aren't settled after {max_rounds} rounds")
+        near = links.join(links.groupBy("model").agg(F.min("id").alias("label")), "model").groupBy("id").agg(F.min("label").alias("label"))
+        near = checkpointed(near)
+        found.append(_ends(near) if len(found) else near)
+        moved = links.join(found[-1], "id").select("label", "model").distinct()
+        # A model of one label joins nothing.
+        least = moved.groupBy("model").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("model", "least")
+        star = moved.join(least, "model").select(F.col("label").alias("id"), F.col("least").alias("model")).distinct()
+        links = checkpointed(star)
+        if links.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"groups aren't settled after {max_rounds} rounds")
+    labels = found.pop()
+    while found:
+        # Labels that no model joins with others stay.
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        labels = found.pop().join(further, "label", "left").select("id", F.coalesce("further", "label").alias("label"))
+    return labels.select(F.col("id").alias(key), F.concat(F.lit(PREFIX), F.col("label").cast("string")).alias("group"))
+
+
+def _ends(labels: DataFrame) -> DataFrame:
+    """(id, label) with the last label of the chain that begins at an id; a label is an id, and the
+    last one its own.
+    """
+    while True:
+        further = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
+        on = checkpointed(labels.join(further, "label").select("id", F.col("further").alias("label"), (F.col("label") != F.col("further")).alias("moved")))
+        labels = on.drop("moved")
+        if on.where("moved").isEmpty():
+            return labels
 
 
 def grouped_folds(table: DataFrame, key: str, group: str, label: str, n_folds: int, seed: int = 0, repeat: int = 0) -> DataFrame:

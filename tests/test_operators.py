@@ -251,6 +251,39 @@ def test_coverage(spark):
 # Groups --------------------------------------------------------------------
 
 
+def least_of_groups(pairs):
+    """Union and find."""
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    for i, m in pairs:
+        top[find(("id", i))] = find(("model", m))
+    least = {}
+    for i, _ in pairs:
+        least[find(("id", i))] = min(i, least.get(find(("id", i)), i))
+    return {i: f"g:{least[find(('id', i))]}" for i, _ in pairs}
+
+
+def test_links_get_fewer(spark, monkeypatch):
+    rng = random.Random(3)
+    dense = [(i, rng.randrange(100)) for i in range(500) for _ in range(8)]
+    rows = []
+    stored = groups.checkpointed
+    monkeypatch.setattr(groups, "checkpointed", lambda df: rows.append((out := stored(df)).count()) or out)
+    df = spark.createDataFrame(dense, "id long, model long")
+    assert dict(groups.connected_groups(df, "id", "model").collect()) == least_of_groups(dense)
+    assert sum(rows) < 1000 < len(dense)  # neither links nor labels of all ids are kept in each round
+    sparse = [(rng.randrange(300), rng.randrange(280)) for _ in range(330)]
+    order = rng.sample(range(120), 120)
+    chain = [(1000 + order[i + k], 1000 + i) for i in range(119) for k in (0, 1)] + [(2000 + i + k, 3000 + i) for i in range(60) for k in (0, 1)]
+    df = spark.createDataFrame(sparse + chain, "id long, model long")
+    assert dict(groups.connected_groups(df, "id", "model").collect()) == least_of_groups(sparse + chain)
+
+
 def test_groups(spark):
     links = spark.createDataFrame([("b", "B"), ("a", "A"), ("a", "B"), ("c", "C")], "id string, model string")
     assert dict(groups.connected_groups(links, "id", "model").collect()) == {"a": "g:a", "b": "g:a", "c": "g:c"}
